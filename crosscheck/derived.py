@@ -221,4 +221,5 @@ def derived_tables(spark: SparkSession, folder: str) -> Tables:
         employees, customers, projects, time_entry, staffing, absence, holidays, invoice_balance, expense, write_off,
         paid_overtime, vacation_days, timelock_events, employee_role, employee_tenure_role, reporting_visibility,
     )
-    return Tables(spark, {make.__name__: make for make in makers})
+    plain = {name: (lambda name=name: source(name)) for name in ("orders", "documents")}
+    return Tables(spark, {make.__name__: make for make in makers} | plain)

@@ -107,33 +107,32 @@ def available_dates(t: Tables, requests: DataFrame) -> DataFrame:
     return free.join(taken, ["employee", "date"], "left_anti").withColumnRenamed("date", "available_date")
 
 
-def worked_days_per_week(t: Tables, start: dt.date, weeks: int = 8) -> DataFrame:
-    """Staffing rows per employee in seven-day buckets from ``start``, with the sorted list of projects,
-    repeats included."""
+def employee_worked_days_per_week(
+    t: Tables, start: dt.date, weeks: int = 8, employee: int | None = None
+) -> DataFrame:
+    """Staffing rows in seven-day buckets from ``start``, with the sorted list of projects, repeats included;
+    of one employee or of all."""
     if weeks < 1:
         raise ValueError(f"weeks has to be greater than 0, but was {weeks}")
     bucket = F.floor(F.datediff("date", F.lit(start)) / 7).cast("int")
     staffed = t.staffing.filter(
         F.col("date").between(F.lit(start), F.lit(start + dt.timedelta(days=7 * weeks - 1)))
     ).withColumn("start_of_week", F.date_add(F.lit(start), bucket * 7))
+    if employee is not None:
+        staffed = staffed.filter(F.col("employee") == employee)
     # Counted per project before gathering: the gathered group has one row per project.
     counted = staffed.groupBy("employee", "start_of_week", "project").agg(F.count("*").cast("int").alias("n"))
-    repeated = F.flatten(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("project", "n"))), lambda p: F.array_repeat(p["project"], p["n"])
-        )
-    )
-    return (
-        counted.groupBy("employee", "start_of_week")
-        .agg(repeated.alias("projects"), F.sum("n").cast("int").alias("days"))
-        .join(t.employees.select(F.col("id").alias("employee")), "employee", "left_semi")
-        .select("employee", "projects", "start_of_week", "days")
+    gathered = F.array_sort(F.collect_list(F.struct("project", "n")))
+    repeated = F.flatten(F.transform(gathered, lambda p: F.array_repeat(p["project"], p["n"])))
+    return counted.groupBy("employee", "start_of_week").agg(
+        repeated.alias("projects"), F.sum("n").cast("int").alias("days")
     )
 
 
-def employee_worked_days_per_week(t: Tables, employee: int, start: dt.date, weeks: int = 8) -> DataFrame:
-    """The weekly buckets of one employee."""
-    return worked_days_per_week(t, start, weeks).filter(F.col("employee") == employee).drop("employee")
+def worked_days_per_week(t: Tables, start: dt.date, weeks: int = 8) -> DataFrame:
+    """The weekly buckets of all known employees."""
+    known = t.employees.select(F.col("id").alias("employee"))
+    return employee_worked_days_per_week(t, start, weeks).join(known, "employee", "left_semi")
 
 
 def default_start_of_week(today: dt.date) -> dt.date:

@@ -58,13 +58,14 @@ def available_projects(t: Tables) -> DataFrame:
     )
 
 
-def employees_roles(t: Tables, employee: int | None = None, email: str | None = None) -> DataFrame:
-    """Employee row as a struct with the sorted array of its roles, empty if it has none."""
+def employees_roles(t: Tables, asked: DataFrame | None = None) -> DataFrame:
+    """Employee row as a struct with the sorted array of its roles, empty if it has none.
+
+    ``asked`` is a table of ids (column ``id``) or e-mails (column ``email``) that narrows the answer.
+    """
     staff = t.employees
-    if employee is not None:
-        staff = staff.filter(F.col("id") == employee)
-    if email is not None:
-        staff = staff.filter(F.col("email") == email)
+    if asked is not None:
+        staff = staff.join(asked, asked.columns, "left_semi").select(*t.employees.columns)
     # Equal roles are counted before they are gathered, so the gathered group has one row per role.
     counted = t.employee_role.groupBy("employee_id", "role_type").agg(F.count("*").cast("int").alias("n"))
     repeated = F.flatten(

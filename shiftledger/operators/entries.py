@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftledger.functions.codes import BILLABLE, HOURS_PER_DAY, NONBILLABLE, UNAVAILABLE
-from shiftledger.functions.dates import days_between, iso_week_monday, iso_weeks_in_year, overlaps
+from shiftledger.functions.dates import days_between, overlaps
 from shiftledger.operators.calendar import business_hours
-from shiftledger.plans.calendar import calendar_spanning
 from shiftledger.plans.daily import (
     class_minutes,
     employee_period_facts,
@@ -370,46 +369,43 @@ def bonus_hours_for_employees(t: Tables, periods: Periods) -> DataFrame:
     )
 
 
-def employee_yearly_bonus(t: Tables, year: int) -> DataFrame:
-    """Bonus of each employee for one ISO year: per week with available hours, by billing ratio and by
+def employee_yearly_bonus(t: Tables, first_year: int, last_year: int | None = None) -> DataFrame:
+    """Bonus of each employee per ISO year: for each week with available hours, by billing ratio and by
     whether a tenure role was held in that week."""
-    weekly = bonus_hours_for_employees(t, Periods.iso_weeks(t.spark, year))
-    first, last = iso_week_monday(F.lit(year), F.lit(1)), iso_week_monday(F.lit(year), iso_weeks_in_year(F.lit(year)))
+    weeks = Periods.iso_weeks(t.spark, first_year, last_year)
+    first, last = F.lit(weeks.first), F.lit(weeks.last)
+    held_from = F.trunc(F.greatest(F.col("from_date"), first), "week")
+    held_to = F.trunc(F.least(F.coalesce("to_date", last), last), "week")
+    held_weeks = F.when(held_from <= held_to, F.sequence(held_from, held_to, F.expr("interval 7 days")))
     held = (
-        t.employee_tenure_role.filter(
-            overlaps(F.col("from_date"), F.col("to_date"), first, F.date_add(last, 6))
-        )
-        .withColumn("_from", F.trunc(F.greatest(F.col("from_date"), first), "week"))
-        .withColumn("_to", F.trunc(F.least(F.coalesce("to_date", last), last), "week"))
-        .select(
-            F.col("employee_id").alias("employee"),
-            F.explode(
-                F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to", F.expr("interval 7 days")))
-            ).alias("from_date"),
-        )
+        t.employee_tenure_role.filter(overlaps(F.col("from_date"), F.col("to_date"), first, last))
+        .select(F.col("employee_id").alias("id"), F.explode(held_weeks).alias("from_date"))
         .distinct()
         .withColumn("tenured", F.lit(True))
     )
-    ratio = F.try_divide("bonus_billable_hours", "available_hours")
+    billed = hours_or_zero("billable_minutes") + hours_or_zero("bonus_minutes")
+    ratio = F.try_divide(billed, _available_hours())
     tenured = F.coalesce("tenured", F.lit(False))
     amount = (
-        F.when(F.col("available_hours") <= 0, 0)
+        F.when(_available_hours() <= 0, 0)
         .when(ratio > 0.95, F.when(tenured, 1000).otherwise(750))
         .when(ratio > 0.90, F.when(tenured, 750).otherwise(500))
         .otherwise(0)
     )
     return (
-        weekly.join(held, ["employee", "from_date"], "left")
-        .groupBy("employee")
+        _employee_hours(t, weeks)
+        .join(held, ["id", "from_date"], "left")
+        .groupBy(F.col("id").alias("employee"), F.col("iso_year").alias("year"))
         .agg(F.sum(amount).cast("int").alias("bonus"))
     )
 
 
-def employee_weekly_fg(t: Tables, year: int) -> DataFrame:
-    """Available and billable hours of each employee for every ISO week of a year."""
-    weeks = Periods.iso_weeks(t.spark, year)
+def employee_weekly_fg(t: Tables, first_year: int, last_year: int | None = None) -> DataFrame:
+    """Available and billable hours of each employee for every ISO week of the years."""
+    weeks = Periods.iso_weeks(t.spark, first_year, last_year)
     return _employee_hours(t, weeks).select(
         F.col("id").alias("employee"),
+        F.col("iso_year").alias("year"),
         "week_number",
         F.col("from_date").alias("week_start"),
         _available_hours().alias("available_hours"),

@@ -46,11 +46,16 @@ def year_to_date_windows(start: Column, end: Column) -> Column:
 
 
 def iso_week_windows(year: Column) -> Column:
-    """All ISO weeks of a year, Monday to Sunday, each with its week_number."""
+    """All ISO weeks of a year, Monday to Sunday, each with its iso_year and week_number."""
 
     def week(number: Column) -> Column:
         monday = iso_week_monday(year, number)
-        return F.struct(monday.alias("from_date"), F.date_add(monday, 6).alias("to_date"), number.alias("week_number"))
+        return F.struct(
+            monday.alias("from_date"),
+            F.date_add(monday, 6).alias("to_date"),
+            year.alias("iso_year"),
+            number.alias("week_number"),
+        )
 
     return F.transform(F.sequence(F.lit(1), iso_weeks_in_year(year)), week)
 
@@ -145,12 +150,12 @@ class Periods:
         return cls._of_windows(spark, windows, monday, last, count)
 
     @classmethod
-    def iso_weeks(cls, spark: SparkSession, year: int) -> Periods:
-        """All ISO weeks of one year; the table also has week_number."""
-        first = dt.date.fromisocalendar(year, 1, 1)
-        count = dt.date(year, 12, 28).isocalendar().week
-        windows = iso_week_windows(F.lit(year))
-        return cls._of_windows(spark, windows, first, first + dt.timedelta(days=7 * count - 1), count)
+    def iso_weeks(cls, spark: SparkSession, first_year: int, last_year: int | None = None) -> Periods:
+        """All ISO weeks of one or several years; the table also has iso_year and week_number."""
+        last_year = first_year if last_year is None else last_year
+        first, after = dt.date.fromisocalendar(first_year, 1, 1), dt.date.fromisocalendar(last_year + 1, 1, 1)
+        windows = F.flatten(F.transform(F.sequence(F.lit(first_year), F.lit(last_year)), iso_week_windows))
+        return cls._of_windows(spark, windows, first, after - dt.timedelta(days=1), (after - first).days // 7)
 
     @classmethod
     def trailing_weeks(cls, spark: SparkSession, start: dt.date, end: dt.date, weeks: int = 12) -> Periods:
