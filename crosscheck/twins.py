@@ -474,21 +474,18 @@ _SQL["d11_weekly_availability"] = f"""SELECT strftime(from_date, '%G-%V') AS wee
     FROM ({_company_availability('eight_day_weeks')})"""
 
 
-def _forecast(periods: str) -> str:
-    clipped = "BETWEEN greatest(v.from_date, e.doe) AND least(e.term, v.to_date)"
+# One row per counted day of the forecast, cut to employment before any period is looked at.
+PARTS["forecast_days"] = """SELECT 'all' AS kind, k.date FROM employees e JOIN workdays k ON k.date >= e.doe AND k.date <= coalesce(e.term, k.date)
+    UNION ALL SELECT 'staffed', x.date FROM st x JOIN employees e ON e.id = x.employee
+      WHERE x.billable = 'unavailable' AND x.date >= e.doe AND x.date <= coalesce(e.term, x.date)
+    UNION ALL SELECT 'absent', x.date FROM away x JOIN employees e ON e.id = x.employee WHERE x.date >= e.doe AND x.date <= coalesce(e.term, x.date)
+    UNION ALL SELECT 'planned', date FROM st WHERE billable = 'billable'"""
 
-    def count(rows: str) -> str:
-        return f"(SELECT v.from_date, count(*) AS n FROM {rows} GROUP BY 1)"
 
-    return f"""SELECT w.from_date, w.to_date, coalesce(a.n, 0) * 7.5 AS all_hours, coalesce(s.n, 0) * 7.5 AS staffed,
-        coalesce(g.n, 0) * 7.5 AS absent, coalesce(b.n, 0) * 7.5 AS planned
-        FROM {periods} w
-        LEFT JOIN {count(f"employees e JOIN {periods} v ON true JOIN workdays k ON k.date {clipped}")} a ON a.from_date = w.from_date
-        LEFT JOIN {count(f"st x JOIN employees e ON e.id = x.employee JOIN {periods} v ON x.date {clipped} WHERE x.billable = 'unavailable'")} s
-          ON s.from_date = w.from_date
-        LEFT JOIN {count(f"away x JOIN employees e ON e.id = x.employee JOIN {periods} v ON x.date {clipped}")} g ON g.from_date = w.from_date
-        LEFT JOIN {count(f"st x JOIN {periods} v ON x.date BETWEEN v.from_date AND v.to_date WHERE x.billable = 'billable'")} b
-          ON b.from_date = w.from_date"""
+def _forecast(periods: str) -> str:
+    return f"""SELECT w.from_date, w.to_date, count(*) FILTER (kind = 'all') * 7.5 AS all_hours, count(*) FILTER (kind = 'staffed') * 7.5 AS staffed,
+        count(*) FILTER (kind = 'absent') * 7.5 AS absent, count(*) FILTER (kind = 'planned') * 7.5 AS planned
+        FROM {periods} w LEFT JOIN (SELECT date, kind FROM forecast_days) x ON x.date {INSIDE} GROUP BY 1, 2"""
 
 
 _SQL["d12_weekly_forecasted_fg"] = f"""SELECT strftime(from_date, '%G-%V') AS week,
@@ -563,7 +560,7 @@ _SQL["e1_fg"] = f"SELECT from_date, to_date, billable / available * 100 AS fg FR
 _SQL["e2_kpi_fg"] = f"SELECT from_date, to_date, billable / available * 100 AS fg FROM ({_billed('halfyears')})"
 _SQL["e3_kpi_product_development"] = f"""SELECT w.from_date, w.to_date, coalesce(sum(t.minutes), 0) / 60.0 AS payload
     FROM halfyears w LEFT JOIN te t ON t.date {INSIDE} AND t.deductable GROUP BY 1, 2"""
-_BUSINESS = """(SELECT count(*) FROM employees e JOIN workdays k ON k.date BETWEEN greatest(w.from_date, e.doe) AND least(e.term, w.to_date)) * CAST(7.5 AS DOUBLE)"""
+_BUSINESS = """((SELECT count(*) FROM employees e JOIN workdays k ON k.date BETWEEN greatest(w.from_date, e.doe) AND least(e.term, w.to_date)) * CAST(7.5 AS DOUBLE))"""
 _SQL["e4_kpi_sick"] = f"""SELECT w.from_date, w.to_date,
     (SELECT sum(minutes) FROM time_entry t WHERE t.project = 'SYK1000' AND t.date {INSIDE}) / 60.0 / {_BUSINESS} AS payload FROM halfyears w"""
 

@@ -61,12 +61,8 @@ def holidays_dimension(
         if year in break_years:
             days |= {dt.date(year, 12, d): CHRISTMAS_BREAK for d in range(27, 31)}
         named |= days
-    rows = [
-        F.struct(F.lit(day).alias("date"), F.lit(name).alias("name"))
-        for day, name in sorted(named.items())
-        if first <= day <= last
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = [f"(DATE '{day}', '{name}')" for day, name in sorted(named.items()) if first <= day <= last]
+    return spark.sql(f"SELECT date, name FROM VALUES {', '.join(rows)} AS holidays(date, name)")
 
 
 def only_holidays(rows: DataFrame, holidays: DataFrame, date: str = "date") -> DataFrame:
@@ -87,7 +83,7 @@ def week_dates(weeks: DataFrame) -> DataFrame:
 
 def available_dates_in_periods(periods: Periods, holidays: DataFrame) -> DataFrame:
     """Working days of each period: weekdays that are not holidays."""
-    workdays = periods.calendar(holidays).filter("is_workday").select("date")
+    workdays = periods.calendar(holidays).filter("workdays = 1").select("date")
     return periods.days().join(workdays, "date").select("from_date", "to_date", F.col("date").alias("available_date"))
 
 

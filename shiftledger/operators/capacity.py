@@ -35,23 +35,12 @@ PERIOD = ("from_date", "to_date")
 # Planned hours and days per employee
 
 
-def _per_employee(rows: DataFrame, periods: Periods, value: Column) -> DataFrame:
-    return (
-        rows.groupBy("employee", "date")
-        .agg(value.alias("_value"))
-        .join(periods.days(), "date")
-        .groupBy(*PERIOD, "employee")
-        .agg(F.sum("_value").alias("_value"))
-        .withColumnRenamed("employee", "id")
-    )
-
-
 def staffed_hours_for_employees(t: Tables, periods: Periods, billable: str) -> DataFrame:
     """Staffed hours (7.5 at 100 percent) per employee and period on projects of one class."""
     projects = project_classes(t).filter(F.col("billable") == billable).select("project")
     staffed = periods.restrict(t.staffing).join(projects, "project", "left_semi")
-    return _per_employee(staffed, periods, F.sum("percentage")).select(
-        *PERIOD, "id", (F.col("_value") * F.lit(HOURS_PER_DAY) / F.lit(100.0)).alias("hours")
+    return periods.sum_by(staffed, "employee", percentage=F.col("percentage")).select(
+        *PERIOD, F.col("employee").alias("id"), (F.col("percentage") * F.lit(HOURS_PER_DAY) / F.lit(100.0)).alias("hours")
     )
 
 
@@ -67,8 +56,8 @@ def unavailable_absence_days_for_employees(t: Tables, periods: Periods) -> DataF
     """Absence rows per employee and period whose reason is an unavailable project."""
     projects = project_classes(t).filter(F.col("billable") == UNAVAILABLE).select(F.col("project").alias("reason"))
     absent = periods.restrict(t.absence).join(projects, "reason", "left_semi")
-    return _per_employee(absent.withColumnRenamed("employee_id", "employee"), periods, F.count("*")).select(
-        *PERIOD, "id", F.col("_value").alias("days")
+    return periods.sum_by(absent, "employee_id", days=F.lit(1)).select(
+        *PERIOD, F.col("employee_id").alias("id"), "days"
     )
 
 
@@ -202,8 +191,8 @@ def weekly_staffing(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     spine = Periods.weeks(t.spark, start, end, whole=True)
     projects = t.projects.select(F.col("id").alias("project"), F.col("name").alias("project_name"), "billable")
     rows = (
-        weeks.join(_employee_availability(t, spine), ["employee", *PERIOD], "left")
-        .join(_possible_percentage(t, spine), list(PERIOD), "left")
+        _with_possible_percentage(weeks, t, spine)
+        .join(_employee_availability(t, spine), ["employee", *PERIOD], "left")
         .join(projects, "project", "left")
         .select(
             F.col("employee").alias("planned_employee"),
@@ -269,28 +258,21 @@ def _percentage(possible: Column, unavailable: Column) -> Column:
     return F.when(possible == 0, F.lit(0)).otherwise(F.greatest(share, F.lit(0))).cast("decimal(5,2)")
 
 
-def _possible_percentage(t: Tables, periods: Periods) -> DataFrame:
-    calendar = periods.calendar(t.holidays).select("date", F.col("is_workday").cast("int").alias("workdays"))
-    possible = F.coalesce("workdays", F.lit(0)) * 100
-    return periods.total(calendar, "workdays").select(*PERIOD, possible.alias("possible"))
+def _with_possible_percentage(rows: DataFrame, t: Tables, periods: Periods) -> DataFrame:
+    """Add 100 percent for each working day of the row's period."""
+    counted = periods.with_workdays(rows, t.holidays, F.col("from_date"), F.col("to_date"), "_workdays")
+    return counted.withColumn("possible", F.col("_workdays") * 100).drop("_workdays")
 
 
 def _employee_availability(t: Tables, periods: Periods) -> DataFrame:
-    return (
-        unavailable_absence(t, periods)
-        .groupBy("employee", "date")
-        .agg(F.count("*").alias("n"))
-        .join(periods.days(), "date")
-        .groupBy("employee", *PERIOD)
-        .agg((F.sum("n") * 100).alias("unavailable"))
-    )
+    return periods.sum_by(unavailable_absence(t, periods), "employee", unavailable=F.lit(100))
 
 
 def employee_availability_percentage(t: Tables, periods: Periods) -> DataFrame:
     """Per employee and period: working days without unavailable absence, in percent."""
     everyone = periods.attach(t.employees.select(F.col("id").alias("employee")))
     return (
-        everyone.join(periods.per_period(_possible_percentage(t, periods)), list(PERIOD))
+        _with_possible_percentage(everyone, t, periods)
         .join(_employee_availability(t, periods), ["employee", *PERIOD], "left")
         .select(
             "employee",
@@ -315,7 +297,7 @@ def availability_percentage(t: Tables, periods: Periods) -> DataFrame:
     )
     possible = F.col("possible") * F.col("employee_count")
     return (
-        _possible_percentage(t, periods)
+        _with_possible_percentage(periods.df, t, periods)
         .join(active, list(PERIOD))
         .join(absent, list(PERIOD), "left")
         .select(*PERIOD, _percentage(possible, F.coalesce("unavailable", F.lit(0))).alias("availability"))
@@ -356,7 +338,7 @@ def weekly_fg(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Planned billing ratio per ISO week from percentages: staffed billable hours by possible hours of the
     active employees less unavailable absence; one decimal, 0 when nothing is available."""
     weeks = Periods.weeks(t.spark, start, end, whole=True)
-    facts = weeks.calendar(t.holidays).select("date", F.col("is_workday").cast("int").alias("workdays"))
+    facts = weeks.calendar(t.holidays).select("date", "workdays")
     facts = facts.join(staffing_days(t, weeks).select("date", "billable_percentage"), "date", "left")
     facts = facts.join(per_day(unavailable_absence(t, weeks), "absences"), "date", "left")
     totals = weeks.total(facts, "workdays", "billable_percentage", "absences").join(

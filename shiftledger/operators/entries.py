@@ -39,14 +39,7 @@ def hours_or_zero(minutes: str) -> Column:
 
 def accumulated_hours(t: Tables, periods: Periods) -> DataFrame:
     """Hours per employee in each period, 0 if none."""
-    sums = (
-        periods.restrict(t.time_entry)
-        .groupBy("employee", "date")
-        .agg(F.sum("minutes").alias("minutes"))
-        .join(periods.days(), "date")
-        .groupBy("employee", *PERIOD)
-        .agg(F.sum("minutes").alias("minutes"))
-    )
+    sums = periods.sum_by(periods.restrict(t.time_entry), "employee", minutes=F.col("minutes"))
     everyone = periods.attach(t.employees.select(F.col("id").alias("employee")))
     return everyone.join(sums, ["employee", *PERIOD], "left").select(
         "employee", *PERIOD, hours_or_zero("minutes").alias("hours")
@@ -151,20 +144,10 @@ def hours_per_employee_json(t: Tables, start: dt.date, end: dt.date) -> DataFram
 
 def unregistered_days(t: Tables, periods: Periods) -> DataFrame:
     """Per employee and period, working days without any entry; not cut to the employment interval."""
-    workdays = periods.calendar(t.holidays).filter("is_workday").select("date")
-    possible = periods.days().join(workdays, "date").groupBy(*PERIOD).agg(F.count("*").alias("possible"))
-    entered = (
-        periods.restrict(t.time_entry)
-        .select("employee", "date")
-        .distinct()
-        .join(workdays, "date", "left_semi")
-        .join(periods.days(), "date")
-        .groupBy("employee", *PERIOD)
-        .agg(F.count("*").alias("entered"))
-    )
+    entered = employee_period_facts(t, periods, planned=False).select("employee", *PERIOD, "entered_workdays")
     everyone = periods.attach(t.employees.select(F.col("id").alias("employee")))
-    left_over = F.coalesce("possible", F.lit(0)) - F.coalesce("entered", F.lit(0))
-    rows = everyone.join(periods.per_period(possible), list(PERIOD), "left")
+    rows = periods.with_workdays(everyone, t.holidays, F.col("from_date"), F.col("to_date"), "workdays")
+    left_over = F.col("workdays") - F.coalesce("entered_workdays", F.lit(0))
     return rows.join(entered, ["employee", *PERIOD], "left").select(
         "employee", *PERIOD, left_over.cast("int").alias("unregistered_days")
     )
@@ -176,15 +159,9 @@ def unregistered_days(t: Tables, periods: Periods) -> DataFrame:
 def accumulated_entries_on_project(t: Tables, periods: Periods) -> DataFrame:
     """Whole hours (truncated) per project and period."""
     projects = t.projects.select(F.col("id").alias("project"), "billable", "name")
-    return (
-        periods.restrict(t.time_entry)
-        .groupBy("project", "date")
-        .agg(F.sum("minutes").alias("minutes"))
-        .join(periods.days(), "date")
-        .groupBy("project", *PERIOD)
-        .agg(F.sum("minutes").alias("minutes"))
-        .join(projects, "project")
-        .select(*PERIOD, F.expr("minutes div 60").alias("hours"), "project", "billable", "name")
+    sums = periods.sum_by(periods.restrict(t.time_entry), "project", minutes=F.col("minutes"))
+    return sums.join(projects, "project").select(
+        *PERIOD, F.expr("minutes div 60").alias("hours"), "project", "billable", "name"
     )
 
 
@@ -265,21 +242,16 @@ def _last_entries(t: Tables) -> DataFrame:
     )
 
 
-def _workdays_per_period(t: Tables, periods: Periods) -> DataFrame:
-    calendar = periods.calendar(t.holidays).select("date", F.col("is_workday").cast("int").alias("workdays"))
-    return periods.total(calendar, "workdays").select(*PERIOD, F.coalesce("workdays", F.lit(0)).alias("workdays"))
-
-
 def _status(t: Tables, periods: Periods, planned: bool) -> DataFrame:
     facts = employee_period_facts(t, periods, planned)
     rows = employee_periods(t, periods).select(
         *PERIOD, "id", "first_name", "last_name", "email", "date_of_employment", "termination_date"
     )
     last = _last_entries(t).withColumnRenamed("employee", "_last_of")
+    rows = periods.with_workdays(rows, t.holidays, F.col("from_date"), F.col("to_date"), "workdays")
     return (
         with_available_days(rows, t, periods)
         .join(facts.withColumnRenamed("employee", "id"), ["id", *PERIOD], "left")
-        .join(periods.per_period(_workdays_per_period(t, periods)), list(PERIOD))
         .join(last, F.col("id") == F.col("_last_of"), "left")
     )
 
@@ -441,8 +413,8 @@ def periodic_report(t: Tables, periods: Periods) -> DataFrame:
     """Report lines per period: hours (two decimals) of relabelled internal projects, which only show
     when there are entries, then fixed lines that always show, with NULL when empty.
 
-    One scan of the entries serves all lines of minutes: they are folded to (date, project, kind of
-    role) and each such row is then sent to the lines it belongs to. The two company totals come
+    One scan of the entries serves all lines of minutes: they are folded to (period, project, kind
+    of role) and each such row is then sent to the lines it belongs to. The two company totals come
     from the status report. An employee without a role counts for neither role line.
     """
     project, role = F.col("project"), F.col("role")
@@ -453,12 +425,8 @@ def periodic_report(t: Tables, periods: Periods) -> DataFrame:
         project.isin(*fixed_codes) | project.startswith(INTERNAL_PREFIX)
     )
     roles = t.employees.select(F.col("id").alias("employee"), (role == ADMIN_ROLE).alias("admin"))
-    folded = (
-        relevant.select("employee", "project", "date", "minutes")
-        .join(roles, "employee", "left")
-        .groupBy("date", "project", "admin")
-        .agg(F.sum("minutes").alias("minutes"))
-    )
+    entered = relevant.select("employee", "project", "date", "minutes").join(roles, "employee", "left")
+    folded = periods.sum_by(entered, "project", "admin", minutes=F.col("minutes"))
 
     def line(label: str, condition: Column) -> Column:
         return F.when(condition, F.lit(label))
@@ -470,9 +438,6 @@ def periodic_report(t: Tables, periods: Periods) -> DataFrame:
     lines += [line(label, project.isin(*codes) & ~F.col("admin")) for label, codes in BY_OTHERS.items()]
     summed = (
         folded.withColumn("prosjekt", F.explode(F.array_compact(F.array(*lines))))
-        .groupBy("date", "prosjekt")
-        .agg(F.sum("minutes").alias("minutes"))
-        .join(periods.days(), "date")
         .groupBy(*PERIOD, "prosjekt")
         .agg(F.sum("minutes").alias("minutes"))
     )

@@ -230,14 +230,9 @@ def _project_economics(t: Tables, periods: Periods, fan_out: bool) -> DataFrame:
         .agg(F.sum("write_off").alias("write_off"), F.sum("other").alias("other"), F.sum("subcontractor").alias("subcontractor"))
         .withColumnRenamed("project", "id")
     )
-    entered = (
-        periods.restrict(t.time_entry)
-        .groupBy("project", "date")
-        .agg(F.sum("minutes").alias("minutes"))
-        .join(periods.days(), "date")
-        .groupBy(*PERIOD, F.col("project").alias("id"))
-        .agg(F.sum("minutes").alias("time_entry_minutes"))
-    )
+    entered = periods.sum_by(
+        periods.restrict(t.time_entry), "project", time_entry_minutes=F.col("minutes")
+    ).withColumnRenamed("project", "id")
     billable = t.projects.filter(F.col("billable") == BILLABLE).select("id")
     rows = periods.attach(billable)
     return rows.join(grouped, ["id", *PERIOD], "left").join(entered, ["id", *PERIOD], "left")
@@ -301,18 +296,17 @@ def unaccompanied_customer_involvement(t: Tables, periods: Periods) -> DataFrame
     """Customers with exactly one employee who spent over half of their available hours there.
     ``employee_count`` holds that employee's id."""
     minutes = F.col("minutes")
+    worked = periods.restrict(t.time_entry).join(
+        project_classes(t).select("project", "customer", "billable"), "project"
+    )
     involved = (
-        periods.restrict(t.time_entry)
-        .select("employee", "project", "date", "minutes")
-        .join(project_classes(t).select("project", "customer", "billable"), "project")
-        .groupBy("employee", "customer", "date")
-        .agg(
-            F.sum(F.when(F.col("billable") == BILLABLE, minutes).otherwise(0)).alias("billable_minutes"),
-            F.sum(F.when(F.col("billable") == UNAVAILABLE, minutes).otherwise(0)).alias("unavailable_minutes"),
+        periods.sum_by(
+            worked,
+            "employee",
+            "customer",
+            billable=F.when(F.col("billable") == BILLABLE, minutes).otherwise(0),
+            unavailable=F.when(F.col("billable") == UNAVAILABLE, minutes).otherwise(0),
         )
-        .join(periods.days(), "date")
-        .groupBy(*PERIOD, "employee", "customer")
-        .agg(F.sum("billable_minutes").alias("billable"), F.sum("unavailable_minutes").alias("unavailable"))
         .filter(F.col("billable") > 0)
         .join(
             t.employees.select(F.col("id").alias("employee"), "date_of_employment", "termination_date"), "employee"

@@ -21,22 +21,23 @@ def day_spine(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
 
 
 def workday_calendar(days: DataFrame, holidays: DataFrame) -> DataFrame:
-    """Per day: is it a working day, and how many working days lie up to and including it.
+    """Per day: is it a working day, and how many working days lie before it.
 
     The running count is over the calendar only, never over a fact, so one task is enough: a
     century is 36,525 rows.
     """
     off = holidays.select("date").distinct().withColumn("off", F.lit(True))
     flagged = days.join(off, "date", "left").select(
-        "date", (is_weekday(F.col("date")) & F.col("off").isNull()).alias("is_workday")
+        "date", (is_weekday(F.col("date")) & F.col("off").isNull()).cast("int").alias("workdays")
     )
-    to_date = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flagged.withColumn("workdays_to", F.sum(F.col("is_workday").cast("int")).over(to_date))
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    return flagged.withColumn("workdays_before", F.coalesce(F.sum("workdays").over(before), F.lit(0)))
 
 
 def calendar_spanning(ranges: DataFrame, start: str, end: str, holidays: DataFrame) -> DataFrame:
-    """Workday calendar covering every range in a table; the span is found inside the same job."""
-    span = ranges.agg(F.min(start).alias("first"), F.max(end).alias("last"))
+    """Workday calendar covering every range in a table and the day after; the span is found inside the
+    same job."""
+    span = ranges.agg(F.min(start).alias("first"), F.date_add(F.max(end), 1).alias("last"))
     days = span.select(F.explode(days_between(F.col("first"), F.col("last"))).alias("date"))
     return workday_calendar(days, holidays)
 
@@ -49,15 +50,16 @@ def small(frame: DataFrame, rows: int | None) -> DataFrame:
 def with_workdays(
     ranges: DataFrame, start: Column, end: Column, calendar: DataFrame, name: str, days: int | None = None
 ) -> DataFrame:
-    """Add the number of working days in a closed range: the difference of two running counts.
+    """Add the number of working days in a closed range: the count before the day after it, less the count
+    before it. Both look-ups read the same two columns, so Spark builds one broadcast for them.
 
-    NULL bound gives NULL and an empty range gives 0. Non-empty ranges must lie inside the calendar;
-    ``days`` is its length, if known.
+    NULL bound gives NULL and an empty range gives 0. Non-empty ranges, and the day after, must lie
+    inside the calendar; ``days`` is its length, if known.
     """
-    before = calendar.select(
-        F.col("date").alias("_start"), (F.col("workdays_to") - F.col("is_workday").cast("int")).alias("_before")
-    )
-    upto = calendar.select(F.col("date").alias("_end"), F.col("workdays_to").alias("_upto"))
+
+    def lookup(date: str, count: str) -> DataFrame:
+        return small(calendar.select(F.col("date").alias(date), F.col("workdays_before").alias(count)), days)
+
     count = (
         F.when(start.isNull() | end.isNull(), F.lit(None))
         .when(start <= end, F.col("_upto") - F.col("_before"))
@@ -65,8 +67,8 @@ def with_workdays(
         .cast("long")
     )
     return (
-        ranges.join(small(before, days), start == F.col("_start"), "left")
-        .join(small(upto, days), end == F.col("_end"), "left")
+        ranges.join(lookup("_start", "_before"), start == F.col("_start"), "left")
+        .join(lookup("_after", "_upto"), F.date_add(end, 1) == F.col("_after"), "left")
         .withColumn(name, count)
-        .drop("_start", "_end", "_before", "_upto")
+        .drop("_start", "_after", "_before", "_upto")
     )

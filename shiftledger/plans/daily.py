@@ -20,7 +20,6 @@ from shiftledger.functions.codes import (
     is_absence_reason,
 )
 from shiftledger.functions.dates import overlaps
-from shiftledger.plans.calendar import small, with_workdays
 from shiftledger.plans.periods import Periods
 from shiftledger.sources.tables import Tables
 
@@ -164,7 +163,7 @@ def headcount_days(t: Tables, periods: Periods) -> DataFrame:
         .agg(F.sum("step").alias("step"), F.sum("known").alias("known"))
     )
     running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    on_workday = F.col("is_workday").cast("long")
+    on_workday = F.col("workdays").cast("long")
     return (
         periods.calendar(t.holidays)
         .join(steps, "date", "left")
@@ -172,7 +171,7 @@ def headcount_days(t: Tables, periods: Periods) -> DataFrame:
         .withColumn("known_headcount", F.coalesce(F.sum("known").over(running), F.lit(0)))
         .select(
             "date",
-            on_workday.alias("workdays"),
+            "workdays",
             "headcount",
             (F.col("headcount") * on_workday).alias("employee_workdays"),
             (F.col("known_headcount") * on_workday).alias("known_employee_workdays"),
@@ -230,16 +229,8 @@ def possible_days(t: Tables, periods: Periods) -> DataFrame:
 
 def class_minutes(t: Tables, periods: Periods) -> DataFrame:
     """Minutes per period, employee and project class: one scan for all three classes."""
-    return (
-        periods.restrict(t.time_entry)
-        .select("employee", "project", "date", "minutes")
-        .join(project_classes(t).select("project", "billable"), "project")
-        .groupBy("employee", "date", "billable")
-        .agg(F.sum("minutes").alias("minutes"))
-        .join(periods.days(), "date")
-        .groupBy("from_date", "to_date", "employee", "billable")
-        .agg(F.sum("minutes").alias("minutes"))
-    )
+    rows = periods.restrict(t.time_entry).join(project_classes(t).select("project", "billable"), "project")
+    return periods.sum_by(rows, "employee", "billable", minutes=F.col("minutes"))
 
 
 MEASURES = (
@@ -257,8 +248,10 @@ def employee_period_facts(t: Tables, periods: Periods, planned: bool = True) ->
     """Per period and employee: minutes per class, staffed percentages, unavailable absence days and
     the number of working days with an entry.
 
-    Entries, staffing and absence are stacked and folded to (employee, date) once, so no chain of
-    outer joins is needed. ``planned=False`` leaves staffing and absence out.
+    Entries, staffing and absence are stacked, so no chain of outer joins is needed. Different days are
+    counted by one bit per day of the period, which combines inside each task like a sum; for long or
+    overlapping periods rows are folded to (employee, date) first. ``planned=False`` leaves staffing
+    and absence out.
     """
     is_class = {name: F.col("billable") == name for name in (BILLABLE, NONBILLABLE, UNAVAILABLE)}
     classes = project_classes(t).select("project", "billable")
@@ -294,18 +287,19 @@ def employee_period_facts(t: Tables, periods: Periods, planned: bool = True) ->
                 absence_days=F.lit(1),
             )
         )
-    workdays = small(periods.calendar(t.holidays).select("date", "is_workday"), periods.span_days)
-    daily = facts.groupBy("employee", "date").agg(
-        *[F.sum(m).alias(m) for m in MEASURES], F.max("entered").alias("entered")
-    )
+    sums = [F.sum(m).alias(m) for m in MEASURES]
+    days = periods.days(t.holidays)
+    if periods.overlapping or periods.longest > 63:
+        folded = facts.groupBy("employee", "date").agg(*sums, F.max("entered").alias("entered"))
+        entered_workdays = F.sum(F.when(F.col("workdays") == 1, F.col("entered")))
+    else:
+        folded = facts
+        day_bit = F.expr("shiftleft(1L, datediff(date, from_date))")
+        entered_workdays = F.bit_count(F.bit_or(F.when((F.col("workdays") == 1) & (F.col("entered") == 1), day_bit)))
     return (
-        daily.join(workdays, "date")
-        .join(periods.days(), "date")
+        folded.join(days, "date")
         .groupBy("from_date", "to_date", "employee")
-        .agg(
-            *[F.sum(m).alias(m) for m in MEASURES],
-            F.sum(F.when(F.col("is_workday"), F.col("entered"))).alias("entered_workdays"),
-        )
+        .agg(*sums, entered_workdays.alias("entered_workdays"))
     )
 
 
@@ -320,4 +314,4 @@ def with_available_days(rows: DataFrame, t: Tables, periods: Periods) -> DataFra
     """Add workdays_employed: working days of the period cut to the employment interval."""
     start = F.greatest(F.col("date_of_employment"), F.col("from_date"))
     end = F.least(F.col("termination_date"), F.col("to_date"))
-    return with_workdays(rows, start, end, periods.calendar(t.holidays), "workdays_employed", periods.span_days)
+    return periods.with_workdays(rows, t.holidays, start, end, "workdays_employed")

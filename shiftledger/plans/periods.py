@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftledger.functions.dates import days_between, iso_week_monday, iso_weeks_in_year, month_steps
-from shiftledger.plans.calendar import BROADCAST_ROWS, calendar_spanning, day_spine, small, workday_calendar
+from shiftledger.plans.calendar import (
+    BROADCAST_ROWS,
+    calendar_spanning,
+    day_spine,
+    small,
+    with_workdays,
+    workday_calendar,
+)
 
 KEY = ("from_date", "to_date")
 
@@ -69,9 +76,9 @@ class Periods:
     """A table of distinct, non-NULL (from_date, to_date) rows plus what is known about its size.
 
     ``first`` and ``last`` bound all periods. When the caller knows them they become literal date
-    filters that reach the scan of a fact table. ``rows`` is the number of periods; together they
-    decide between broadcasting the periods and shuffling them. ``windows`` is the same rows as one
-    array expression, so that they can be attached to another table without any join.
+    filters that reach the scan of a fact table. ``rows`` is the number of periods and ``longest`` the
+    length in days of the longest one; they decide how periods and facts meet. ``windows`` is the same
+    rows as one array expression, so that they can be attached to another table without any join.
     """
 
     def __init__(
@@ -80,12 +87,14 @@ class Periods:
         first: dt.date | None = None,
         last: dt.date | None = None,
         rows: int | None = None,
+        longest: int | None = None,
         windows: Column | None = None,
     ):
         self.df = df
         self.first = first
         self.last = last
         self.rows = rows
+        self.longest = longest
         self.windows = windows
 
     @property
@@ -95,8 +104,10 @@ class Periods:
     # Constructors
 
     @classmethod
-    def _of_windows(cls, spark: SparkSession, windows: Column, first: dt.date, last: dt.date, rows: int) -> Periods:
-        return cls(spark.range(1).select(F.inline(windows)), first, last, max(rows, 0), windows)
+    def _of_windows(
+        cls, spark: SparkSession, windows: Column, first: dt.date, last: dt.date, rows: int, longest: int
+    ) -> Periods:
+        return cls(spark.range(1).select(F.inline(windows)), first, last, max(rows, 0), longest, windows)
 
     @classmethod
     def single(cls, spark: SparkSession, start: dt.date, end: dt.date) -> Periods:
@@ -110,7 +121,8 @@ class Periods:
             none = F.lit(None).cast("date")
             return cls(spark.range(0).select(none.alias("from_date"), none.alias("to_date")))
         windows = F.array(*[window(F.lit(a), F.lit(b)) for a, b in known])
-        return cls._of_windows(spark, windows, known[0][0], max(b for _, b in known), len(known))
+        longest = max((b - a).days + 1 for a, b in known)
+        return cls._of_windows(spark, windows, known[0][0], max(b for _, b in known), len(known), longest)
 
     @classmethod
     def from_table(cls, df: DataFrame, first: dt.date | None = None, last: dt.date | None = None) -> Periods:
@@ -126,13 +138,14 @@ class Periods:
             dt.date(back // 12, back % 12 + 1, 1),
             end.replace(day=1) - dt.timedelta(days=1),
             _months_touched(start, end),
+            31 * months,
         )
 
     @classmethod
     def year_to_date(cls, spark: SparkSession, start: dt.date, end: dt.date) -> Periods:
         month_end = (end.replace(day=1) + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1)
         windows = year_to_date_windows(F.lit(start), F.lit(end))
-        return cls._of_windows(spark, windows, start, month_end, _months_touched(start, end))
+        return cls._of_windows(spark, windows, start, month_end, _months_touched(start, end), 366)
 
     @classmethod
     def weeks(cls, spark: SparkSession, start: dt.date, end: dt.date, days: int = 7, whole: bool = False) -> Periods:
@@ -147,7 +160,7 @@ class Periods:
             lambda week: window(F.date_add(F.lit(monday), week * 7), F.date_add(F.lit(monday), week * 7 + (days - 1))),
         )
         last = monday + dt.timedelta(days=7 * max(count - 1, 0) + days - 1)
-        return cls._of_windows(spark, windows, monday, last, count)
+        return cls._of_windows(spark, windows, monday, last, count, days)
 
     @classmethod
     def iso_weeks(cls, spark: SparkSession, first_year: int, last_year: int | None = None) -> Periods:
@@ -155,14 +168,14 @@ class Periods:
         last_year = first_year if last_year is None else last_year
         first, after = dt.date.fromisocalendar(first_year, 1, 1), dt.date.fromisocalendar(last_year + 1, 1, 1)
         windows = F.flatten(F.transform(F.sequence(F.lit(first_year), F.lit(last_year)), iso_week_windows))
-        return cls._of_windows(spark, windows, first, after - dt.timedelta(days=1), (after - first).days // 7)
+        return cls._of_windows(spark, windows, first, after - dt.timedelta(days=1), (after - first).days // 7, 7)
 
     @classmethod
     def trailing_weeks(cls, spark: SparkSession, start: dt.date, end: dt.date, weeks: int = 12) -> Periods:
         """For each monthly step from ``start``, the ``weeks`` weeks that end on it."""
         windows = trailing_windows(F.lit(start), F.lit(end), weeks)
         first = start - dt.timedelta(weeks=weeks)
-        return cls._of_windows(spark, windows, first, end, _months_touched(start, end))
+        return cls._of_windows(spark, windows, first, end, _months_touched(start, end), 7 * weeks + 1)
 
     # Use
 
@@ -172,10 +185,6 @@ class Periods:
             return fact
         return fact.filter(F.col(column).between(F.lit(self.first), F.lit(self.last)))
 
-    def per_period(self, frame: DataFrame) -> DataFrame:
-        """A frame with one row per period, broadcast when their number is known and small."""
-        return small(frame, self.rows)
-
     def attach(self, rows: DataFrame, condition=None) -> DataFrame:
         """Each row once per period, or once per period for which ``condition(from, to)`` holds."""
         if self.windows is None:
@@ -186,23 +195,46 @@ class Periods:
             windows = F.filter(windows, lambda w: condition(w["from_date"], w["to_date"]))
         return rows.select("*", F.inline(windows))
 
-    def days(self) -> DataFrame:
-        """Every day of every period, ready to be joined to day-level rows on ``date``.
+    def days(self, holidays: DataFrame | None = None) -> DataFrame:
+        """Every day of every period, ready to be joined to day-level rows on ``date``; with ``holidays``,
+        also whether it is a working day.
 
         Spark estimates this table by the few rows before the explode, so the size is checked here:
         broadcast when the bound is small, sort-merge join when it is large or unknown.
         """
         days = self.df.select(*KEY, F.explode(days_between(F.col("from_date"), F.col("to_date"))).alias("date"))
+        if holidays is not None:
+            days = days.join(small(self.calendar(holidays).select("date", "workdays"), self.span_days), "date")
         if self.rows is None or self.span_days is None or self.rows * self.span_days > BROADCAST_ROWS:
             return days.hint("merge")
         return F.broadcast(days)
 
+    @property
+    def overlapping(self) -> bool:
+        """Can a day lie in many periods? Unknown counts as yes."""
+        if self.rows is None or self.longest is None or self.span_days is None:
+            return True
+        return self.rows * self.longest > 2 * self.span_days
+
+    def sum_by(self, rows: DataFrame, *keys: str, **measures: Column) -> DataFrame:
+        """Sum row-level measures by key and period.
+
+        Periods that hardly overlap are attached to the rows directly and combined inside each task: one
+        shuffle of (key, period) sums. Where each day lies in many periods, rows are first folded to
+        (key, date), so that only day sums are multiplied.
+        """
+        rows = rows.select(*keys, "date", *[column.alias(name) for name, column in measures.items()])
+        sums = [F.sum(name).alias(name) for name in measures]
+        if self.overlapping:
+            rows = rows.groupBy(*keys, "date").agg(*sums)
+        return rows.join(self.days(), "date").groupBy(*KEY, *keys).agg(*sums)
+
     @property
     def span_days(self) -> int | None:
-        """Length of the calendar over all periods, if known."""
+        """Length of the calendar over all periods, if known. It includes the day after the last one."""
         if self.first is None or self.last is None:
             return None
-        return max((self.last - self.first).days, 0) + 1
+        return max((self.last - self.first).days, 0) + 2
 
     def calendar(self, holidays: DataFrame) -> DataFrame:
         """Workday calendar over all periods."""
@@ -211,6 +243,10 @@ class Periods:
         last = self.first + dt.timedelta(days=self.span_days - 1)
         return workday_calendar(day_spine(self.spark, self.first, last), holidays)
 
+    def with_workdays(self, rows: DataFrame, holidays: DataFrame, start: Column, end: Column, name: str) -> DataFrame:
+        """Add the working days of a range inside the periods, e.g. of a period cut to an employment."""
+        return with_workdays(rows, start, end, self.calendar(holidays), name, self.span_days)
+
     def total(self, daily: DataFrame, *measures: str) -> DataFrame:
         """Sum day-level measures over each period. A period without any such day keeps NULL sums."""
         sums = self.days().join(daily, "date").groupBy(*KEY).agg(*[F.sum(m).alias(m) for m in measures])
