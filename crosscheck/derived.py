@@ -17,6 +17,18 @@ NAMED_CODES = (
     "FER1000", "SYK1000", "SYK1001", "SYK1002", "PER1000", "PER1001", "PER1002", "FAG1000", "ADM1003",
     "INT1000", "INT2000", "REK1000", "ADM1000", "SAL1000", "PER1003", "PER1005", "REK1010", "SYK1003",
 )
+SOURCES = {
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,
+        l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING,
+        l_shipdate TIMESTAMP_NTZ""",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
 UNAVAILABLE_KEYS = (0, 1, 2, 3, 4, 5, 6, 14, 17)
 NONBILLABLE_KEYS = (7, 8, 9, 10, 11, 12, 13, 15, 16)
 HOLIDAYS = (dt.date(1994, 1, 1), dt.date(2002, 12, 31))
@@ -38,7 +50,7 @@ def booked_code(key: Column) -> Column:
 def derived_tables(spark: SparkSession, folder: str) -> Tables:
     @cache
     def source(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(SOURCES[name]).parquet(f"{folder}/{name}.parquet")
 
     @cache
     def employees() -> DataFrame:

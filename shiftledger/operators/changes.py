@@ -185,6 +185,23 @@ def remove_staffing(t: Tables, requests: DataFrame) -> Change:
 
 # Staffing by week
 
+MOST_DAYS_OF_A_WEEK = 7
+# Calendar year and ISO week number together can also name the last days of December.
+MOST_DAYS_OF_A_NAMED_WEEK = 9
+
+
+def _in_turn(requests: DataFrame, most: int, *week: str) -> DataFrame:
+    """Give each request the days after those of earlier requests for the same week: positions above _after
+    up to _upto.
+
+    Every request takes at least one day, so only the first ``most`` can get any. Ranking them is pruned
+    inside each task before the shuffle, and no group is larger than that afterwards.
+    """
+    order = Window.partitionBy(*week).orderBy("seq")
+    first = requests.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= most).drop("_turn")
+    upto = first.withColumn("_upto", F.sum("days").over(order))
+    return upto.withColumn("_after", F.col("_upto") - F.col("days"))
+
 
 def add_staffing_in_week(t: Tables, requests: DataFrame) -> Change:
     """Plan the first ``days`` free working days of a week, at 100 percent, for (seq, employee, project, year,
@@ -193,19 +210,16 @@ def add_staffing_in_week(t: Tables, requests: DataFrame) -> Change:
     Requests of one employee for the same week follow one another: the free days, at most five, are
     numbered and handed out in order, so no two requests get the same day.
     """
-    asked = requests.withColumn("monday", iso_week_monday(F.col("year"), F.col("week")))
-    order = Window.partitionBy("employee", "monday").orderBy("seq")
-    # A request takes the days after those of earlier requests; a week has seven days at most.
-    numbered = asked.withColumn("_upto", F.sum(F.greatest("days", F.lit(0))).over(order)).withColumn(
-        "_after", F.col("_upto") - F.greatest("days", F.lit(0))
-    )
+    asked = requests.filter(F.col("days") > 0).withColumn("monday", iso_week_monday(F.col("year"), F.col("week")))
+    numbered = _in_turn(asked, MOST_DAYS_OF_A_WEEK, "employee", "monday")
     weeks = asked.select("employee", "year", "week", "monday").dropDuplicates(["employee", "monday"])
     free = available_dates(t, weeks).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("employee", "monday").orderBy("available_date"))
     )
-    given = numbered.filter((F.col("_after") < 7) & (F.col("days") > 0)).join(
-        free.select("employee", "monday", "available_date", "_rank"), ["employee", "monday"]
-    ).filter((F.col("_rank") > F.col("_after")) & (F.col("_rank") <= F.col("_upto")))
+    in_turn = (F.col("_rank") > F.col("_after")) & (F.col("_rank") <= F.col("_upto"))
+    given = numbered.join(free.select("employee", "monday", "available_date", "_rank"), ["employee", "monday"]).filter(
+        in_turn
+    )
     new = given.select(
         "seq", "employee", "project", F.col("available_date").alias("date"), F.lit(100).alias("percentage")
     )
@@ -222,9 +236,7 @@ def remove_staffing_in_week(t: Tables, requests: DataFrame) -> Change:
     Requests for the same employee, project and week follow one another, each taking the days left.
     """
     key = ["employee", "project", "year", "week"]
-    order = Window.partitionBy(*key).orderBy("seq")
-    amount = F.greatest("days", F.lit(0))
-    numbered = requests.withColumn("_upto", F.sum(amount).over(order)).withColumn("_after", F.col("_upto") - amount)
+    numbered = _in_turn(requests.filter(F.col("days") > 0), MOST_DAYS_OF_A_NAMED_WEEK, *key)
     wanted = requests.select(*key).distinct()
     staffed = (
         t.staffing.withColumn("year", F.year("date"))
