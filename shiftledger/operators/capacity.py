@@ -121,7 +121,8 @@ def employee_worked_days_per_week(
 def worked_days_per_week(t: Tables, start: dt.date, weeks: int = 8) -> DataFrame:
     """The weekly buckets of all known employees."""
     known = t.employees.select(F.col("id").alias("employee"))
-    return employee_worked_days_per_week(t, start, weeks).join(known, "employee", "left_semi")
+    weekly = employee_worked_days_per_week(t, start, weeks).join(known, "employee", "left_semi")
+    return weekly.select("employee", "projects", "start_of_week", "days")
 
 
 def default_start_of_week(today: dt.date) -> dt.date:
@@ -215,11 +216,12 @@ def weekly_staffing_json(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """One JSON document per employee and planned project, with an object per ISO week; ``sub_row`` is NULL
     for an employee with nothing planned. Documents are not merged into one for the whole company,
     which would have to pass through a single task; the array is a matter of the reader."""
+    by_text = F.transform_keys("dates", lambda date, _: date.cast("string")).alias("dates")
     week_data = F.map_from_entries(
         F.array_sort(
             F.collect_list(
                 F.when(
-                    F.col("project").isNotNull(), F.struct("week", F.struct("dates", "availability").alias("data"))
+                    F.col("project").isNotNull(), F.struct("week", F.struct(by_text, "availability").alias("data"))
                 )
             ),
             lambda a, b: F.when(a["week"] < b["week"], -1).when(a["week"] > b["week"], 1).otherwise(0),
