@@ -405,10 +405,15 @@ in_range("e15_kpi_accumulated_ot", kpi.kpi_accumulated_ot)
 
 @query("e16_unaccompanied_customer_involvement_in_period")
 def _(t):
-    return kpi.unaccompanied_customer_involvement(t, Periods.month_windows(t.spark, START, END, 2))
+    return kpi.unaccompanied_customer_involvement(t, Periods.month_windows(t.spark, START, END, 2), safe=True)
+
+
+@query("e17_unaccompanied_customer_involvement_kpi")
+def _(t):
+    return kpi.unaccompanied_customer_involvement_kpi(t, START, END, safe=True)
+
 
 
-in_range("e17_unaccompanied_customer_involvement_kpi", kpi.unaccompanied_customer_involvement_kpi)
 in_range("e18_monthly_balance_summary", kpi.monthly_balance_summary)
 
 

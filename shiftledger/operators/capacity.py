@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shiftledger.functions.codes import BILLABLE, HOURS_PER_DAY, NONBILLABLE, UNAVAILABLE
 from shiftledger.functions.dates import days_between, is_weekday, iso_week_label, iso_week_monday, week_start
+from shiftledger.functions.ratios import ratio
 from shiftledger.operators.calendar import week_dates, without_holidays
 from shiftledger.plans.daily import (
     blocked_days,
@@ -324,16 +325,16 @@ def weekly_availability_json(t: Tables, start: dt.date, end: dt.date) -> DataFra
     return as_week_object(weekly_availability(t, start, end), "week", "availability")
 
 
-def weekly_forecasted_fg(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def weekly_forecasted_fg(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Forecast billing ratio per ISO week, truncated toward zero."""
     weeks = Periods.weeks(t.spark, start, end, whole=True)
-    return forecasted_fg(t, weeks).select(
+    return forecasted_fg(t, weeks, safe).select(
         iso_week_label(F.col("from_date")).alias("week"), F.col("percent").cast("long").alias("percent")
     )
 
 
-def weekly_forecasted_fg_json(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
-    return as_week_object(weekly_forecasted_fg(t, start, end), "week", "percent")
+def weekly_forecasted_fg_json(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
+    return as_week_object(weekly_forecasted_fg(t, start, end, safe), "week", "percent")
 
 
 def weekly_fg(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
@@ -401,7 +402,7 @@ def forecasted_available_hours(t: Tables, periods: Periods) -> DataFrame:
     )
 
 
-def forecasted_fg(t: Tables, periods: Periods) -> DataFrame:
+def forecasted_fg(t: Tables, periods: Periods, safe: bool = False) -> DataFrame:
     """Planned billable hours by forecast available hours, in percent."""
     daily = _forecast_days(t, periods).join(
         staffing_days(t, periods).select("date", "billable_staffings"), "date", "left"
@@ -415,7 +416,7 @@ def forecasted_fg(t: Tables, periods: Periods) -> DataFrame:
         *PERIOD,
         planned.alias("planned_billable_hours"),
         available.alias("available_hours"),
-        (planned / available * 100).alias("percent"),
+        (ratio(planned, available, safe) * 100).alias("percent"),
     )
 
 
@@ -498,7 +499,7 @@ def _named_monday(day: dt.date) -> dt.date:
     return january - dt.timedelta(days=january.weekday()) + dt.timedelta(weeks=day.isocalendar().week - 1)
 
 
-def staffing_and_billing_overview(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def staffing_and_billing_overview(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Per week reached by stepping from ``start``: planned against actual hours and billing ratio.
 
     Weeks are named by calendar year and ISO week number, and their dates follow from that name, so
@@ -529,13 +530,13 @@ def staffing_and_billing_overview(t: Tables, start: dt.date, end: dt.date) -> Da
             *PERIOD,
             available.alias("available_hours"),
             billable.alias("billable_hours"),
-            (billable / available * 100).alias("planned_fg"),
+            (ratio(billable, available, safe) * 100).alias("planned_fg"),
             actual_available.alias("actual_available_hours"),
             actual_billable.alias("actual_billable_hours"),
-            (actual_billable / actual_available * 100).alias("actual_fg"),
+            (ratio(actual_billable, actual_available, safe) * 100).alias("actual_fg"),
             (actual_available - available).alias("deviation_available_hours"),
             (actual_billable - billable).alias("deviation_billable_hours"),
-            ((actual_billable - billable) / available * 100).alias("deviation_fg"),
+            (ratio(actual_billable - billable, available, safe) * 100).alias("deviation_fg"),
         )
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shiftledger.functions.codes import BILLABLE, HOURS_PER_DAY, UNAVAILABLE
 from shiftledger.functions.dates import iso_week_monday
+from shiftledger.functions.ratios import ratio
 from shiftledger.operators.capacity import accumulated_billed_hours, planned_billable_hours
 from shiftledger.operators.dimensions import number_of_employees_in_periods
 from shiftledger.plans.daily import entry_days, headcount_days, project_classes, with_available_days
@@ -21,18 +22,18 @@ PERIOD = ("from_date", "to_date")
 # Billing ratio
 
 
-def fg(t: Tables, periods: Periods) -> DataFrame:
+def fg(t: Tables, periods: Periods, safe: bool = False) -> DataFrame:
     """Billed by available hours in percent; no row for a period without billed hours."""
-    ratio = F.col("sum_billable_hours") / F.col("sum_available_hours") * 100
-    return accumulated_billed_hours(t, periods).select(*PERIOD, ratio.alias("fg"))
+    billed = ratio(F.col("sum_billable_hours"), F.col("sum_available_hours"), safe) * 100
+    return accumulated_billed_hours(t, periods).select(*PERIOD, billed.alias("fg"))
 
 
-def kpi_fg(t: Tables, start: dt.date, end: dt.date, months: int = 6) -> DataFrame:
-    return fg(t, Periods.month_windows(t.spark, start, end, months))
+def kpi_fg(t: Tables, start: dt.date, end: dt.date, months: int = 6, safe: bool = False) -> DataFrame:
+    return fg(t, Periods.month_windows(t.spark, start, end, months), safe)
 
 
-def kpi_accumulated_fg(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
-    return fg(t, Periods.year_to_date(t.spark, start, end)).toDF("sum_start_date", "sum_end_date", "summed_fg")
+def kpi_accumulated_fg(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
+    return fg(t, Periods.year_to_date(t.spark, start, end), safe).toDF("sum_start_date", "sum_end_date", "summed_fg")
 
 
 # Other ratios of hours
@@ -47,17 +48,17 @@ def kpi_product_development(t: Tables, start: dt.date, end: dt.date) -> DataFram
     )
 
 
-def kpi_sick(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def kpi_sick(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Self-reported sick hours by business hours per six-month window."""
     windows = Periods.month_windows(t.spark, start, end)
     daily = headcount_days(t, windows).join(entry_days(t, windows).select("date", "sick_minutes"), "date", "left")
     business = F.col("employee_workdays") * F.lit(HOURS_PER_DAY)
     return windows.total(daily, "employee_workdays", "sick_minutes").select(
-        *PERIOD, (F.col("sick_minutes") / F.lit(60.0) / business).alias("payload")
+        *PERIOD, ratio(F.col("sick_minutes") / F.lit(60.0), business, safe).alias("payload")
     )
 
 
-def kpi_prodev(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def kpi_prodev(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Professional development hours by available hours, in percent, per six-month window."""
     windows = Periods.month_windows(t.spark, start, end)
     development = windows.total(entry_days(t, windows).select("date", "development_minutes"), "development_minutes")
@@ -68,14 +69,14 @@ def kpi_prodev(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
         .join(development, list(PERIOD))
         .select(
             *PERIOD,
-            (hours / available * 100).alias("percent"),
+            (ratio(hours, available, safe) * 100).alias("percent"),
             hours.alias("project_hours"),
             available.alias("available_hours"),
         )
     )
 
 
-def kpi_fgdev(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def kpi_fgdev(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Planned against billed hours over the twelve weeks before each monthly step, with the deviation in
     percent of the billed hours."""
     windows = Periods.trailing_weeks(t.spark, start, end)
@@ -87,19 +88,19 @@ def kpi_fgdev(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
             *PERIOD,
             planned.alias("planned_billable_hours"),
             billed.alias("achieved_billable_hours"),
-            ((billed - planned) / billed * 100).alias("deviation"),
+            (ratio(billed - planned, billed, safe) * 100).alias("deviation"),
         )
     )
 
 
-def kpi_visibility(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def kpi_visibility(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Stored weekly snapshots whose Monday is in the range: billable by available hours, in percent."""
     monday = iso_week_monday(F.col("year"), F.col("week"))
     return t.reporting_visibility.filter(monday.between(F.lit(start), F.lit(end))).select(
         "week",
         "year",
         monday.alias("week_date"),
-        (F.col("billable_hours") / F.col("available_hours") * 100).alias("percent"),
+        (ratio(F.col("billable_hours"), F.col("available_hours"), safe) * 100).alias("percent"),
     )
 
 
@@ -176,7 +177,7 @@ def accumulated_reconciliation(t: Tables, periods: Periods) -> DataFrame:
     )
 
 
-def ot(t: Tables, periods: Periods) -> DataFrame:
+def ot(t: Tables, periods: Periods, safe: bool = False) -> DataFrame:
     """Achieved hourly price: net invoiced amount by billed hours. No row without billed hours."""
     return (
         accumulated_reconciliation(t, periods)
@@ -190,19 +191,19 @@ def ot(t: Tables, periods: Periods) -> DataFrame:
             "subcontractor_hours",
             "subcontractor_expense",
             F.col("sum_billable_hours").alias("billable_hours"),
-            (F.col("amount_net") / F.col("sum_billable_hours")).alias("ot"),
+            ratio(F.col("amount_net"), F.col("sum_billable_hours"), safe).alias("ot"),
         )
     )
 
 
-def ot_rolling(t: Tables, start: dt.date, end: dt.date, months: int = 6) -> DataFrame:
+def ot_rolling(t: Tables, start: dt.date, end: dt.date, months: int = 6, safe: bool = False) -> DataFrame:
     windows = Periods.month_windows(t.spark, start, end, months)
-    return ot(t, windows).withColumnsRenamed({"from_date": "from_d", "to_date": "to_d"})
+    return ot(t, windows, safe).withColumnsRenamed({"from_date": "from_d", "to_date": "to_d"})
 
 
-def kpi_accumulated_ot(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def kpi_accumulated_ot(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     windows = Periods.year_to_date(t.spark, start, end)
-    return ot(t, windows).select(
+    return ot(t, windows, safe).select(
         F.col("from_date").alias("sum_start_date"), F.col("to_date").alias("sum_end_date"), F.col("ot").alias("summed_ot")
     )
 
@@ -269,10 +270,11 @@ def _economics_totals(t: Tables, windows: Periods, fan_out: bool) -> DataFrame:
     )
 
 
-def kpi_ul(t: Tables, start: dt.date, end: dt.date, fan_out: bool = True) -> DataFrame:
+def kpi_ul(t: Tables, start: dt.date, end: dt.date, fan_out: bool = True, safe: bool = False) -> DataFrame:
     """Subcontractor money by invoiced money per six-month window."""
     totals = _economics_totals(t, Periods.month_windows(t.spark, start, end), fan_out)
-    return totals.select(*PERIOD, (_money(F.col("subcontractor")) / _money(F.col("amount"))).alias("payload"))
+    share = ratio(_money(F.col("subcontractor")), _money(F.col("amount")), safe)
+    return totals.select(*PERIOD, share.alias("payload"))
 
 
 def monthly_balance_summary(t: Tables, start: dt.date, end: dt.date, fan_out: bool = True) -> DataFrame:
@@ -292,7 +294,7 @@ def monthly_balance_summary(t: Tables, start: dt.date, end: dt.date, fan_out: bo
 # Customers that depend on one person
 
 
-def unaccompanied_customer_involvement(t: Tables, periods: Periods) -> DataFrame:
+def unaccompanied_customer_involvement(t: Tables, periods: Periods, safe: bool = False) -> DataFrame:
     """Customers with exactly one employee who spent over half of their available hours there.
     ``employee_count`` holds that employee's id."""
     minutes = F.col("minutes")
@@ -315,7 +317,7 @@ def unaccompanied_customer_involvement(t: Tables, periods: Periods) -> DataFrame
     available = F.col("workdays_employed") * F.lit(HOURS_PER_DAY) - F.col("unavailable") / F.lit(60.0)
     return (
         with_available_days(involved, t, periods)
-        .filter(F.col("billable") / F.lit(60.0) / available > 0.5)
+        .filter(ratio(F.col("billable") / F.lit(60.0), available, safe) > 0.5)
         .groupBy(*PERIOD, F.col("customer").alias("customer_id"))
         .agg(F.count("*").alias("n"), F.sum("employee").cast("int").alias("employee_count"))
         .filter(F.col("n") == 1)
@@ -323,10 +325,10 @@ def unaccompanied_customer_involvement(t: Tables, periods: Periods) -> DataFrame
     )
 
 
-def unaccompanied_customer_involvement_kpi(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def unaccompanied_customer_involvement_kpi(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Such customers by permanent employees per two-month window; a window without any has no row."""
     windows = Periods.month_windows(t.spark, start, end, 2)
-    customers = unaccompanied_customer_involvement(t, windows).groupBy(*PERIOD).agg(F.count("*").alias("customers"))
+    customers = unaccompanied_customer_involvement(t, windows, safe).groupBy(*PERIOD).agg(F.count("*").alias("customers"))
     return customers.join(number_of_employees_in_periods(t, windows), list(PERIOD)).select(
-        *PERIOD, (F.col("customers") / F.col("employee_count")).alias("percent")
+        *PERIOD, ratio(F.col("customers"), F.col("employee_count"), safe).alias("percent")
     )

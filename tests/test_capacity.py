@@ -258,6 +258,20 @@ def test_customer_with_one_involved_employee(spark, make_tables):
     assert rows_of(kpi.unaccompanied_customer_involvement(t, period), "customer_id", "employee_count") == [("x", 1)]
 
 
+def test_zero_divisor_fails_unless_safe(spark, make_tables):
+    t = make_tables(
+        employees=[{"id": 1, "date_of_employment": day("2020-01-01")}],
+        projects=[{"id": "B"}, {"id": "FER1000", "billable": "unavailable"}],
+        time_entry=[
+            {"employee": 1, "project": p, "date": day("2024-01-08"), "minutes": 450} for p in ("B", "FER1000")
+        ],
+    )
+    period = Periods.single(spark, day("2024-01-08"), day("2024-01-08"))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        kpi.fg(t, period).collect()
+    assert kpi.fg(t, period, safe=True).first().fg is None
+
+
 # Vacation
 
 
