@@ -481,16 +481,22 @@ def possible_work_dates_per_employee(t: Tables, periods: Periods) -> DataFrame:
     )
 
 
+STAFFING_CLASSES = (BILLABLE, NONBILLABLE, UNAVAILABLE)
+STAFFING_MEASURES = ("possible_workdays", *(f"{c}_staffings" for c in STAFFING_CLASSES))
+
+
+def _staffing_hours() -> list[Column]:
+    """Hours over totals of STAFFING_MEASURES."""
+    return [
+        (F.coalesce("possible_workdays", F.lit(0)) * F.lit(HOURS_PER_DAY)).alias("available_hours"),
+        *[(F.col(f"{c}_staffings") * F.lit(HOURS_PER_DAY)).alias(f"{c}_hours") for c in STAFFING_CLASSES],
+    ]
+
+
 def accumulated_staffing_hours(t: Tables, periods: Periods) -> DataFrame:
     """Possible working hours, and 7.5 hours per staffing row by class (NULL without any staffing)."""
     daily = possible_days(t, periods).join(staffing_days(t, periods), "date", "left")
-    classes = (BILLABLE, NONBILLABLE, UNAVAILABLE)
-    totals = periods.total(daily, "possible_workdays", *[f"{c}_staffings" for c in classes])
-    return totals.select(
-        *PERIOD,
-        (F.coalesce("possible_workdays", F.lit(0)) * F.lit(HOURS_PER_DAY)).alias("available_hours"),
-        *[(F.col(f"{c}_staffings") * F.lit(HOURS_PER_DAY)).alias(f"{c}_hours") for c in classes],
-    )
+    return periods.total(daily, *STAFFING_MEASURES).select(*PERIOD, *_staffing_hours())
 
 
 def _named_monday(day: dt.date) -> dt.date:
@@ -517,13 +523,14 @@ def staffing_and_billing_overview(t: Tables, start: dt.date, end: dt.date, safe:
         mondays = [start]
     periods = Periods.from_table(weeks, first=min(mondays), last=max(mondays) + dt.timedelta(days=6))
     periods.rows = len(mondays)
-    planned = accumulated_staffing_hours(t, periods)
-    actual = accumulated_billed_hours(t, periods)
+    daily = possible_days(t, periods).join(staffing_days(t, periods), "date", "left")
+    daily = daily.join(entry_days(t, periods), "date", "left")
+    totals = periods.total(daily, *STAFFING_MEASURES, *BILLED_MEASURES).filter(F.col("billable_entries") > 0)
+    hours = totals.select(*PERIOD, *_staffing_hours(), *billed_hours())
     available, billable = F.col("available_hours"), F.col("billable_hours")
     actual_available, actual_billable = F.col("sum_available_hours"), F.col("sum_billable_hours")
     return (
-        weeks.join(planned, list(PERIOD))
-        .join(actual, list(PERIOD))
+        weeks.join(hours, list(PERIOD))
         .select(
             "year",
             "week",
@@ -554,24 +561,25 @@ def sum_business_hours(t: Tables, periods: Periods) -> DataFrame:
     )
 
 
-def accumulated_billed_hours(t: Tables, periods: Periods) -> DataFrame:
-    """Available hours (business less unavailable) and billed hours per period. A period without billable
-    entries has no row; available hours are NULL when nothing unavailable was entered."""
-    daily = (
-        headcount_days(t, periods)
-        .select("date", "employee_workdays")
-        .join(
-            entry_days(t, periods).select("date", "unavailable_minutes", "billable_minutes", "billable_entries"),
-            "date",
-            "left",
-        )
-    )
-    totals = periods.total(
-        daily, "employee_workdays", "unavailable_minutes", "billable_minutes", "billable_entries"
-    )
+BILLED_MEASURES = ("employee_workdays", "unavailable_minutes", "billable_minutes", "billable_entries")
+
+
+def billed_days(t: Tables, periods: Periods) -> DataFrame:
+    """Head counts and time entries per day."""
+    return headcount_days(t, periods).join(entry_days(t, periods), "date", "left")
+
+
+def billed_hours() -> list[Column]:
+    """Hours over totals of BILLED_MEASURES; only meant for periods with billable entries."""
     business = F.col("employee_workdays") * F.lit(HOURS_PER_DAY)
-    return totals.filter(F.col("billable_entries") > 0).select(
-        *PERIOD,
+    return [
         (business - F.col("unavailable_minutes") / F.lit(60.0)).alias("sum_available_hours"),
         (F.col("billable_minutes") / F.lit(60.0)).alias("sum_billable_hours"),
-    )
+    ]
+
+
+def accumulated_billed_hours(t: Tables, periods: Periods) -> DataFrame:
+    """Available hours (business less unavailable) and billed hours per period. A period without billable
+    entries has no row; available hours are NULL when nothing unavailable was entered."""
+    totals = periods.total(billed_days(t, periods), *BILLED_MEASURES)
+    return totals.filter(F.col("billable_entries") > 0).select(*PERIOD, *billed_hours())

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from shiftledger.functions.codes import BILLABLE, HOURS_PER_DAY, UNAVAILABLE
 from shiftledger.functions.dates import iso_week_monday
 from shiftledger.functions.ratios import ratio
-from shiftledger.operators.capacity import accumulated_billed_hours, planned_billable_hours
+from shiftledger.operators.capacity import BILLED_MEASURES, accumulated_billed_hours, billed_days, billed_hours
 from shiftledger.operators.dimensions import number_of_employees_in_periods
-from shiftledger.plans.daily import entry_days, headcount_days, project_classes, with_available_days
+from shiftledger.plans.daily import entry_days, headcount_days, project_classes, staffing_days, with_available_days
 from shiftledger.plans.periods import Periods
 from shiftledger.sources.tables import Tables
 
@@ -61,12 +61,11 @@ def kpi_sick(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> Dat
 def kpi_prodev(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> DataFrame:
     """Professional development hours by available hours, in percent, per six-month window."""
     windows = Periods.month_windows(t.spark, start, end)
-    development = windows.total(entry_days(t, windows).select("date", "development_minutes"), "development_minutes")
-    available = F.col("sum_available_hours")
-    hours = F.col("development_minutes") / F.lit(60.0)
+    totals = windows.total(billed_days(t, windows), *BILLED_MEASURES, "development_minutes")
+    hours, available = F.col("development_minutes") / F.lit(60.0), F.col("sum_available_hours")
     return (
-        accumulated_billed_hours(t, windows)
-        .join(development, list(PERIOD))
+        totals.filter(F.col("billable_entries") > 0)
+        .select(*PERIOD, "development_minutes", *billed_hours())
         .select(
             *PERIOD,
             (ratio(hours, available, safe) * 100).alias("percent"),
@@ -80,16 +79,16 @@ def kpi_fgdev(t: Tables, start: dt.date, end: dt.date, safe: bool = False) -> Da
     """Planned against billed hours over the twelve weeks before each monthly step, with the deviation in
     percent of the billed hours."""
     windows = Periods.trailing_weeks(t.spark, start, end)
-    billed, planned = F.col("sum_billable_hours"), F.col("billable_hours")
-    return (
-        accumulated_billed_hours(t, windows)
-        .join(planned_billable_hours(t, windows), list(PERIOD))
-        .select(
-            *PERIOD,
-            planned.alias("planned_billable_hours"),
-            billed.alias("achieved_billable_hours"),
-            (ratio(billed - planned, billed, safe) * 100).alias("deviation"),
-        )
+    staffed = staffing_days(t, windows).select("date", "billable_staffings")
+    daily = billed_days(t, windows).join(staffed, "date", "left")
+    totals = windows.total(daily, *BILLED_MEASURES, "billable_staffings").filter(F.col("billable_entries") > 0)
+    planned = F.coalesce("billable_staffings", F.lit(0)) * F.lit(HOURS_PER_DAY)
+    billed = F.col("sum_billable_hours")
+    return totals.select(*PERIOD, planned.alias("planned"), *billed_hours()).select(
+        *PERIOD,
+        F.col("planned").alias("planned_billable_hours"),
+        billed.alias("achieved_billable_hours"),
+        (ratio(billed - F.col("planned"), billed, safe) * 100).alias("deviation"),
     )
 
 

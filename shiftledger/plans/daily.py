@@ -212,7 +212,7 @@ def blocked_days(t: Tables, periods: Periods) -> DataFrame:
 
 
 def possible_days(t: Tables, periods: Periods) -> DataFrame:
-    """Per day, the number of employees for whom it is a possible working day."""
+    """Head counts per day, plus the number of employees for whom it is a possible working day."""
     blocked = (
         blocked_days(t, periods)
         .join(employment(t), "employee")
@@ -221,7 +221,8 @@ def possible_days(t: Tables, periods: Periods) -> DataFrame:
         .agg(F.count("*").alias("blocked"))
     )
     possible = F.col("known_employee_workdays") - F.col("workdays") * F.coalesce("blocked", F.lit(0))
-    return headcount_days(t, periods).join(blocked, "date", "left").select("date", possible.alias("possible_workdays"))
+    counts = headcount_days(t, periods).join(blocked, "date", "left")
+    return counts.withColumn("possible_workdays", possible).drop("blocked")
 
 
 # Employee level
