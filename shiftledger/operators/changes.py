@@ -48,12 +48,11 @@ def _request_days(requests: DataFrame) -> DataFrame:
 
 
 def _first_per_key(rows: DataFrame, *keys: str, last: bool = False) -> DataFrame:
-    """The first (or last) request per key. A maximum of structs folds inside each task, so a key that
-    many requests share does not have to be gathered."""
+    """The first (or last) request per key, folded inside each task, so a key that many requests share does
+    not have to be gathered."""
     others = [c for c in rows.columns if c not in keys and c != "seq"]
-    pick = F.max if last else F.min
-    best = rows.groupBy(*keys).agg(pick(F.struct("seq", *others)).alias("_best"))
-    return best.select(*keys, "_best.seq", *[f"_best.{c}" for c in others])
+    extreme, at_extreme = (F.max, F.max_by) if last else (F.min, F.min_by)
+    return rows.groupBy(*keys).agg(extreme("seq").alias("seq"), *[at_extreme(c, "seq").alias(c) for c in others])
 
 
 def _as_staffing(rows: DataFrame) -> DataFrame:

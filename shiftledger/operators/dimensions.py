@@ -215,8 +215,8 @@ def projects_for_employee_dates(t: Tables, periods: Periods) -> DataFrame:
     the absence reasons counts twice. Sources are stacked and folded once, so that no outer join has
     to move all unmatched rows through one NULL key.
     """
-    reasons = F.broadcast(absence_reasons(t).select(F.col("id").alias("reason"), F.col("name").alias("absence_name")))
-    none_int, none_text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    reasons = F.broadcast(absence_reasons(t).select(F.col("id").alias("reason")))
+    none_int = F.lit(None).cast("long")
     staffed = periods.restrict(t.staffing).select(
         "employee",
         "date",
@@ -225,7 +225,7 @@ def projects_for_employee_dates(t: Tables, periods: Periods) -> DataFrame:
         none_int.alias("minutes"),
         F.lit(0).alias("entered"),
         none_int.alias("absent"),
-        none_text.alias("absence_name"),
+        F.lit(0).alias("absences"),
     )
     entered = periods.restrict(t.time_entry).select(
         "employee",
@@ -235,7 +235,7 @@ def projects_for_employee_dates(t: Tables, periods: Periods) -> DataFrame:
         F.col("minutes").cast("long").alias("minutes"),
         F.lit(1).alias("entered"),
         none_int.alias("absent"),
-        none_text.alias("absence_name"),
+        F.lit(0).alias("absences"),
     )
     absent = (
         periods.restrict(t.absence)
@@ -248,7 +248,7 @@ def projects_for_employee_dates(t: Tables, periods: Periods) -> DataFrame:
             none_int.alias("minutes"),
             F.lit(0).alias("entered"),
             F.col("percentage").cast("long").alias("absent"),
-            "absence_name",
+            F.lit(1).alias("absences"),
         )
     )
     folded = (
@@ -260,8 +260,7 @@ def projects_for_employee_dates(t: Tables, periods: Periods) -> DataFrame:
             F.sum("minutes").alias("minutes"),
             F.max("entered").alias("entered"),
             F.sum("absent").alias("absent"),
-            F.count("absence_name").alias("absences"),
-            F.max("absence_name").alias("absence_name"),
+            F.sum("absences").alias("absences"),
         )
     )
     projects = t.projects.select(F.col("id").alias("project"), "name", "customer")
@@ -269,6 +268,8 @@ def projects_for_employee_dates(t: Tables, periods: Periods) -> DataFrame:
     known = folded.join(projects, "project", "left").join(customers, "customer", "left")
     is_staffed = F.col("staffed").isNotNull() & F.col("customer_name").isNotNull()
     fan_out = F.greatest(F.col("absences"), F.lit(1))
+    code, constant_name, _ = TIME_OFF_IN_LIEU
+    absence_name = F.greatest(F.col("name"), F.when(F.col("project") == code, F.lit(constant_name)))
     worked_name = F.when(F.col("entered") == 1, F.col("name"))
     worked_customer = F.when(F.col("entered") == 1, F.col("customer_name"))
     internal = F.when(F.col("absences") > 0, F.lit("Internt"))
@@ -281,7 +282,7 @@ def projects_for_employee_dates(t: Tables, periods: Periods) -> DataFrame:
             "date",
             F.col("project").alias("id"),
             F.when(is_staffed, F.col("name"))
-            .otherwise(F.greatest(worked_name, F.col("absence_name")))
+            .otherwise(F.greatest(worked_name, F.when(F.col("absences") > 0, absence_name)))
             .alias("project"),
             F.when(is_staffed, F.col("customer_name"))
             .otherwise(F.greatest(worked_customer, internal))
