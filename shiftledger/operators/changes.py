@@ -20,7 +20,7 @@ from shiftledger.functions.codes import (
     is_absence_reason,
 )
 from shiftledger.functions.dates import days_between, is_weekday, iso_week_monday
-from shiftledger.operators.calendar import only_holidays, week_dates, without_holidays
+from shiftledger.operators.calendar import only_holidays, without_holidays
 from shiftledger.operators.capacity import available_dates
 from shiftledger.operators.dimensions import absence_reasons
 from shiftledger.sources.tables import Tables

@@ -15,7 +15,6 @@ from shiftledger.plans.daily import (
     employee_period_facts,
     employee_periods,
     entry_days,
-    project_classes,
     with_available_days,
 )
 from shiftledger.plans.periods import Periods
