@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import simhash, suffixes
+from shiftledger.llm import quality, simhash, suffixes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,8 +23,13 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.removals(table(spark, folder, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 SQL: dict[str, str] = {}
