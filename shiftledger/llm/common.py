@@ -67,3 +67,18 @@ def records(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tupl
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def write_bytes(frame: DataFrame, column: str, path: str, end: str, rows_per_file: int) -> None:
+    """The column's bytes one after the other into files below path, each followed by the byte `end`.
+
+    Spark's text writer copies bytes as they are and commits whole tasks, so files are complete or absent, wherever
+    the path lies.
+    """
+    raw = frame.select(F.col(column).cast("string").alias("value"))
+    raw.write.option("lineSep", end).option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def read_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of every file that write_bytes() made below path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import latent, quality, simhash, suffixes
+from shiftledger.llm import latent, quality, simhash, suffixes, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,10 +31,25 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return latent.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_warc_segments": op9_warc_segments,
+}
+SQL: dict[str, str] = {
+    "op9_warc_segments": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+            CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (d)
+    """,
 }
-SQL: dict[str, str] = {}
