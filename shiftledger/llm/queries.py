@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import latent, quality, simhash, suffixes, warc
+from shiftledger.llm import grammar, latent, packing, quality, simhash, suffixes, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return grammar.encoded(table(spark, folder, "documents"))
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents")).drop("ids")
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.removals(table(spark, folder, "documents"))
 
@@ -37,6 +45,8 @@ def op9_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_token_ids": op4_token_ids,
+    "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
