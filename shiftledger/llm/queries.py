@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import grammar, impact, latent, packing, quality, simhash, suffixes, warc
+from shiftledger.llm import grammar, impact, latent, packing, quality, simhash, suffixes, urlrules, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.filtered(table(spark, folder, "pages"))
+
+
 def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return impact.top_k(table(spark, folder, "embeddings"))
 
@@ -49,6 +53,7 @@ def op9_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_url_filters": op2_url_filters,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_token_ids": op4_token_ids,
     "op5_packing": op5_packing,
