@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import grammar, impact, latent, packing, quality, simhash, suffixes, urlrules, warc
+from shiftledger.llm import grammar, impact, latent, licences, packing, quality, simhash, suffixes, urlrules, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scanned(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filters": op2_url_filters,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_segments": op9_warc_segments,
+    "op10_license_scans": op10_license_scans,
 }
 SQL: dict[str, str] = {
     "op3_exact_top_k": """
