@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from shiftledger.llm.common import batch_of, read_bytes, records, saved, scratch_path, text_bytes, write_bytes
 from shiftledger.llm.tokens import encoder, vocabulary_path
 
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 ROUNDS = 8
 LEAST = 8
 BLOCKS_PER_FILE = 8
@@ -45,19 +45,23 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
     ids are all documents one after the other and ends where each stops; first is the first symbol that is no id.
     Symbols stay under `limit` if ids do.
     """
-    symbols = ids.astype(np.int64)
+    limit = max(limit, first + 1)
+    shift = 16 if limit <= 1 << 16 else 32  # two symbols are one key
+    symbols = ids.astype(np.uint32 if shift == 16 else np.uint64)
+    mask = symbols.dtype.type((1 << shift) - 1)
+    step = symbols.dtype.type(shift)
     closes = np.zeros(len(symbols), bool)
     closes[ends[ends > 0] - 1] = True
     # an empty document closes nothing of its own
     empty = np.diff(np.concatenate(([0], ends))) == 0
     left_rules, right_rules, known = [], [], first
     for _ in range(rounds):
-        room = max(limit, first + 1) - known
+        room = limit - known
         if room <= 0 or len(symbols) < 2:
             break
         often = np.bincount(symbols, minlength=known) >= least
         usable = often[symbols[:-1]] & often[symbols[1:]] & ~closes[:-1]
-        keys = (symbols[:-1][usable] << 32) | symbols[1:][usable]
+        keys = (symbols[:-1][usable] << step) | symbols[1:][usable]
         keys.sort()
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else keys
         counts = np.diff(np.append(starts, len(keys)))
@@ -68,10 +72,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
             chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:room]])
         pairs = keys[starts[chosen]]
         lefts, rights = np.zeros(known, bool), np.zeros(known, bool)
-        lefts[pairs >> 32] = True
-        rights[pairs & 0xFFFFFFFF] = True
+        lefts[pairs >> step] = True
+        rights[pairs & mask] = True
         maybe = np.flatnonzero(usable & lefts[symbols[:-1]] & rights[symbols[1:]])
-        key = (symbols[maybe] << 32) | symbols[maybe + 1]
+        key = (symbols[maybe] << step) | symbols[maybe + 1]
         rule = np.searchsorted(pairs, key)
         fits = pairs[np.minimum(rule, len(pairs) - 1)] == key
         at, rule = maybe[fits], rule[fits]
@@ -84,8 +88,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
         symbols, closes = symbols[stays], closes[stays]
-        left_rules.append(pairs >> 32)
-        right_rules.append(pairs & 0xFFFFFFFF)
+        left_rules.append((pairs >> step).astype(np.int64))
+        right_rules.append((pairs & mask).astype(np.int64))
         known += len(pairs)
     stops = np.zeros(len(ends), np.int64)
     stops[~empty] = np.flatnonzero(closes) + 1
@@ -180,9 +184,9 @@ def write_ids(documents: DataFrame, to: str, path: str, end: int, block: int = B
             flat = np.frombuffer(b"".join(parts), encode.kind)
             return batch_of(schema, [write_block(task, number, ids, flat, ends, first)])
 
-        for doc_ids, texts in records(batches, 64):
+        for doc_ids, texts in records(batches, 512):
             ids += doc_ids
-            parts += [encode.ids(t) + last for t in texts]
+            parts += [x + last for x in encode.ids(texts)]
             held += sum(map(len, parts[-len(texts) :])) // encode.kind.itemsize
             if held >= block:
                 yield close()

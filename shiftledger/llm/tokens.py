@@ -16,18 +16,22 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries that the memos of pieces and of words hold before they start anew: some 250 MB in all.
-PIECES, WORDS = 300_000, 900_000
+#: Words that a memo holds before it starts anew: some 160 MB.
+WORDS = 800_000
 _SPACED = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]")
-_RUN = re.compile(rb"[\x20\x09-\x0D]{2}|[\x09\x0B-\x0D\x00]")
+_RUN = re.compile(rb"[\x20\x09-\x0D]{2}|[\x09\x0B-\x0D]")
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: An optional space and letters of ASCII or Latin-1: one word to either tokenizer, and the same in composed form.
 _WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_ENDED = re.compile(rb"(?s)(.*[0-9A-Za-z])([.,!?;:|#$%&*]+)\Z")
+_CLOSING = ".,!?;:|#$%&*"
+#: Bytes of text that are cut and assembled at once.
+BATCH = 4 << 20
 
 
 class _Memo(dict):
@@ -44,10 +48,14 @@ class _Memo(dict):
         return out
 
 
+def _bytes(strings: pa.Array) -> list[bytes]:
+    return strings.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """ids(text) gives the ids of a text as bytes of `kind`, little-endian."""
+    """ids(texts) gives the ids of each text as bytes of `kind`, little-endian."""
 
-    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS):
+    def __init__(self, path: str, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,7 +69,6 @@ class Encoder:
         self.code = "H" if self.size <= 65_536 else "I"
         self.tokenize = self.tokenizer.model.tokenize
         self.words = _Memo(self._word, words)
-        self.memo = _Memo(self._piece, pieces)
 
     def _whole(self, piece: bytes) -> bytes:
         return array(self.code, self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
@@ -75,30 +82,76 @@ class Encoder:
         shown = piece.decode("latin-1").translate(_BYTE_LEVEL)
         return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
-    def _piece(self, piece: bytes) -> bytes:
-        if b"<|" in piece:  # perhaps a special token
-            return self._whole(piece)
+    def _parts(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces."""
+        low = pc.ascii_lower(pieces) if self.drops_space else pieces
+        word = pc.ascii_rtrim(low, characters=_CLOSING)
+        word = pc.if_else(pc.match_substring_regex(word, "[0-9A-Za-z]$"), word, low)
+        distinct = word.dictionary_encode()
+        known = list(map(self.words.__getitem__, _bytes(distinct.dictionary)))
+        parts = [known[code] for code in distinct.indices.to_numpy().tolist()]
+        sizes = pc.binary_length(word).to_numpy()
+        ended = np.flatnonzero(pc.binary_length(low).to_numpy() > sizes)
+        for i, size, piece in zip(ended.tolist(), sizes[ended].tolist(), _bytes(low.take(ended)), strict=True):
+            parts[i] += self.words[piece[size:]]
+        if self.drops_space:  # perhaps special tokens, which are not lowered
+            for i in np.flatnonzero(pc.match_substring(pieces, "<|").to_numpy(zero_copy_only=False)).tolist():
+                parts[i] = self._whole(pieces[i].as_py().encode())
+        return parts
+
+    def _marked(self, text: bytes) -> bytes | None:
+        """The text with a mark at every place where it may be cut; none if it cannot be told."""
         if self.drops_space:
-            piece = piece.lower()
-        ended = _ENDED.match(piece)
-        return self.words[ended[1]] + self.words[ended[2]] if ended else self.words[piece]
-
-    def _pieces(self, text: bytes) -> list[bytes]:
-        if self.drops_space:
-            return text.split()
+            return text
         if b"<|" in text:  # a special token ends the white space before it
-            return [text]
+            return None
         if (b"\xc2" in text or b"\xe1" in text or b"\xe2" in text or b"\xe3" in text) and _WIDE.search(text):
-            return [text]
+            return None
+        if b"\0" in text:
+            return None
         if _RUN.search(text):
-            return _SPACED.findall(text)
-        return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
-
-    def ids(self, text: bytes) -> bytes:
-        pieces = self._pieces(text)
-        if len(pieces) == 1:  # cut nowhere: too long or odd to be remembered
-            return self._whole(text)
-        return b"".join(map(self.memo.__getitem__, pieces))
+            return b"\0".join(_SPACED.findall(text))
+        return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0")
+
+    def _assembled(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of marked texts: every distinct piece is looked up once, then pieces become ids by position."""
+        column = pa.array(texts, pa.large_string())
+        cut = pc.ascii_split_whitespace(column) if self.drops_space else pc.split_pattern(column, "\0")
+        pieces = cut.flatten().dictionary_encode()
+        codes = pieces.indices.to_numpy()
+        parts = self._parts(pieces.dictionary)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        known = np.frombuffer(b"".join(parts), self.kind)
+        length = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        place = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], length)
+        place += np.arange(len(place))
+        ids = known[place].tobytes()
+        bounds = (ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        marked, at, held = [], [], 0
+        for text in texts:
+            cut = self._marked(text)
+            if cut is None:
+                out.append(self._whole(text))
+                continue
+            marked.append(cut)
+            at.append(len(out))
+            out.append(b"")
+            held += len(text)
+            if held >= BATCH:
+                self._fill(out, at, marked)
+                marked, at, held = [], [], 0
+        self._fill(out, at, marked)
+        return out
+
+    def _fill(self, out: list[bytes], at: list[int], marked: list[bytes]) -> None:
+        if marked:
+            for i, ids in zip(at, self._assembled(marked), strict=True):
+                out[i] = ids
 
 
 def encoder(path: str) -> Encoder:
