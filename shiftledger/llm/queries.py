@@ -67,6 +67,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_segments": op9_warc_segments,
     "op10_license_scans": op10_license_scans,
 }
+def _templates() -> str:
+    """The licence templates as rows (id, label, base, size, place, word, in_key)."""
+    rows = []
+    for i, t in enumerate((*licences.BASE, *licences.MORE)):
+        first, last = t.key_at
+        base = str(i < len(licences.BASE)).lower()
+        for place, word in enumerate(t.words):
+            rows.append(f"({i}, '{t.label}', {base}, {len(t.words)}, {place}, '{word}', {int(first <= place < last)}, {last - first})")
+    return ", ".join(rows)
+
+
 SQL: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (
@@ -80,6 +91,23 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op6_substring_dedup": f"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), s AS (
+            SELECT r, i, w[i] AS word, CASE WHEN i + {suffixes.WINDOW - 1} <= len(w)
+                THEN sha256(array_to_string(w[i : i + {suffixes.WINDOW - 1}], ' ')) END AS h
+            FROM p
+        ), f AS (SELECT r, i, word, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS again FROM s), g AS (
+            SELECT r, i, word,
+                bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS {suffixes.WINDOW - 1} PRECEDING) AS gone FROM f
+        ), a AS (
+            SELECT r, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN a USING (r)
+    """,
     "op9_warc_segments": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
@@ -89,4 +117,25 @@ SQL: dict[str, str] = {
             CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f USING (d)
     """,
+    "op10_license_scans": f"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+                translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), o AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+        t(id, label, base, size, place, word, in_key, key_size) AS (VALUES {_templates()}), m AS (
+            SELECT r, id, label, base, i - place AS word_at, count(*) / size::DOUBLE AS share
+            FROM o JOIN t USING (word) GROUP BY r, id, label, base, word_at, size, key_size
+            HAVING sum(in_key) = key_size AND share >= CASE WHEN base THEN 1 ELSE {licences.ENOUGH} END
+        ), a AS (
+            SELECT r, count(*) FILTER (base) AS n, min(word_at) FILTER (base) AS lo, max(word_at) FILTER (base) AS hi,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS b,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(share) AS s
+            FROM m GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word,
+            hi::BIGINT AS last_word, coalesce(b, '') AS base_labels, coalesce(l, '') AS labels, coalesce(s, 0)::DOUBLE AS score
+        FROM d LEFT JOIN a USING (r)
+    """,
 }
