@@ -118,8 +118,9 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
         F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")
     )
     decided = saved(decided, "decided")
-    same = documents["doc_id"].cast("long") == F.col("__id")
-    kept = documents.join(decided.where("not __stays"), same, "left_anti")
-    repeated = decided.where("__stays and __rows > 1")
+    gone = decided.where("not __stays").select("__id")
+    repeated = decided.where("__stays and __rows > 1").select("__id")
+    kept = documents.join(gone, documents["doc_id"].cast("long") == gone["__id"], "left_anti")
+    same = kept["doc_id"].cast("long") == repeated["__id"]
     once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, same, "left_anti").unionByName(once)

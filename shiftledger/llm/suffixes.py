@@ -275,13 +275,11 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, group: int = GRO
     """
     found = Repeats(documents, window, group)
     changed = found.changed().select(F.col("key").alias("__key"), F.col("text").alias("__text"))
-    whole = found.copies.select(F.col("key").alias("__key"), F.lit("").alias("__text"))
-    marked = documents.join(changed.union(whole), F.unhex(F.sha2(text_bytes(), 256)) == F.col("__key"), "left")
-    columns = [documents[c] for c in documents.columns]
-    texts = {"text": F.coalesce("__text", documents["text"]).alias("text")}
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        texts["n_chars"] = F.when(F.col("__text").isNull(), documents["n_chars"]).otherwise(
-            F.length("__text").cast(kind)
-        ).alias("n_chars")
-    return marked.select(*(texts.get(name, column) for name, column in zip(documents.columns, columns, strict=True)))
+    cut = changed.union(found.copies.select(F.col("key").alias("__key"), F.lit("").alias("__text")))
+    own = {name: documents[name] for name in documents.columns}
+    marked = documents.join(cut, F.unhex(F.sha2(F.coalesce(own["text"].cast("string"), F.lit("")), 256)) == cut["__key"], "left")
+    out = own | {"text": F.coalesce(cut["__text"], own["text"]).alias("text")}
+    if "n_chars" in own:
+        length = F.length(cut["__text"]).cast(documents.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(cut["__text"].isNull(), own["n_chars"]).otherwise(length).alias("n_chars")
+    return marked.select(*(out[name] for name in documents.columns))
