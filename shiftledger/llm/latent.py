@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Texts become word codes over the benchmark's vocabulary (0: any other word), stored once for the later passes.
-2. Document frequencies over the whole corpus give IDF weights. Terms in at most 1 % of the documents, and the rarest
-   words of every item, carry the passages; the rest only counts in the final comparison.
+2. Document frequencies over the whole corpus give IDF weights. Terms in at most 1 % of the documents or in 20, and
+   the rarest words of every item, carry the passages; the rest only counts in the final comparison.
 3. One pass over all passages sums G = A'A W, A being the TF-IDF rows of corpus and benchmark passages (both sides
    scaled to the same energy) and W a random matrix. Nyström's formula turns G into the leading singular directions.
-   What travels is one (terms x rank) matrix from each of at most 2,000 tasks, and a tree of sums.
+   What travels is one (terms x rank) matrix from each of at most 2,000 tasks, summed by groups of 16 rows.
 4. Each passage window is projected; items of which it holds enough, by cosine, are candidates.
 5. The longest common subsequence of item and window decides: nearly all words in order is a copy; fewer are a
    paraphrase if the item's answer (its column `answer`, else its last quarter) is there, too.
@@ -30,7 +30,8 @@ from shiftledger.llm.common import batch_of, records, saved, text_bytes
 RANK = 256
 BLOCK = 1_000
 SUM_TASKS = 2_000
-COMMON = 0.01
+SUM_ROWS = 16
+COMMON, FEW = 0.01, 20
 RAREST = 8
 COSINE = 0.15
 COVERAGE = 0.3
@@ -113,12 +114,12 @@ def document_frequency(codes: DataFrame, size: int) -> tuple[np.ndarray, int]:
 def weights(items: Items, df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """IDF of every code, and which codes carry passages."""
     idf = np.log((total + 1) / (df + 0.5)).clip(0.05)
-    idf[0] = np.log(total + 2)
-    carries = df <= COMMON * total
+    carries = df <= max(COMMON * total, FEW)
     for codes in items.codes:
         distinct = np.unique(codes)
         carries[distinct[np.argsort(-idf[distinct], kind="stable")[:RAREST]]] = True
     carries[0] = False
+    idf[0] = idf[carries].mean()  # a word that no item has weighs in a passage's norm like one that carries
     return idf, carries
 
 
@@ -152,20 +153,28 @@ def _energy(codes: DataFrame, idf: np.ndarray, slot: np.ndarray, noise: np.ndarr
             groups = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
             spread = sketch[of_row[order]] * value[order][:, None]
             total[column[groups]] += np.add.reduceat(spread, groups, axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([total.tobytes()], pa.binary()), pa.array([norm], pa.float64())], names=["total", "norm"]
-        )
-
+        for first in range(0, terms, SUM_ROWS):
+            part = np.concatenate((total[first : first + SUM_ROWS].ravel(), [norm if not first else 0.0]))
+            yield batch_of(schema, [first], [part.tobytes()])
+
+    def summed(table: pa.Table) -> pa.Table:
+        parts = table.column("part").to_numpy()
+        total = np.zeros(len(parts[0]) // 8)
+        for raw in parts:
+            total += np.frombuffer(raw)
+        return pa.table({"first": table.column("first")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    schema = pa.schema([("first", pa.int64()), ("part", pa.binary())])
     idf_of_slot = np.zeros(terms)
     idf_of_slot[slot[slot >= 0]] = idf[slot >= 0]
-    sums = codes.select("codes").coalesce(SUM_TASKS).mapInArrow(run, "total binary, norm double")
-
-    def merge(left: tuple, right: tuple) -> tuple:
-        return (np.frombuffer(left[0]) + np.frombuffer(right[0])).tobytes(), left[1] + right[1]
-
-    zero = (np.zeros(terms * rank).tobytes(), 0.0)
-    total, norm = sums.rdd.map(lambda r: (bytes(r["total"]), r["norm"])).treeAggregate(zero, merge, merge)
-    return np.frombuffer(total).reshape(terms, rank), norm
+    parts = codes.select("codes").coalesce(SUM_TASKS).mapInArrow(run, "first long, part binary")
+    sums = parts.groupBy("first").applyInArrow(summed, "first long, part binary").toArrow()
+    out, norm = np.zeros((terms, rank)), 0.0
+    for first, raw in zip(sums.column("first").to_pylist(), sums.column("part").to_pylist(), strict=True):
+        values = np.frombuffer(raw)
+        out[first : first + SUM_ROWS] = values[:-1].reshape(-1, rank)
+        norm += float(values[-1])
+    return out, norm
 
 
 def directions(codes: DataFrame, items: Items, idf: np.ndarray, slot: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
@@ -219,9 +228,10 @@ def _search(codes: DataFrame, items: Items, idf: np.ndarray, slot: np.ndarray, b
     project = np.zeros((len(idf), basis.shape[1]), np.float32)
     project[slot >= 0] = basis[slot[slot >= 0]] * idf[slot >= 0][:, None].astype(np.float32)
     carried = np.where(slot >= 0, idf**2, 0)
+    counted = carried.copy()
+    counted[0] = idf[0] ** 2
     latent = np.array([project[c].sum(axis=0) for c in items.codes])
     held = np.array([float((np.unique(c, return_counts=True)[1] ** 2 * carried[np.unique(c)]).sum()) for c in items.codes])
-    whole = np.array([float((np.unique(c, return_counts=True)[1] ** 2 * idf[np.unique(c)] ** 2).sum()) for c in items.codes])
     energy = np.maximum((latent**2).sum(axis=1), 1e-9)
     widths = np.array([max(32, 1 << int(np.ceil(np.log2(len(c) * 4 / 3)))) for c in items.codes])
 
@@ -243,7 +253,7 @@ def _search(codes: DataFrame, items: Items, idf: np.ndarray, slot: np.ndarray, b
             return best
         occurring = doc[at]
         mass = np.concatenate(([0.0], np.cumsum(carried[occurring])))
-        weight = np.concatenate(([0.0], np.cumsum(idf[doc] ** 2)))
+        weight = np.concatenate(([0.0], np.cumsum(counted[doc])))
         for width in np.unique(widths):
             mine = np.flatnonzero(widths == width)
             starts = _windows(len(doc), int(width))
@@ -257,7 +267,7 @@ def _search(codes: DataFrame, items: Items, idf: np.ndarray, slot: np.ndarray, b
                 dots = (sums[last[some]] - sums[first[some]]) @ latent[mine].T
                 share = dots / energy[mine][None, :]
                 norm = np.sqrt(weight[np.minimum(starts[some] + width, len(doc))] - weight[starts[some]])
-                cosine = share * held[mine][None, :] / (np.sqrt(whole[mine])[None, :] * np.maximum(norm, 1e-9)[:, None])
+                cosine = share * np.sqrt(held[mine])[None, :] / np.maximum(norm, 1e-9)[:, None]
                 for w, i in zip(*np.nonzero((share >= COVERAGE) & (cosine >= COSINE)), strict=True):
                     item = int(mine[i])
                     found = verified(doc, len(doc), int(starts[some[w]]), int(width), item, float(cosine[w, i]))
