@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of doc_id, put in order, encoded, and written in blocks of about `block` ids. In a block
 the frequent pairs of neighbouring symbols are replaced by nonterminals, round after round: each round counts all
-pairs, takes those with at least an eighth of the highest count, and replaces them from left to right where they
+pairs, takes the most frequent ones (its share of the free symbols), and replaces them from left to right where they
 overlap. No pair spans two documents, so a document's symbols decode without the others; rules carry their expansion
 lengths, so one id is found without expanding what precedes it.
 
@@ -30,15 +30,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftledger.llm.common import batch_of, read_bytes, records, saved, scratch_path, text_bytes, write_bytes
-from shiftledger.llm.tokens import encoder, vocabulary_path
+from shiftledger.llm.tokens import Encoder, encoder, vocabulary_path
 
-BLOCK = 1_000_000
-ROUNDS = 8
+BLOCK = 500_000
+ROUNDS = 3
 LEAST = 8
 BLOCKS_PER_FILE = 8
 _HEAD = "<4s6I"
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """Twenty bits of a multiplicative hash."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, limit: int = 1 << 16):
     """Symbols, ends of the documents among them, and rules (left, right) of Re-Pair rounds.
 
@@ -55,7 +62,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
     # an empty document closes nothing of its own
     empty = np.diff(np.concatenate(([0], ends))) == 0
     left_rules, right_rules, known = [], [], first
-    for _ in range(rounds):
+    for done in range(rounds):
         room = limit - known
         if room <= 0 or len(symbols) < 2:
             break
@@ -67,17 +74,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         counts = np.diff(np.append(starts, len(keys)))
         if not len(counts) or counts.max() < least:
             break
-        chosen = np.flatnonzero(counts >= max(least, counts.max() // 8))
-        if len(chosen) > room:
-            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:room]])
+        chosen = np.flatnonzero(counts >= least)
+        share = -(-room // (rounds - done))
+        if len(chosen) > share:
+            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:share]])
         pairs = keys[starts[chosen]]
         lefts, rights = np.zeros(known, bool), np.zeros(known, bool)
         lefts[pairs >> step] = True
         rights[pairs & mask] = True
         maybe = np.flatnonzero(usable & lefts[symbols[:-1]] & rights[symbols[1:]])
         key = (symbols[maybe] << step) | symbols[maybe + 1]
-        rule = np.searchsorted(pairs, key)
-        fits = pairs[np.minimum(rule, len(pairs) - 1)] == key
+        table = np.zeros(1 << 20, np.int32)  # a pair whose place another one takes is not replaced in this round
+        table[_slot(pairs)] = np.arange(len(pairs))
+        rule = table[_slot(key)]
+        fits = pairs[rule] == key
         at, rule = maybe[fits], rule[fits]
         fresh = np.concatenate(([True], np.diff(at) != 1))
         run = np.flatnonzero(fresh)
@@ -98,9 +108,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
     return symbols, stops, np.concatenate(left_rules or none), np.concatenate(right_rules or none)
 
 
-def expansions(left: np.ndarray, right: np.ndarray, first: int) -> list[bytes]:
+def terminals(first: int) -> list[bytes]:
+    """Ids as four-byte integers."""
+    return [struct.pack("<I", i) for i in range(first)]
+
+
+def expansions(left: np.ndarray, right: np.ndarray, ids: list[bytes]) -> list[bytes]:
     """Ids of every symbol as four-byte integers. Rules only use symbols before them."""
-    out = [struct.pack("<I", i) for i in range(first)]
+    out = list(ids)
     for a, b in zip(left.tolist(), right.tolist(), strict=True):
         out.append(out[a] + out[b])
     return out
@@ -145,9 +160,9 @@ class Block:
         self.symbols = read("<u2" if self.first + rules <= 1 << 16 else "<u4", symbols)
         self.next = at + 1
 
-    def documents(self) -> Iterator[tuple[int | None, int, bytes]]:
-        """doc_id, ids of the block before it, and its ids as four-byte integers."""
-        texts = expansions(self.left, self.right, self.first)
+    def documents(self, ids: list[bytes]) -> Iterator[tuple[int | None, int, bytes]]:
+        """doc_id, ids of the block before it, and its ids as four-byte integers. ids are terminals(self.first)."""
+        texts = expansions(self.left, self.right, ids)
         symbols, begin, before = self.symbols.tolist(), 0, 0
         for doc_id, stop, end in zip(self.doc_ids, self.stops.tolist(), self.ends.tolist(), strict=True):
             yield doc_id, before, b"".join(map(texts.__getitem__, symbols[begin:stop]))
@@ -173,27 +188,30 @@ def write_ids(documents: DataFrame, to: str, path: str, end: int, block: int = B
     """Write the ids of every text and the end id, in ascending doc_id order (null first), below the folder `to`."""
     schema = pa.schema([("value", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(path), TaskContext.get().partitionId()
-        last = np.array([end], encode.kind).tobytes()
-        first = max(encode.size, end + 1)
+    def blocks(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[pa.RecordBatch]:
+        task, size = TaskContext.get().partitionId(), encode.kind.itemsize
+        last, first = np.array([end], encode.kind).tobytes(), max(encode.size, end + 1)
         ids, parts, held, number = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) // encode.kind.itemsize for p in parts])
+            ends = np.cumsum([len(p) // size for p in parts])
             flat = np.frombuffer(b"".join(parts), encode.kind)
             return batch_of(schema, [write_block(task, number, ids, flat, ends, first)])
 
         for doc_ids, texts in records(batches, 512):
             ids += doc_ids
             parts += [x + last for x in encode.ids(texts)]
-            held += sum(map(len, parts[-len(texts) :])) // encode.kind.itemsize
+            held += sum(map(len, parts[-len(texts) :])) // size
             if held >= block:
                 yield close()
                 ids, parts, held, number = [], [], 0, number + 1
         if ids:
             yield close()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder(path) as encode:
+            yield from blocks(batches, encode)
+
     rows = documents.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     write_bytes(dealt.mapInArrow(run, "value binary"), "value", to, "\n", BLOCKS_PER_FILE)
@@ -209,13 +227,15 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "task", "number", "before", "n_tokens", "ids_crc32")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[bytes] = []
         for _, contents in records(batches, 1):
             data, at = contents[0], 0
             while at < len(data):
                 held = Block(data, at)
+                ids = ids if len(ids) == held.first else terminals(held.first)
                 rows = [
                     (doc_id, held.task, held.number, before, len(raw) // 4, zlib.crc32(raw))
-                    for doc_id, before, raw in held.documents()
+                    for doc_id, before, raw in held.documents(ids)
                 ]
                 yield batch_of(schema, *zip(*rows, strict=True))
                 at = held.next
