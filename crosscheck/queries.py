@@ -580,7 +580,11 @@ def _(t):
         F.col("date").alias("commit_date"),
         F.lit(0).alias("creator"),
     )
-    return changes.lock_employee_hours(t, asked, dt.datetime(2024, 2, 1, 12)).returned
+    change = changes.lock_employee_hours(t, asked, dt.datetime(2024, 2, 1, 12))
+    table = change.tables["timelock_events"].groupBy("employee", "commit_date", "creator").agg(F.count("*").alias("n"))
+    return change.returned.withColumn("n", F.lit(None).cast("long")).unionByName(
+        table.withColumn("seq", F.lit(None).cast("int"))
+    )
 
 
 @query("g10_timelock_view")
@@ -591,21 +595,39 @@ def _(t):
 TODAY = dt.date(2001, 11, 5)
 
 
-def _invoices(change: changes.Change) -> DataFrame:
-    table = change.tables["invoice_balance"]
-    return table.select(
-        "project", "date", F.col("amount").cast("double").alias("amount"), "minutes", "status", "created"
-    )
+def _invoice_requests(t: Tables) -> DataFrame:
+    """Some without minutes, which are rejected."""
+    return _orders(t).withColumn("minutes", F.when(F.col("seq") % 89 != 0, F.col("minutes")))
+
+
+OUTCOME = (
+    "part string, seq int, project string, date date, id string, amount double, minutes int, status string, type string,"
+    " created date"
+)
+
+
+def _outcome(**parts: DataFrame) -> DataFrame:
+    """Parts with some of the columns of OUTCOME, one after the other."""
+    columns = [c.strip().split(" ") for c in OUTCOME.split(",")]
+    result = None
+    for name, rows in parts.items():
+        rows = rows.withColumn("part", F.lit(name))
+        rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns])
+        result = rows if result is None else result.unionByName(rows)
+    return result
 
 
 @query("g11_upsert_invoice_balance")
 def _(t):
-    return _invoices(changes.upsert_invoice_balance(t, _orders(t), TODAY))
+    change = changes.upsert_invoice_balance(t, _invoice_requests(t), TODAY)
+    return _outcome(invoices=change.tables["invoice_balance"], returned=change.returned, rejected=change.rejected)
 
 
 @query("g12_upsert_invoice_status")
 def _(t):
-    return _invoices(changes.upsert_invoice_status(t, _orders(t), TODAY))
+    asked = _orders(t).withColumn("status", F.when(F.col("seq") % 89 != 0, F.col("status")))
+    change = changes.upsert_invoice_status(t, asked, TODAY)
+    return _outcome(invoices=change.tables["invoice_balance"], returned=change.returned, rejected=change.rejected)
 
 
 def _by_invoice(change: changes.Change, table: str, *columns: str) -> DataFrame:
@@ -615,13 +637,17 @@ def _by_invoice(change: changes.Change, table: str, *columns: str) -> DataFrame:
 
 @query("g13_upsert_expense")
 def _(t):
-    rows = _by_invoice(changes.upsert_expense(t, _orders(t), TODAY), "expense", "type", "amount")
-    return rows.withColumn("amount", F.col("amount").cast("double"))
+    asked = _orders(t).withColumn("amount", F.when(F.col("seq") % 89 != 0, F.col("amount")))
+    change = changes.upsert_expense(t, asked, TODAY)
+    rows = _by_invoice(change, "expense", "type", "amount")
+    return _outcome(expenses=rows, invoices=change.tables["invoice_balance"], returned=change.returned, rejected=change.rejected)
 
 
 @query("g14_upsert_write_off")
 def _(t):
-    return _by_invoice(changes.upsert_write_off(t, _orders(t), TODAY), "write_off", "minutes")
+    change = changes.upsert_write_off(t, _invoice_requests(t), TODAY)
+    rows = _by_invoice(change, "write_off", "minutes")
+    return _outcome(write_offs=rows, invoices=change.tables["invoice_balance"], returned=change.returned, rejected=change.rejected)
 
 
 def _with_absence_in_staffing(t: Tables) -> Tables:
@@ -659,16 +685,24 @@ def _(t):
 
 @query("g18_rename_keys")
 def _(t):
-    mapping = t.projects.filter(~F.col("active")).select(
-        F.col("id").alias("old_id"), F.concat(F.lit("X-"), "id").alias("new_id")
+    gone = t.projects.filter(~F.col("active")).select(F.col("id").alias("old_id"))
+    new_id = (
+        F.when(F.col("old_id").endswith("3"), "X-3")  # given twice
+        .when(F.col("old_id").rlike("^P.*5$"), F.concat(F.substring("old_id", 1, 8), F.lit("6")))  # there already
+        .otherwise(F.concat(F.lit("X-"), "old_id"))
     )
-    renamed = changes.rename_keys(t, "projects", mapping)
-    parts = [
-        renamed["projects"].groupBy(F.col("id").alias("project")).agg(F.count("*").alias("n")).withColumn("part", F.lit("projects")),
-        renamed["time_entry"].groupBy("project").agg(F.count("*").alias("n")).withColumn("part", F.lit("time_entry")),
-        renamed["staffing"].groupBy("project").agg(F.count("*").alias("n")).withColumn("part", F.lit("staffing")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    again = gone.filter(F.col("old_id").endswith("7")).withColumn("new_id", F.concat(F.lit("Y-"), "old_id"))
+    change = changes.rename_keys(t, "projects", gone.withColumn("new_id", new_id).unionByName(again))
+    parts = []
+    for name, column in (("projects", "id"), ("time_entry", "project"), ("staffing", "project")):
+        rows = change.tables[name].groupBy(F.col(column).alias("project")).agg(F.count("*").alias("n"))
+        parts.append(rows.select(F.lit(name).alias("part"), "project", "n", F.lit(None).cast("string").alias("new_id")))
+    for name, rows in (("returned", change.returned), ("rejected", change.rejected)):
+        parts.append(rows.select(F.lit(name).alias("part"), F.col("old_id").alias("project"), F.lit(1).cast("long").alias("n"), "new_id"))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 @query("g19_write_authorisation_split")

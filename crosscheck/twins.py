@@ -695,21 +695,25 @@ _SQL["g1_add_staffing_in_period"] = f"""WITH wanted AS (
     {_PLAIN.format(part='staffing', rows='staffing')} UNION ALL {_PLAIN.format(part='staffing', rows='new_staffing')}
     UNION ALL {_PLAIN.format(part='absence', rows=_ABSENCE_ROWS)} UNION ALL {_PLAIN.format(part='absence', rows='new_absence')}
     UNION ALL {_BACK.format(rows='new_staffing')} UNION ALL {_BACK.format(rows='new_absence')}"""
-_SQL["g2_remove_staffing_in_period"] = f"""WITH hit AS (SELECT seq, employee, project, date FROM asked_days WHERE weekday {_FIRST})
-    {_PLAIN.format(part='staffing', rows='staffing')} s WHERE NOT EXISTS (
-      SELECT 1 FROM hit h WHERE h.employee = s.employee AND h.project = s.project AND h.date = s.date AND h.project NOT IN {REASONS})
-    UNION ALL {_PLAIN.format(part='absence', rows=_ABSENCE_ROWS)} s WHERE NOT EXISTS (
-      SELECT 1 FROM hit h WHERE h.employee = s.employee AND h.project = s.project AND h.date = s.date)
-    UNION ALL {_BACK.format(rows='hit')} h WHERE EXISTS (SELECT 1 FROM staffing s WHERE h.employee = s.employee AND h.project = s.project AND h.date = s.date)
-      OR EXISTS (SELECT 1 FROM absence a WHERE h.employee = a.employee_id AND h.project = a.reason AND h.date = a.date)"""
+# Days of each request by themselves, without a range join.
+_ASKED = f"""asked AS MATERIALIZED (SELECT seq, employee, project, percentage, CAST(d AS DATE) AS date, isodow(d) < 6 AS weekday,
+      isodow(d) < 6 AND CAST(d AS DATE) NOT IN (SELECT date FROM holidays) AS workday, project IN {REASONS} AS reason
+      FROM orders_in, unnest(generate_series(CAST(start_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP), INTERVAL 1 DAY)) u(d))"""
+_ON_KEY = "h.employee = s.employee AND h.project = s.project AND h.date = s.date"
+_SQL["g2_remove_staffing_in_period"] = f"""WITH {_ASKED}, hit AS MATERIALIZED (SELECT min(seq) AS seq, employee, project, date, reason
+      FROM asked WHERE weekday GROUP BY employee, project, date, reason)
+    {_PLAIN.format(part='staffing', rows='staffing')} s ANTI JOIN (SELECT * FROM hit WHERE NOT reason) h USING (employee, project, date)
+    UNION ALL {_PLAIN.format(part='absence', rows=_ABSENCE_ROWS)} s ANTI JOIN (SELECT * FROM hit WHERE reason) h USING (employee, project, date)
+    UNION ALL {_BACK.format(rows='(SELECT * FROM hit WHERE NOT reason)')} h SEMI JOIN staffing s USING (employee, project, date)
+    UNION ALL {_BACK.format(rows='(SELECT * FROM hit WHERE reason)')} h SEMI JOIN {_ABSENCE_ROWS} s USING (employee, project, date)"""
 _SQL["g3_insert_staffing"] = f"""WITH new_rows AS (SELECT * FROM (SELECT * FROM asked_days WHERE workday AND project NOT IN {REASONS} {_FIRST}) a
       WHERE NOT EXISTS (SELECT 1 FROM staffing s WHERE s.employee = a.employee AND s.project = a.project AND s.date = a.date))
     {_PLAIN.format(part='staffing', rows='staffing')} UNION ALL {_PLAIN.format(part='staffing', rows='new_rows')}
     UNION ALL {_BACK.format(rows='new_rows')} UNION ALL {_REJECTED}"""
-_SQL["g4_upsert_staffing"] = f"""WITH accepted AS (SELECT * FROM asked_days WHERE project NOT IN {REASONS}),
-    last_one AS (SELECT * FROM accepted QUALIFY row_number() OVER (PARTITION BY employee, project, date ORDER BY seq DESC) = 1)
-    {_PLAIN.format(part='staffing', rows='staffing')} s WHERE NOT EXISTS (
-      SELECT 1 FROM accepted a WHERE a.employee = s.employee AND a.project = s.project AND a.date = s.date)
+_SQL["g4_upsert_staffing"] = f"""WITH {_ASKED}, accepted AS MATERIALIZED (SELECT * FROM asked WHERE NOT reason),
+    last_one AS MATERIALIZED (SELECT employee, project, date, workday, max(seq) AS seq, arg_max(percentage, seq) AS percentage
+      FROM accepted GROUP BY employee, project, date, workday)
+    {_PLAIN.format(part='staffing', rows='staffing')} s ANTI JOIN last_one a USING (employee, project, date)
     UNION ALL {_PLAIN.format(part='staffing', rows='last_one')} WHERE workday
     UNION ALL {_BACK.format(rows='accepted')} WHERE workday UNION ALL {_REJECTED}"""
 _SQL["g5_remove_staffing_range"] = f"""WITH hit AS (SELECT min(o.seq) AS seq, s.employee, s.project, s.date FROM staffing s JOIN orders_in o
@@ -746,41 +750,62 @@ _SQL["g9_lock_employee_hours"] = """WITH touched AS (SELECT DISTINCT o.seq, t.em
       ON t.project = o.project AND t.date BETWEEN o.start_date AND o.start_date + 30),
     known AS (SELECT employee, arg_max(commit_date, created) AS latest FROM timelock_events GROUP BY 1),
     chained AS (SELECT t.*, coalesce(lag(t.commit_date) OVER (PARTITION BY t.employee ORDER BY t.seq), k.latest) AS before
-      FROM touched t LEFT JOIN known k ON k.employee = t.employee)
-    SELECT seq, employee, commit_date, 0 AS creator FROM chained WHERE before IS DISTINCT FROM commit_date"""
+      FROM touched t LEFT JOIN known k ON k.employee = t.employee),
+    fresh AS (SELECT seq, employee, commit_date, 0 AS creator FROM chained WHERE before IS DISTINCT FROM commit_date)
+    SELECT *, CAST(NULL AS BIGINT) AS n FROM fresh UNION ALL
+    SELECT NULL, employee, commit_date, creator, count(*) FROM (SELECT employee, commit_date, creator FROM fresh
+      UNION ALL SELECT employee, commit_date, creator FROM timelock_events) GROUP BY employee, commit_date, creator"""
 _SQL["g10_timelock_view"] = """SELECT id, created, creator, employee, commit_date FROM timelock_events
     QUALIFY row_number() OVER (PARTITION BY employee ORDER BY created DESC, id DESC) = 1"""
 
 
-def _merged(values: dict[str, str], keys: str = "project, date") -> str:
-    """Invoices with the last order of each (project, date) applied."""
+def _lacking(*columns: str) -> str:
+    """Requests, of which some lack a value."""
+    return f"SELECT * REPLACE ({', '.join(f'CASE WHEN seq % 89 <> 0 THEN {c} END AS {c}' for c in columns)}) FROM orders_in"
+
+
+def _upserted(lacks: str, values: tuple[str, ...], key: str, extra: str = "", kind: str = "NULL") -> str:
+    """New invoices, what every request reports, and the rejected requests. ``key`` is the id reported."""
 
     def value(column: str, default: str) -> str:
         if column in values:
             return f"CASE WHEN c.project IS NOT NULL THEN c.{column} ELSE i.{column} END"
         return f"coalesce(i.{column}, {default})"
 
-    return f"""SELECT coalesce(i.project, c.project) AS project, coalesce(i.date, c.date) AS date,
-        CAST({value('amount', '0')} AS DOUBLE) AS amount, {value('minutes', '0')} AS minutes, {value('status', "'not_done'")} AS status,
-        coalesce(i.date, DATE '2001-11-05') AS created
-        FROM invoice_balance i FULL JOIN (SELECT * FROM orders_in QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY seq DESC) = 1) c
-          ON c.project = i.project AND c.date = i.date"""
-
-
-_SQL["g11_upsert_invoice_balance"] = _merged({"amount": "", "minutes": ""})
-_SQL["g12_upsert_invoice_status"] = _merged({"status": ""})
-_SQL["g13_upsert_expense"] = """WITH newest AS (SELECT * FROM orders_in QUALIFY row_number() OVER (PARTITION BY project, date, type ORDER BY seq DESC) = 1)
-    SELECT i.project, i.date, e.created, e.type, CAST(e.amount AS DOUBLE) AS amount FROM expense e JOIN invoice_balance i ON i.id = e.invoice_balance
-    WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.project = i.project AND n.date = i.date AND n.type = e.type)
-    UNION ALL SELECT project, date, DATE '2001-11-05', type, CAST(amount AS DOUBLE) FROM newest"""
-_SQL["g14_upsert_write_off"] = """WITH newest AS (SELECT * FROM orders_in QUALIFY row_number() OVER (PARTITION BY project, date ORDER BY seq DESC) = 1)
-    SELECT i.project, i.date, e.created, e.minutes FROM write_off e JOIN invoice_balance i ON i.id = e.invoice_balance
-    WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.project = i.project AND n.date = i.date)
-    UNION ALL SELECT project, date, DATE '2001-11-05', minutes FROM newest"""
-
-
-def _split(condition: str) -> str:
-    return f"""WITH moving AS (SELECT * FROM before_split b WHERE project IN {REASONS} AND {condition} AND NOT EXISTS (
+    return f"""WITH all_asked AS MATERIALIZED ({_lacking(lacks)}), asked AS (SELECT * FROM all_asked WHERE {lacks} IS NOT NULL),
+        merged AS (SELECT coalesce(i.project, c.project) AS project, coalesce(i.date, c.date) AS date,
+          coalesce(i.id, sha256(c.project || '|' || c.date)) AS id, CAST({value('amount', '0')} AS DOUBLE) AS amount,
+          {value('minutes', '0')} AS minutes, {value('status', "'not_done'")} AS status, coalesce(i.date, DATE '2001-11-05') AS created
+          FROM invoice_balance i FULL JOIN (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY project, date ORDER BY seq DESC) = 1) c
+            ON c.project = i.project AND c.date = i.date)
+        SELECT 'invoices' AS part, CAST(NULL AS INTEGER) AS seq, project, date, id, amount, CAST(minutes AS INTEGER) AS minutes, status,
+          CAST(NULL AS VARCHAR) AS type, created FROM merged
+        UNION ALL SELECT 'returned', a.seq, a.project, a.date, {key}, NULL, NULL, NULL, {kind}, NULL
+          FROM asked a JOIN merged m ON m.project = a.project AND m.date = a.date
+        UNION ALL SELECT 'rejected', seq, project, date, NULL, {'CAST(amount AS DOUBLE)' if 'amount' in (*values, lacks) else 'NULL'},
+          {'minutes' if 'minutes' in (*values, lacks) else 'NULL'}, {'status' if 'status' in (*values, lacks) else 'NULL'}, {kind.replace('a.', '')}, NULL
+          FROM all_asked WHERE {lacks} IS NULL
+        {extra}"""
+
+
+_SQL["g11_upsert_invoice_balance"] = _upserted("minutes", ("amount", "minutes"), "m.id")
+_SQL["g12_upsert_invoice_status"] = _upserted("status", ("status",), "m.id")
+_SQL["g13_upsert_expense"] = _upserted("amount", (), "sha256(m.id || '|' || a.type)", """
+    UNION ALL SELECT 'expenses', NULL, i.project, i.date, NULL, CAST(e.amount AS DOUBLE), NULL, NULL, e.type, e.created
+      FROM expense e JOIN invoice_balance i ON i.id = e.invoice_balance
+      WHERE NOT EXISTS (SELECT 1 FROM asked n WHERE n.project = i.project AND n.date = i.date AND n.type = e.type)
+    UNION ALL SELECT 'expenses', NULL, project, date, NULL, CAST(arg_max(amount, seq) AS DOUBLE), NULL, NULL, type, DATE '2001-11-05'
+      FROM asked GROUP BY project, date, type""", "a.type")
+_SQL["g14_upsert_write_off"] = _upserted("minutes", (), "sha256('write_off|' || m.id)", """
+    UNION ALL SELECT 'write_offs', NULL, i.project, i.date, NULL, NULL, e.minutes, NULL, NULL, e.created
+      FROM write_off e JOIN invoice_balance i ON i.id = e.invoice_balance
+      WHERE NOT EXISTS (SELECT 1 FROM asked n WHERE n.project = i.project AND n.date = i.date)
+    UNION ALL SELECT 'write_offs', NULL, project, date, NULL, NULL, arg_max(minutes, seq), NULL, NULL, DATE '2001-11-05'
+      FROM asked GROUP BY project, date""")
+
+
+def _split(condition: str, percentage: str = "percentage") -> str:
+    return f"""WITH moving AS (SELECT * REPLACE ({percentage} AS percentage) FROM before_split b WHERE project IN {REASONS} AND {condition} AND NOT EXISTS (
           SELECT 1 FROM absence a WHERE a.employee_id = b.employee AND a.reason = b.project AND a.date = b.date))
         {_PLAIN.format(part='staffing', rows='before_split')} WHERE project NOT IN {REASONS}
         UNION ALL {_PLAIN.format(part='absence', rows=_ABSENCE_ROWS)} x UNION ALL {_PLAIN.format(part='absence', rows='moving')}
@@ -788,13 +813,21 @@ def _split(condition: str) -> str:
 
 
 _SQL["g15_move_absence_out_of_staffing"] = _split("true")
-_SQL["g16_first_absence_split"] = _split("date NOT IN (SELECT date FROM holidays)")
+_SQL["g16_first_absence_split"] = _split("date NOT IN (SELECT date FROM holidays)", "100")
 _SQL["g17_billable_flag_to_class"] = """SELECT id, CASE billable WHEN 'billable' THEN 'billable' ELSE 'nonbillable' END AS billable,
     billable = 'billable' AS flag FROM projects"""
-_NEW_ID = "CASE WHEN p.active THEN p.id ELSE 'X-' || p.id END"
-_SQL["g18_rename_keys"] = f"""SELECT {_NEW_ID} AS project, CAST(1 AS BIGINT) AS n, 'projects' AS part FROM projects p
-    UNION ALL SELECT {_NEW_ID}, count(*), 'time_entry' FROM projects p JOIN time_entry t ON t.project = p.id GROUP BY 1
-    UNION ALL SELECT {_NEW_ID}, count(*), 'staffing' FROM projects p JOIN staffing t ON t.project = p.id GROUP BY 1"""
+_SQL["g18_rename_keys"] = """WITH mapping AS (SELECT id AS old_id, CASE WHEN id LIKE '%3' THEN 'X-3'
+        WHEN id LIKE 'P%5' THEN left(id, 8) || '6' ELSE 'X-' || id END AS new_id FROM projects WHERE NOT active
+      UNION ALL SELECT id, 'Y-' || id FROM projects WHERE NOT active AND id LIKE '%7'),
+    ok AS (SELECT * FROM mapping m WHERE (SELECT count(*) FROM mapping x WHERE x.old_id = m.old_id) = 1
+      AND (SELECT count(*) FROM mapping x WHERE x.new_id = m.new_id) = 1 AND new_id NOT IN (SELECT id FROM projects)
+      AND old_id NOT IN (SELECT project FROM invoice_balance)),
+    new_of AS (SELECT p.id, coalesce(o.new_id, p.id) AS project FROM projects p LEFT JOIN ok o ON o.old_id = p.id)
+    SELECT 'projects' AS part, project, CAST(1 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS new_id FROM new_of
+    UNION ALL SELECT 'time_entry', o.project, count(*), NULL FROM new_of o JOIN time_entry t ON t.project = o.id GROUP BY 2
+    UNION ALL SELECT 'staffing', o.project, count(*), NULL FROM new_of o JOIN staffing t ON t.project = o.id GROUP BY 2
+    UNION ALL SELECT 'returned', old_id, 1, new_id FROM ok
+    UNION ALL SELECT 'rejected', old_id, 1, new_id FROM mapping WHERE old_id NOT IN (SELECT old_id FROM ok)"""
 _SQL["g19_write_authorisation_split"] = """WITH marked AS (SELECT t.employee, coalesce(a.id IN (SELECT employee_id FROM employee_role), false) AS admin,
       coalesce(a.id = t.employee, false) AS own
       FROM time_entry t LEFT JOIN employees a ON a.id = t.minutes % 7)

@@ -61,8 +61,9 @@ def holidays_dimension(
         if year in break_years:
             days |= {dt.date(year, 12, d): CHRISTMAS_BREAK for d in range(27, 31)}
         named |= days
-    rows = [f"(DATE '{day}', '{name}')" for day, name in sorted(named.items()) if first <= day <= last]
-    return spark.sql(f"SELECT date, name FROM VALUES {', '.join(rows)} AS holidays(date, name)")
+    rows = [F.struct(F.lit(day).alias("date"), F.lit(name).alias("name")) for day, name in sorted(named.items()) if first <= day <= last]
+    kind = "array<struct<date:date,name:string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def only_holidays(rows: DataFrame, holidays: DataFrame, date: str = "date") -> DataFrame:

@@ -22,6 +22,7 @@ from shiftledger.functions.codes import (
 from shiftledger.functions.dates import days_between, is_weekday, iso_week_monday
 from shiftledger.operators.calendar import only_holidays, without_holidays
 from shiftledger.operators.capacity import available_dates
+from shiftledger.operators.contracts import FOREIGN_KEYS
 from shiftledger.operators.dimensions import absence_reasons
 from shiftledger.sources.tables import Tables
 
@@ -161,45 +162,51 @@ def upsert_staffing(t: Tables, requests: DataFrame) -> Change:
 
 def remove_staffing(t: Tables, requests: DataFrame) -> Change:
     """Remove the ranges of (seq, employee, project, start_date, end_date) requests; without an end date,
-    everything from the start. A removed day is reported by the first request that covers it."""
-    asked = requests.select(
-        "seq",
-        F.col("employee").alias("_employee"),
-        F.col("project").alias("_project"),
-        "start_date",
-        "end_date",
-    )
-    covers = (
-        (F.col("employee") == F.col("_employee"))
-        & (F.col("project") == F.col("_project"))
-        & (F.col("date") >= F.col("start_date"))
-        & (F.col("end_date").isNull() | (F.col("date") <= F.col("end_date")))
-    )
-    removed = t.staffing.join(asked, covers).groupBy(*STAFFING_KEY).agg(F.min("seq").alias("seq"))
-    return Change(
-        {"staffing": _as_staffing(t.staffing.join(asked, covers, "left_anti"))},
-        removed.select("seq", "employee", "project", "date"),
+    everything from the start. A removed day is reported by the first request that covers it.
+
+    Closed ranges are days, folded to the first request of each. Of open ranges a day is reported by the
+    least seq among the starts up to it: a running minimum over the days of one employee and project.
+    """
+    closed = requests.filter(F.col("end_date").isNotNull()).select("seq", *STAFFING_KEY[:2], "start_date", "end_date")
+    by_day = _first_per_key(_request_days(closed), *STAFFING_KEY).withColumnRenamed("seq", "_closed")
+    staffed = t.staffing.select(*STAFFING_KEY, F.lit(True).alias("_staffed"), F.lit(None).cast("int").alias("_open"))
+    starts = requests.filter(F.col("end_date").isNull() & F.col("start_date").isNotNull()).select(
+        "employee", "project", F.col("start_date").alias("date"), F.lit(None).cast("boolean").alias("_staffed"),
+        F.col("seq").alias("_open"),
+    )
+    days = staffed.unionByName(starts).groupBy(*STAFFING_KEY).agg(F.max("_staffed").alias("_staffed"), F.min("_open").alias("_open"))
+    so_far = Window.partitionBy("employee", "project").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    removed = (
+        days.withColumn("_open", F.min("_open").over(so_far))
+        .filter("_staffed")
+        .join(by_day, list(STAFFING_KEY), "left")
+        .withColumn("seq", F.least("_open", "_closed"))
+        .filter("seq is not null")
+        .select("seq", *STAFFING_KEY)
     )
+    kept = t.staffing.join(removed.select(*STAFFING_KEY), list(STAFFING_KEY), "left_anti")
+    return Change({"staffing": _as_staffing(kept)}, removed)
 
 
 # Staffing by week
 
-MOST_DAYS_OF_A_WEEK = 7
-# Calendar year and ISO week number together can also name the last days of December.
-MOST_DAYS_OF_A_NAMED_WEEK = 9
+# More days than any week has: what a request without a number of days asks for.
+ALL_DAYS = 366
 
 
-def _in_turn(requests: DataFrame, most: int, *week: str) -> DataFrame:
-    """Give each request the days after those of earlier requests for the same week: positions above _after
-    up to _upto.
+def _asking(requests: DataFrame) -> DataFrame:
+    """Requests for some days, or for all (no number given)."""
+    return requests.filter(F.coalesce(F.col("days") > 0, F.lit(True)))
+
 
-    Every request takes at least one day, so only the first ``most`` can get any. Ranking them is pruned
-    inside each task before the shuffle, and no group is larger than that afterwards.
+def _in_turn(requests: DataFrame, *week: str) -> DataFrame:
+    """Give each request the days after those of earlier requests for the same week: positions above _after
+    up to _upto. Without ``days`` a request takes all that are left. The sum runs over the requests of one
+    employee for one week.
     """
-    order = Window.partitionBy(*week).orderBy("seq")
-    first = requests.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= most).drop("_turn")
-    upto = first.withColumn("_upto", F.sum("days").over(order))
-    return upto.withColumn("_after", F.col("_upto") - F.col("days"))
+    order = Window.partitionBy(*week).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    asked = requests.withColumn("days", F.coalesce(F.col("days").cast("long"), F.lit(ALL_DAYS)))
+    return asked.withColumn("_upto", F.sum("days").over(order)).withColumn("_after", F.col("_upto") - F.col("days"))
 
 
 def add_staffing_in_week(t: Tables, requests: DataFrame) -> Change:
@@ -209,8 +216,8 @@ def add_staffing_in_week(t: Tables, requests: DataFrame) -> Change:
     Requests of one employee for the same week follow one another: the free days, at most five, are
     numbered and handed out in order, so no two requests get the same day.
     """
-    asked = requests.filter(F.col("days") > 0).withColumn("monday", iso_week_monday(F.col("year"), F.col("week")))
-    numbered = _in_turn(asked, MOST_DAYS_OF_A_WEEK, "employee", "monday")
+    asked = _asking(requests).withColumn("monday", iso_week_monday(F.col("year"), F.col("week")))
+    numbered = _in_turn(asked, "employee", "monday")
     weeks = asked.select("employee", "year", "week", "monday").dropDuplicates(["employee", "monday"])
     free = available_dates(t, weeks).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("employee", "monday").orderBy("available_date"))
@@ -235,7 +242,7 @@ def remove_staffing_in_week(t: Tables, requests: DataFrame) -> Change:
     Requests for the same employee, project and week follow one another, each taking the days left.
     """
     key = ["employee", "project", "year", "week"]
-    numbered = _in_turn(requests.filter(F.col("days") > 0), MOST_DAYS_OF_A_NAMED_WEEK, *key)
+    numbered = _in_turn(_asking(requests), *key)
     wanted = requests.select(*key).distinct()
     staffed = (
         t.staffing.withColumn("year", F.year("date"))
@@ -301,17 +308,30 @@ def latest_timelocks(t: Tables) -> DataFrame:
     )
 
 
+LOCK_BLOCK = 4096
+
+
 def lock_employee_hours(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
     """Lock events for (seq, project, start_date, end_date, commit_date, creator) requests: one for each
     employee with entries on the project in the range, unless the newest event of the employee already
     has this commit date. Within a batch a request sees the events of those before it."""
-    entered = t.time_entry.select("employee", F.col("project").alias("_project"), "date").distinct()
-    inside = (F.col("project") == F.col("_project")) & F.col("date").between(F.col("start_date"), F.col("end_date"))
-    touched = entered.join(requests, inside).select("seq", "employee", "creator", "commit_date").distinct()
+    days = t.time_entry.groupBy("employee", F.col("project").alias("_project")).agg(F.collect_set("date").alias("_days"))
+    asked = requests.select("seq", "project", "start_date", "end_date", "commit_date", "creator")
+    inside = F.exists("_days", lambda day: day.between(F.col("start_date"), F.col("end_date")))
+    met = days.join(asked, (F.col("project") == F.col("_project")) & inside)
+    touched = met.select("seq", "employee", "creator", "commit_date", F.floor(F.col("seq") / LOCK_BLOCK).alias("_block"))
     latest = latest_timelocks(t).select("employee", F.col("commit_date").alias("_latest"))
-    before = F.lag("commit_date").over(Window.partitionBy("employee").orderBy("seq"))
+    # what was committed before: inside a block of requests, or last in the blocks before it
+    in_block = F.lag("commit_date").over(Window.partitionBy("employee", "_block").orderBy("seq"))
+    lasts = touched.groupBy("employee", "_block").agg(F.max_by("commit_date", "seq").alias("_last"))
+    earlier = lasts.select(
+        "employee", "_block", F.lag("_last").over(Window.partitionBy("employee").orderBy("_block")).alias("_earlier")
+    )
+    before = F.coalesce("_in_block", "_earlier")
     new = (
-        touched.withColumn("_before", before)
+        touched.withColumn("_in_block", in_block)
+        .join(earlier, ["employee", "_block"])
+        .withColumn("_before", before)
         .join(latest, "employee", "left")
         .filter(~F.coalesce("_before", "_latest").eqNullSafe(F.col("commit_date")))
         .select(
@@ -366,38 +386,60 @@ def _merge_invoices(t: Tables, changes: DataFrame, today: dt.date, *updated: str
     return merged.select(*[value(c) for c in INVOICE_COLUMNS])
 
 
-def _invoice_ids(invoices: DataFrame, changes: DataFrame) -> DataFrame:
-    keys = changes.select("seq", "project", "date")
-    return keys.join(invoices.select("project", "date", "id"), ["project", "date"]).select(
-        "seq", "project", "date", "id"
-    )
+def _complete(changes: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Changes with a value in each of the columns, and the others: the tables take no NULL there."""
+    whole = F.lit(True)
+    for column in columns:
+        whole = whole & F.col(column).isNotNull()
+    asked = changes.select("seq", *columns)
+    return asked.filter(whole), asked.filter(~whole)
+
+
+def _reported(changes: DataFrame, invoices: DataFrame, *columns: str) -> DataFrame:
+    """Every change with the id of its invoice, also those that a later one replaces."""
+    ids = invoices.select("project", "date", F.col("id").alias("invoice_balance"))
+    return changes.select("seq", "project", "date", *columns).join(ids, ["project", "date"])
+
+
+def _upsert_invoices(t: Tables, changes: DataFrame, today: dt.date, *updated: str) -> Change:
+    accepted, rejected = _complete(changes, "project", "date", *updated)
+    last = _first_per_key(accepted, "project", "date", last=True)
+    invoices = _merge_invoices(t, last, today, *updated)
+    returned = _reported(accepted, invoices).withColumnRenamed("invoice_balance", "id")
+    return Change({"invoice_balance": invoices}, returned.select("seq", "project", "date", "id"), rejected)
 
 
 def upsert_invoice_balance(t: Tables, changes: DataFrame, today: dt.date) -> Change:
-    """Set minutes and amount of invoices by (seq, project, date, minutes, amount); the last change wins."""
-    last = _first_per_key(changes.select("seq", "project", "date", "minutes", "amount"), "project", "date", last=True)
-    invoices = _merge_invoices(t, last, today, "minutes", "amount")
-    return Change({"invoice_balance": invoices}, _invoice_ids(invoices, last))
+    """Set minutes and amount of invoices by (seq, project, date, minutes, amount); the last change wins.
+    Each change reports the invoice's id; one with a NULL is rejected."""
+    return _upsert_invoices(t, changes, today, "minutes", "amount")
 
 
 def upsert_invoice_status(t: Tables, changes: DataFrame, today: dt.date) -> Change:
-    """Set the status of invoices by (seq, project, date, status); the last change wins."""
-    last = _first_per_key(changes.select("seq", "project", "date", "status"), "project", "date", last=True)
-    invoices = _merge_invoices(t, last, today, "status")
-    return Change({"invoice_balance": invoices}, _invoice_ids(invoices, last))
+    """Set the status of invoices by (seq, project, date, status); the last change wins. Each change reports
+    the invoice's id; one with a NULL is rejected."""
+    return _upsert_invoices(t, changes, today, "status")
+
+
+def expense_key(invoice: Column, kind: Column) -> Column:
+    return F.sha2(F.concat_ws("|", invoice, kind), 256)
+
+
+def write_off_key(invoice: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit("write_off"), invoice), 256)
 
 
 def upsert_expense(t: Tables, changes: DataFrame, today: dt.date) -> Change:
     """Replace all expenses of (invoice, type) by one, for (seq, project, date, type, amount) changes; the
-    last change wins. A missing invoice is created."""
-    last = _first_per_key(
-        changes.select("seq", "project", "date", "type", "amount"), "project", "date", "type", last=True
-    )
+    last change wins. A missing invoice is created. Each change reports the expense's id; one with a NULL is
+    rejected."""
+    accepted, rejected = _complete(changes, "project", "date", "type", "amount")
+    last = _first_per_key(accepted, "project", "date", "type", last=True)
     invoices = _merge_invoices(t, last.select("project", "date").distinct(), today)
-    ids = invoices.select("project", "date", F.col("id").alias("invoice_balance"))
-    placed = last.join(ids, ["project", "date"])
+    placed = _reported(last, invoices, "type", "amount")
+    key = expense_key(F.col("invoice_balance"), F.col("type")).alias("id")
     new = placed.select(
-        F.sha2(F.concat_ws("|", "invoice_balance", "type"), 256).alias("id"),
+        key,
         "invoice_balance",
         "type",
         F.col("amount").cast("decimal(10,2)").alias("amount"),
@@ -405,26 +447,24 @@ def upsert_expense(t: Tables, changes: DataFrame, today: dt.date) -> Change:
         F.lit(None).cast("string").alias("comment"),
     )
     kept = t.expense.select(*new.columns).join(placed, ["invoice_balance", "type"], "left_anti").select(*new.columns)
-    returned = placed.select("seq", "project", "date", "type", "invoice_balance")
-    return Change({"invoice_balance": invoices, "expense": kept.unionByName(new)}, returned)
+    returned = _reported(accepted, invoices, "type").select("seq", "project", "date", "type", "invoice_balance", key)
+    return Change({"invoice_balance": invoices, "expense": kept.unionByName(new)}, returned, rejected)
 
 
 def upsert_write_off(t: Tables, changes: DataFrame, today: dt.date) -> Change:
     """Replace all write-offs of an invoice by one, for (seq, project, date, minutes) changes; the last change
-    wins. A missing invoice is created."""
-    last = _first_per_key(changes.select("seq", "project", "date", "minutes"), "project", "date", last=True)
+    wins. A missing invoice is created. Each change reports the write-off's id; one with a NULL is rejected."""
+    accepted, rejected = _complete(changes, "project", "date", "minutes")
+    last = _first_per_key(accepted, "project", "date", last=True)
     invoices = _merge_invoices(t, last.select("project", "date"), today)
-    ids = invoices.select("project", "date", F.col("id").alias("invoice_balance"))
-    placed = last.join(ids, ["project", "date"])
-    new = placed.select(
-        F.sha2(F.concat_ws("|", F.lit("write_off"), "invoice_balance"), 256).alias("id"),
-        "invoice_balance",
-        "minutes",
-        F.lit(today).alias("created"),
-    )
+    placed = _reported(last, invoices, "minutes")
+    key = write_off_key(F.col("invoice_balance")).alias("id")
+    new = placed.select(key, "invoice_balance", "minutes", F.lit(today).alias("created"))
     kept = t.write_off.select(*new.columns).join(placed.select("invoice_balance"), "invoice_balance", "left_anti")
-    returned = placed.select("seq", "project", "date", "invoice_balance")
-    return Change({"invoice_balance": invoices, "write_off": kept.select(*new.columns).unionByName(new)}, returned)
+    returned = _reported(accepted, invoices).select("seq", "project", "date", "invoice_balance", key)
+    return Change(
+        {"invoice_balance": invoices, "write_off": kept.select(*new.columns).unionByName(new)}, returned, rejected
+    )
 
 
 # One-off moves and rewrites
@@ -432,12 +472,12 @@ def upsert_write_off(t: Tables, changes: DataFrame, today: dt.date) -> Change:
 
 def move_absence_out_of_staffing(t: Tables, skip_holidays: bool = False) -> Change:
     """Move staffing on absence codes to absence; absence rows that exist stay. The earlier form
-    (``skip_holidays``) tests the code itself instead of the absence view and does not carry over
-    holidays, though it removes them from staffing too."""
+    (``skip_holidays``) tests the code itself instead of the absence view and carries over neither holidays,
+    though it removes them from staffing too, nor percentages."""
     if skip_holidays:
         is_reason = is_absence_reason(F.col("project"))
         moving, kept = t.staffing.filter(is_reason), t.staffing.filter(~is_reason)
-        moving = without_holidays(moving, t.holidays)
+        moving = without_holidays(moving, t.holidays).withColumn("percentage", F.lit(100))
     else:
         reasons = _reason_ids(t)
         moving = t.staffing.join(reasons, "project", "left_semi")
@@ -468,9 +508,40 @@ CASCADES = {
 }
 
 
-def rename_keys(t: Tables, parent: str, mapping: DataFrame) -> dict[str, DataFrame]:
-    """Apply an (old_id, new_id) mapping to a parent table and to every column that follows it."""
-    pairs = mapping.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
+def _holding(t: Tables, parent: str) -> list[tuple[str, str]]:
+    """(table, column) pairs that refer to a parent and do not follow a renamed key."""
+    follows = CASCADES[parent]
+    return [
+        (child, column)
+        for child, parents in FOREIGN_KEYS.items()
+        if child in t
+        for column in parents.get(parent, ())
+        if (child, column) not in follows
+    ]
+
+
+def rename_keys(t: Tables, parent: str, mapping: DataFrame) -> Change:
+    """Apply an (old_id, new_id) mapping to a parent table and to every column that follows it.
+
+    Rejected are mappings that the keys refuse: a missing new id, an id that is renamed or given twice, a new
+    id that the table has already, and an old id that a column refers to which does not follow. ``returned``
+    are the mappings that changed a row.
+    """
+    ids = getattr(t, parent).select(F.col("id").alias("_id"))
+    times = lambda column: F.count("*").over(Window.partitionBy(column))
+    known = mapping.select("old_id", "new_id").join(ids, F.col("old_id") == F.col("_id"), "left_semi")
+    marked = known.withColumn("_twice", (times("old_id") > 1) | (times("new_id") > 1) | F.col("new_id").isNull())
+    held = None
+    for table, column in _holding(t, parent):
+        # a row that refers to itself, such as a manager, holds its own key, too
+        refers = getattr(t, table).filter(F.col(column).isNotNull()).select(F.col(column).alias("_held")).distinct()
+        held = refers if held is None else held.union(refers)
+    taken = marked.join(ids, F.col("new_id") == F.col("_id"), "left_semi").select(F.col("old_id").alias("_bad"))
+    bad = taken if held is None else taken.union(held.select(F.col("_held").alias("_bad")))
+    fine = marked.filter("not _twice").join(bad.distinct(), F.col("old_id") == F.col("_bad"), "left_anti")
+    fine = fine.select("old_id", "new_id")
+    rejected = known.join(fine.select(F.col("old_id").alias("_fine")), F.col("old_id") == F.col("_fine"), "left_anti")
+    pairs = fine.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
 
     def renamed(table: str, column: str) -> DataFrame:
         frame = getattr(t, table)
@@ -478,7 +549,8 @@ def rename_keys(t: Tables, parent: str, mapping: DataFrame) -> dict[str, DataFra
             *[F.coalesce("_new", c).alias(c) if c == column else frame[c] for c in frame.columns]
         )
 
-    return {parent: renamed(parent, "id")} | {table: renamed(table, column) for table, column in CASCADES[parent]}
+    tables = {parent: renamed(parent, "id")} | {table: renamed(table, column) for table, column in CASCADES[parent]}
+    return Change(tables, fine, rejected)
 
 
 def split_by_write_access(

@@ -250,8 +250,8 @@ def employee_period_facts(t: Tables, periods: Periods, planned: bool = True) ->
     the number of working days with an entry.
 
     Entries, staffing and absence are stacked, so no chain of outer joins is needed. Different days are
-    counted by one bit per day of the period, which combines inside each task like a sum; for long or
-    overlapping periods rows are folded to (employee, date) first. ``planned=False`` leaves staffing
+    counted by one bit per day of the period, which combines inside each task like a sum; for long,
+    overlapping or very many periods rows are folded to (employee, date) first. ``planned=False`` leaves staffing
     and absence out.
     """
     is_class = {name: F.col("billable") == name for name in (BILLABLE, NONBILLABLE, UNAVAILABLE)}
@@ -290,7 +290,7 @@ def employee_period_facts(t: Tables, periods: Periods, planned: bool = True) ->
         )
     sums = [F.sum(m).alias(m) for m in MEASURES]
     days = periods.days(t.holidays)
-    if periods.overlapping or periods.longest > 63:
+    if periods.overlapping or periods.many_days or periods.longest > 63:
         folded = facts.groupBy("employee", "date").agg(*sums, F.max("entered").alias("entered"))
         entered_workdays = F.sum(F.when(F.col("workdays") == 1, F.col("entered")))
     else:

@@ -205,9 +205,15 @@ class Periods:
         days = self.df.select(*KEY, F.explode(days_between(F.col("from_date"), F.col("to_date"))).alias("date"))
         if holidays is not None:
             days = days.join(small(self.calendar(holidays).select("date", "workdays"), self.span_days), "date")
-        if self.rows is None or self.span_days is None or self.rows * self.span_days > BROADCAST_ROWS:
-            return days.hint("merge")
-        return F.broadcast(days)
+        return days.hint("merge") if self.many_days else F.broadcast(days)
+
+    @property
+    def many_days(self) -> bool:
+        """Are the days of all periods too many to be broadcast? Unknown counts as yes."""
+        if self.rows is None or self.span_days is None:
+            return True
+        longest = self.span_days if self.longest is None else min(self.longest, self.span_days)
+        return self.rows * longest > BROADCAST_ROWS
 
     @property
     def overlapping(self) -> bool:
@@ -220,12 +226,12 @@ class Periods:
         """Sum row-level measures by key and period.
 
         Periods that hardly overlap are attached to the rows directly and combined inside each task: one
-        shuffle of (key, period) sums. Where each day lies in many periods, rows are first folded to
-        (key, date), so that only day sums are multiplied.
+        shuffle of (key, period) sums. Where each day lies in many periods, or the days must be joined by a
+        shuffle, rows are first folded to (key, date), so that only day sums are multiplied or moved.
         """
         rows = rows.select(*keys, "date", *[column.alias(name) for name, column in measures.items()])
         sums = [F.sum(name).alias(name) for name in measures]
-        if self.overlapping:
+        if self.overlapping or self.many_days:
             rows = rows.groupBy(*keys, "date").agg(*sums)
         return rows.join(self.days(), "date").groupBy(*KEY, *keys).agg(*sums)
 

@@ -126,3 +126,8 @@ def test_periods_from_a_table_agree_with_literal_periods(spark, make_tables):
     assert rows_of(calendar.available_dates_in_periods(literal, t.holidays)) == rows_of(
         calendar.available_dates_in_periods(table, t.holidays)
     )
+
+
+def test_a_span_without_holidays_is_an_empty_dimension(spark):
+    none = calendar.holidays_dimension(spark, day("2024-02-01"), day("2024-02-10"))
+    assert none.count() == 0 and none.dtypes == [("date", "date"), ("name", "string")]

@@ -219,7 +219,11 @@ def test_invoice_upserts(spark, invoiced):
     change = changes.upsert_invoice_balance(invoiced, batch, today)
     found = rows_of(change.tables["invoice_balance"], "project", "amount", "minutes", "status")
     assert found == [("P", Decimal("2.00"), 2, "sent"), ("Q", Decimal("3.00"), 3, "not_done")]
-    assert [r.id for r in change.returned.collect() if r.project == "P"] == ["i1"]
+    assert rows_of(change.returned.filter("project = 'P'"), "seq", "id") == [(0, "i1"), (1, "i1")]
+    lacking = spark.createDataFrame([(5, "P", end, None, Decimal("1.00"))], batch.schema)
+    refused = changes.upsert_invoice_balance(invoiced, lacking, today)
+    assert rows_of(refused.rejected, "seq") == [(5,)] and refused.returned.count() == 0
+    assert rows_of(refused.tables["invoice_balance"], "minutes") == rows_of(invoiced.invoice_balance, "minutes")
     status = spark.createDataFrame([(0, "P", end, "ok"), (1, "R", end, "ok")], "seq int, project string, date date, status string")
     changed = changes.upsert_invoice_status(invoiced, status, today).tables["invoice_balance"]
     assert rows_of(changed, "project", "amount", "status") == [("P", Decimal("5.00"), "ok"), ("R", Decimal("0.00"), "ok")]
@@ -231,7 +235,11 @@ def test_expenses_and_write_offs_are_replaced(spark, invoiced):
         [(0, "P", end, "other", Decimal("9.00")), (1, "Q", end, "other", Decimal("8.00"))],
         "seq int, project string, date date, type string, amount decimal(10,2)",
     )
+    expense = expense.union(spark.createDataFrame([(2, "P", end, "other", Decimal("9.00"))], expense.schema))
     change = changes.upsert_expense(invoiced, expense, today)
+    reported = {r.seq: r.id for r in change.returned.collect()}
+    assert set(reported) == {0, 1, 2} and reported[0] == reported[2]
+    assert set(reported.values()) <= {r.id for r in change.tables["expense"].collect()}
     kept = rows_of(change.tables["expense"].filter("invoice_balance = 'i1'"), "type", "amount")
     assert kept == [("other", Decimal("9.00")), ("subcontractor", Decimal("1.00"))]
     assert change.tables["invoice_balance"].count() == 2
@@ -259,11 +267,33 @@ def test_moving_absence_out_of_staffing(spark, t, make_tables):
 
 def test_renamed_keys_reach_the_children(spark, t):
     mapping = spark.createDataFrame([("P", "Pæøå")], "old_id string, new_id string")
-    renamed = changes.rename_keys(t, "projects", mapping)
+    renamed = changes.rename_keys(t, "projects", mapping).tables
     assert ("Pæøå",) in rows_of(renamed["projects"], "id")
     assert {r.project for r in renamed["staffing"].collect()} == {"Pæøå", "Q"}
     people = changes.rename_keys(t, "employees", spark.createDataFrame([(1, 11)], "old_id int, new_id int"))
-    assert {r.employee for r in people["staffing"].collect()} == {11, 2}
+    held = {r.employee for r in t.time_entry.collect()} | {r.employee_id for r in t.absence.collect()}
+    assert {r.employee for r in people.tables["staffing"].collect()} == ({1, 2} if 1 in held else {11, 2})
+    assert people.rejected.count() == (1 in held)
+
+
+def test_renames_that_the_keys_refuse(spark, make_tables):
+    tables = make_tables(
+        employees=[{"id": i} for i in range(1, 7)],
+        customers=[{"id": "c", "name": "C"}],
+        projects=[{"id": "P", "responsible": 1}, {"id": "Q"}, {"id": "R"}],
+        time_entry=[{"employee": 2, "creator": 3, "project": "P", "date": day("2024-01-08")}],
+        invoice_balance=[{"id": "i", "project": "Q", "date": day("2024-01-31")}],
+    )
+    pairs = lambda rows, kind: spark.createDataFrame(rows, f"old_id {kind}, new_id {kind}")
+    people = changes.rename_keys(tables, "employees", pairs([(1, 11), (2, 12), (3, 13), (4, 5), (5, 15), (5, 16), (6, None), (9, 19)], "int"))
+    assert rows_of(people.returned) == [(1, 11)]
+    assert rows_of(people.rejected, "old_id", "new_id") == in_order([(2, 12), (3, 13), (4, 5), (5, 15), (5, 16), (6, None)])
+    assert ("P", 11) in rows_of(people.tables["projects"].select("id", "responsible"))
+    projects = changes.rename_keys(tables, "projects", pairs([("P", "X"), ("Q", "Y"), ("R", "P")], "string"))
+    assert rows_of(projects.returned) == [("P", "X")]
+    assert rows_of(projects.tables["time_entry"], "project") == [("X",)]
+    customers = changes.rename_keys(tables, "customers", pairs([("c", "d")], "string"))
+    assert rows_of(customers.returned) == [("c", "d")] and {r.customer for r in customers.tables["projects"].collect()} == {"d"}
 
 
 def test_write_access(spark, t, make_tables):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from shiftledger import Periods
 from shiftledger.operators import entries, kpi
@@ -46,8 +47,17 @@ def test_unknown_or_large_periods_are_not_broadcast(spark):
     ranges = spark.createDataFrame([(day("2024-01-01"), day("2024-01-31"))], "from_date date, to_date date")
     facts = spark.range(10).selectExpr("date_add(date '2024-01-01', cast(id as int)) as date")
     assert "SortMergeJoin" in plan(Periods.from_table(ranges).days().join(facts, "date"))
-    long = Periods.month_windows(spark, day("1900-01-01"), day("2024-12-01"), 6)
+    long = Periods.month_windows(spark, day("1500-01-01"), day("2024-12-01"), 6)
     assert "SortMergeJoin" in plan(long.days().join(facts, "date"))
+    assert "BroadcastHashJoin" in plan(Periods.weeks(spark, day("1980-01-01"), day("2024-12-01")).days().join(facts, "date"))
+
+
+def test_facts_are_folded_before_a_shuffle_by_date(spark):
+    """Where the days of the periods are joined by a shuffle, rows reach it as one per key and day."""
+    facts = spark.range(1000).selectExpr("id % 7 AS employee", "date_add(date '2024-01-01', cast(id % 5 AS int)) AS date", "id AS minutes")
+    text = plan(Periods.weeks(spark, day("1100-01-01"), day("5000-01-01")).sum_by(facts, "employee", minutes=F.col("minutes")))
+    join = text.index("SortMergeJoin")
+    assert "hashpartitioning(employee" in text[join:] and "HashAggregate(keys=[employee" in text[join:]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are not here")
