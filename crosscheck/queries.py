@@ -14,9 +14,10 @@ from shiftledger.functions import codes, dates
 from shiftledger.operators import calendar, capacity, changes, contracts, dimensions, entries, kpi, vacation
 from shiftledger.plans.periods import iso_week_windows, month_windows, year_to_date_windows
 
-START, END = dt.date(1995, 3, 1), dt.date(2001, 10, 31)
+START, END = dt.date(1995, 2, 1), dt.date(2001, 12, 1)
 YEAR = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
-MIXED = (dt.date(1995, 12, 20), dt.date(2001, 1, 20))
+WHOLE = (dt.date(1995, 1, 1), dt.date(2001, 11, 30))
+MIXED = (dt.date(1995, 1, 1), dt.date(2001, 11, 20))
 AS_OF = dt.date(1998, 6, 15)
 LAST_DAY = dt.date(2001, 11, 4)
 
@@ -239,12 +240,12 @@ def _(t):
     return entries.accumulated_overtime(t, asked, reject=True, last=dt.date(1999, 9, 30))
 
 
-in_range("c3_entries_sums_with_project", entries.entries_with_project, *YEAR)
+in_range("c3_entries_sums_with_project", entries.entries_with_project, *WHOLE)
 
 
 @query("c4_entries_sums_for_employee")
 def _(t):
-    return entries.entries_sums(t, dt.date(1995, 3, 6), 2400)
+    return entries.entries_sums(t, dt.date(1995, 1, 2), 2530)
 
 
 @query("c5_hours_per_employee")
@@ -271,7 +272,7 @@ def _(t):
 
 @query("c17_employee_weekly_fg")
 def _(t):
-    return entries.employee_weekly_fg(t, 1997, 1999)
+    return entries.employee_weekly_fg(t, 1995, 2001)
 
 
 by_month("c18_time_distribution", entries.time_distribution)
@@ -307,12 +308,12 @@ def _projects_text(rows: DataFrame) -> DataFrame:
 
 @query("d6_worked_days_per_week")
 def _(t):
-    return _projects_text(capacity.worked_days_per_week(t, dt.date(1995, 3, 1), 340))
+    return _projects_text(capacity.worked_days_per_week(t, dt.date(1995, 1, 1), 362))
 
 
 @query("d7_employee_worked_days_per_week")
 def _(t):
-    return _projects_text(capacity.employee_worked_days_per_week(t, dt.date(1995, 3, 6), 340))
+    return _projects_text(capacity.employee_worked_days_per_week(t, dt.date(1995, 1, 2), 362))
 
 
 @query("d8_get_weekly_staffing_dates")
@@ -354,7 +355,8 @@ def _(t):
     return rows.withColumn("availability", F.col("availability").cast("double"))
 
 
-in_range("d12_weekly_forecasted_fg", capacity.weekly_forecasted_fg, *MIXED)
+# Safe: no hours are available in the weeks before the first employment.
+_QUERIES["d12_weekly_forecasted_fg"] = lambda t: capacity.weekly_forecasted_fg(t, *MIXED, safe=True)
 in_range("d13_weekly_fg", capacity.weekly_fg, *MIXED)
 by_month("d14_unavailable_staffing_hours", capacity.unavailable_staffing_hours)
 by_month("d15_planned_billable_hours", capacity.planned_billable_hours)
@@ -364,7 +366,7 @@ by_month("d17_unavailable_staffing_dates_in_period", capacity.unavailable_staffi
 
 @query("d18_all_employee_work_dates_in_period")
 def _(t):
-    return capacity.all_employee_work_dates(t, Periods.single(t.spark, *YEAR))
+    return capacity.all_employee_work_dates(t, Periods.single(t.spark, *WHOLE))
 
 
 by_month("d19_all_absence_dates_in_period", capacity.all_absence_dates)
@@ -378,7 +380,7 @@ def _(t):
 
 @query("d22_possible_work_dates_per_employee")
 def _(t):
-    return capacity.possible_work_dates_per_employee(t, Periods.single(t.spark, *YEAR))
+    return capacity.possible_work_dates_per_employee(t, Periods.single(t.spark, *WHOLE))
 
 
 by_month("d23_accumulated_staffing_hours", capacity.accumulated_staffing_hours)
@@ -394,7 +396,7 @@ in_range("e5_kpi_ul", kpi.kpi_ul)
 by_month("e6_sum_business_hours", capacity.sum_business_hours)
 by_month("e7_accumulated_billed_hours", capacity.accumulated_billed_hours)
 in_range("e8_kpi_prodev", kpi.kpi_prodev)
-in_range("e9_kpi_fgdev", kpi.kpi_fgdev, dt.date(1995, 8, 31), END)
+in_range("e9_kpi_fgdev", kpi.kpi_fgdev, dt.date(1995, 3, 31), END)
 in_range("e10_kpi_visibility", kpi.kpi_visibility)
 by_month("e11_accumulated_reconciliation", kpi.accumulated_reconciliation)
 by_month("e12_ot", kpi.ot)
@@ -419,12 +421,12 @@ in_range("e18_monthly_balance_summary", kpi.monthly_balance_summary)
 
 @query("e19_hours_per_project")
 def _(t):
-    return kpi.hours_per_project(t, Periods.month_windows(t.spark, dt.date(1996, 1, 1), dt.date(2001, 1, 1), 12))
+    return kpi.hours_per_project(t, Periods.month_windows(t.spark, dt.date(1996, 1, 1), END, 12))
 
 
 @query("e19_hours_per_project_counted_once")
 def _(t):
-    periods = Periods.month_windows(t.spark, dt.date(1996, 1, 1), dt.date(2001, 1, 1), 12)
+    periods = Periods.month_windows(t.spark, dt.date(1996, 1, 1), END, 12)
     return kpi.hours_per_project(t, periods, fan_out=False)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import re
 
-START, END = "DATE '1995-03-01'", "DATE '2001-10-31'"
+START, END = "DATE '1995-02-01'", "DATE '2001-12-01'"
 YEAR_FIRST, YEAR_LAST = "DATE '1998-01-01'", "DATE '1998-12-31'"
-MIXED_FIRST, MIXED_LAST = "DATE '1995-12-20'", "DATE '2001-01-20'"
+WHOLE_FIRST, WHOLE_LAST = "DATE '1995-01-01'", "DATE '2001-11-30'"
+MIXED_FIRST, MIXED_LAST = "DATE '1995-01-01'", "DATE '2001-11-20'"
 AS_OF, LAST_DAY = "DATE '1998-06-15'", "DATE '2001-11-04'"
 
 NAMED = (
@@ -108,7 +109,7 @@ PARTS = {
     "months": windows(1),
     "halfyears": windows(6),
     "bimonths": windows(2),
-    "years_back": windows(12, "DATE '1996-01-01'", "DATE '2001-01-01'"),
+    "years_back": windows(12, "DATE '1996-01-01'", END),
     "mixed_weeks": weeks(MIXED_FIRST, MIXED_LAST, whole=True),
     # Facts with the class of their project.
     "te": "SELECT t.*, p.billable, p.customer, p.deductable FROM time_entry t JOIN projects p ON p.id = t.project",
@@ -270,10 +271,10 @@ _SQL["c2_accumulated_overtime_for_employee"] = f"""SELECT e.id AS employee, x.d
     coalesce(x.d > e.term, false) AS after_termination
     FROM employees e, (VALUES ({AS_OF}), (DATE '1999-09-30')) x(d)"""
 _SQL["c3_entries_sums_with_project"] = f"""SELECT e.id AS for_employee, d.date AS work_date, t.employee, t.project, sum(t.minutes) / 60.0 AS hours
-    FROM employees e JOIN days d ON d.date BETWEEN {YEAR_FIRST} AND {YEAR_LAST}
+    FROM employees e JOIN days d ON d.date BETWEEN {WHOLE_FIRST} AND {WHOLE_LAST}
     LEFT JOIN time_entry t ON t.employee = e.id AND t.date = d.date GROUP BY ALL"""
 _SQL["c4_entries_sums_for_employee"] = """SELECT employee, date, CAST(sum(minutes) AS BIGINT) AS sum FROM time_entry
-    WHERE date >= DATE '1995-03-06' AND date < DATE '1995-03-06' + 2400 GROUP BY 1, 2"""
+    WHERE date >= DATE '1995-01-02' AND date < DATE '1995-01-02' + 2530 GROUP BY 1, 2"""
 _SQL["c5_hours_per_employee"] = f"""SELECT e.id, {NAME} AS name, d.date, round(sum(t.minutes) / 60.0, 1) AS hours
     FROM employees e JOIN days d ON d.date BETWEEN {YEAR_FIRST} AND {YEAR_LAST}
     LEFT JOIN time_entry t ON t.employee = e.id AND t.date = d.date GROUP BY ALL"""
@@ -361,7 +362,7 @@ _SQL["c16_employee_yearly_bonus"] = f"""WITH {_employee_hours('iso_weeks')}
         AND coalesce(r.last, hours.from_date) >= hours.from_date) AS held FROM hours) h GROUP BY 1, 2"""
 _SQL["c17_employee_weekly_fg"] = f"""WITH {_employee_hours('iso_weeks')}
     SELECT employee, year, number AS week_number, from_date AS week_start, available AS available_hours, billable AS billable_hours
-    FROM hours WHERE year BETWEEN 1997 AND 1999"""
+    FROM hours WHERE year BETWEEN 1995 AND 2001"""
 _SQL["c18_time_distribution"] = f"""SELECT w.from_date, w.to_date,
     CASE WHEN count(t.date) > 0 THEN count(t.date) FILTER (t.billable = 'billable') * CAST(7.5 AS DOUBLE) END AS billable_hours,
     CASE WHEN count(t.date) > 0 THEN count(t.date) FILTER (t.billable = 'nonbillable') * CAST(7.5 AS DOUBLE) END AS nonbillable_hours,
@@ -427,12 +428,12 @@ _SQL["d5_available_dates"] = "SELECT employee, year, week, date AS available_dat
 
 def _buckets(start: str) -> str:
     return f"""SELECT s.employee, string_agg(s.project, ',' ORDER BY s.project) AS projects, g.m AS start_of_week, CAST(count(*) AS INTEGER) AS days
-        FROM staffing s JOIN (SELECT {start} + 7 * CAST(i AS INTEGER) AS m FROM generate_series(0, 339) g(i)) g
+        FROM staffing s JOIN (SELECT {start} + 7 * CAST(i AS INTEGER) AS m FROM generate_series(0, 361) g(i)) g
           ON s.date BETWEEN g.m AND g.m + 6 JOIN employees e ON e.id = s.employee GROUP BY 1, 3"""
 
 
-_SQL["d6_worked_days_per_week"] = _buckets("DATE '1995-03-01'")
-_SQL["d7_employee_worked_days_per_week"] = _buckets("DATE '1995-03-06'")
+_SQL["d6_worked_days_per_week"] = _buckets("DATE '1995-01-01'")
+_SQL["d7_employee_worked_days_per_week"] = _buckets("DATE '1995-01-02'")
 _SQL["d8_get_weekly_staffing_dates"] = f"""SELECT s.employee AS employee_id, e.first_name, e.last_name, e.doe AS date_of_employment,
     e.term AS termination_date, CAST(year(s.date) AS INTEGER) AS year, CAST(week(s.date) AS INTEGER) AS week,
     string_agg(CAST(day(s.date) AS VARCHAR), ',' ORDER BY day(s.date)) AS days, s.project AS project_id, count(*) AS n_days
@@ -489,7 +490,7 @@ def _forecast(periods: str) -> str:
 
 
 _SQL["d12_weekly_forecasted_fg"] = f"""SELECT strftime(from_date, '%G-%V') AS week,
-    CAST(trunc(planned / (all_hours - staffed - absent) * 100) AS BIGINT) AS percent FROM ({_forecast('mixed_weeks')})"""
+    CAST(trunc(planned / nullif(all_hours - staffed - absent, 0) * 100) AS BIGINT) AS percent FROM ({_forecast('mixed_weeks')})"""
 _SQL["d13_weekly_fg"] = f"""WITH sums AS (SELECT w.from_date,
       (SELECT coalesce(sum(percentage), 0) FROM st s WHERE s.billable = 'billable' AND s.date {INSIDE}) * 7.5 / 100 AS billable,
       ((SELECT count(*) FROM employees e WHERE {EMPLOYED}) * (SELECT count(*) FROM workdays k WHERE k.date {INSIDE})
@@ -506,8 +507,8 @@ _SQL["d16_forcasted_fg_in_period"] = f"""SELECT from_date, to_date, CAST(planned
 _SQL["d17_unavailable_staffing_dates_in_period"] = """SELECT w.from_date, w.to_date, e.id AS employee_id, s.date AS work_day
     FROM st s JOIN employees e ON e.id = s.employee
     JOIN months w ON s.date BETWEEN greatest(w.from_date, e.doe) AND least(e.term, w.to_date) WHERE s.billable = 'unavailable'"""
-_SQL["d18_all_employee_work_dates_in_period"] = f"""SELECT {YEAR_FIRST} AS from_date, {YEAR_LAST} AS to_date, e.id AS employee_id, k.date AS work_date
-    FROM employees e JOIN workdays k ON k.date BETWEEN greatest({YEAR_FIRST}, e.doe) AND least(e.term, {YEAR_LAST})"""
+_SQL["d18_all_employee_work_dates_in_period"] = f"""SELECT {WHOLE_FIRST} AS from_date, {WHOLE_LAST} AS to_date, e.id AS employee_id, k.date AS work_date
+    FROM employees e JOIN workdays k ON k.date BETWEEN greatest({WHOLE_FIRST}, e.doe) AND least(e.term, {WHOLE_LAST})"""
 _SQL["d19_all_absence_dates_in_period"] = """SELECT w.from_date, w.to_date, e.id AS employee_id, a.date AS absence_date
     FROM away a JOIN employees e ON e.id = a.employee
     JOIN months w ON a.date BETWEEN greatest(w.from_date, e.doe) AND least(e.term, w.to_date)"""
@@ -516,8 +517,8 @@ _SQL["d20_forcasted_available_hours"] = f"""SELECT from_date, to_date, CAST(all_
     CAST(all_hours - staffed - absent AS DOUBLE) AS available_hours FROM ({_forecast('months')})"""
 _SQL["d21_is_possible_work_day"] = """SELECT t.employee, t.date, p.date IS NOT NULL AS is_possible
     FROM (SELECT DISTINCT employee, date FROM time_entry) t LEFT JOIN possible p ON p.employee = t.employee AND p.date = t.date"""
-_SQL["d22_possible_work_dates_per_employee"] = f"""SELECT {YEAR_FIRST} AS from_date, {YEAR_LAST} AS to_date, employee AS employee_id, date AS work_day
-    FROM possible WHERE date BETWEEN {YEAR_FIRST} AND {YEAR_LAST}"""
+_SQL["d22_possible_work_dates_per_employee"] = f"""SELECT {WHOLE_FIRST} AS from_date, {WHOLE_LAST} AS to_date, employee AS employee_id, date AS work_day
+    FROM possible WHERE date BETWEEN {WHOLE_FIRST} AND {WHOLE_LAST}"""
 
 
 def _staffing_sums(periods: str) -> str:
@@ -599,7 +600,7 @@ _SQL["e8_kpi_prodev"] = f"""SELECT w.from_date, w.to_date, h / available * 100 A
 # Month steps that keep a cut-off day of month: the smallest last day of month seen so far.
 PARTS["steps"] = f"""SELECT d - 84 AS from_date, d AS to_date FROM (
     SELECT make_date(year(m), month(m), min(least(31, day(last_day(m)))) OVER (ORDER BY m)) AS d
-    FROM generate_series(TIMESTAMP '1995-08-01', date_trunc('month', {END}), INTERVAL 1 MONTH) g(m)) WHERE d <= {END}"""
+    FROM generate_series(TIMESTAMP '1995-03-01', date_trunc('month', {END}), INTERVAL 1 MONTH) g(m)) WHERE d <= {END}"""
 _SQL["e9_kpi_fgdev"] = f"""SELECT w.from_date, w.to_date, p AS planned_billable_hours, billable AS achieved_billable_hours, (billable - p) / billable * 100 AS deviation
     FROM (SELECT b.*, (SELECT count(*) FROM st s WHERE s.billable = 'billable' AND s.date BETWEEN b.from_date AND b.to_date) * CAST(7.5 AS DOUBLE) AS p
       FROM ({_billed('steps')}) b) w"""
