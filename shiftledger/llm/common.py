@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words: space and 0x09-0x0D. bytes.split() without argument splits at exactly these.
 _LOCAL: dict[str, str] = {}
 
 
@@ -52,6 +52,13 @@ def drop_saved(frame: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark deletes the shuffle files of finished steps before the next
+    large shuffle instead of at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

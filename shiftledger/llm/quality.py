@@ -64,25 +64,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees:
-    """Trees fitted on at most `rows` labelled rows outside the held-out part.
-
-    The sample is the rows with the least hash of doc_id, so it does not depend on order or partitions. Null labels
-    do not count; a document with several labels counts with each. Without labels every score is one half.
-    """
+def sample_of(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, quality) of at most `rows` labelled documents outside the held-out part: those with the least hash of
+    doc_id, so that the sample does not depend on order or partitions. Null labels do not count; a document with
+    several labels counts with each."""
     known = labels.where("quality is not null and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
     )
-    known = known.where(~held_out())
-    sample = (
-        stats.join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(rows)
-        .select("stats", "quality")
-        .toArrow()
-    )
-    matrix = np.array(sample.column("stats").to_pylist(), np.float64).reshape(-1, WIDTH)
-    return fit(matrix, np.array(sample.column("quality").to_pylist(), np.float64))
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    there = known.where(~held_out()).join(ids, "doc_id", "left_semi")
+    return there.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
+
+
+def fit_quality(stats: DataFrame, sample: DataFrame) -> Trees:
+    """Trees fitted on the statistics of a bounded sample. Without labels every score is one half."""
+    found = stats.join(sample, "doc_id").orderBy("doc_id", "quality", "stats").select("stats", "quality").toArrow()
+    matrix = np.array(found.column("stats").to_pylist(), np.float64).reshape(-1, WIDTH)
+    return fit(matrix, np.array(found.column("quality").to_pylist(), np.float64))
 
 
 def quality(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -92,7 +90,7 @@ def quality(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Da
     repeated rows are scored like others; an empty table gives an empty result; other columns are ignored.
     """
     stats = saved(features(documents), "statistics")
-    trees = fit_quality(stats, labels, rows)
+    trees = fit_quality(stats, sample_of(stats, labels, rows))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +105,20 @@ def quality(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Da
 def of_quality(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """The rows of documents that are not rejected, with all their columns.
 
-    A doc_id goes if each of its rows is rejected; rows without doc_id stay, as no decision can name them.
+    Each row is judged by its own text where it lies, so nothing but the sample's ids and statistics is moved. Rows
+    without doc_id and repeated rows are judged like others.
     """
-    scored = quality(documents, labels, rows).where("doc_id is not null")
-    gone = scored.groupBy(F.col("doc_id").alias("__id")).agg(F.max("predicted").alias("__best")).where("__best = 0")
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["__id"], "left_anti")
+    sample = saved(sample_of(documents, labels, rows), "sample")  # at most `rows` rows
+    some = documents.select("doc_id", "text").join(F.broadcast(sample.select(F.col("doc_id").alias("__id")).distinct()), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    trees = fit_quality(saved(features(some), "statistics"), sample)
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                texts = part.column(place).cast(pa.string()).to_pylist()
+                scores = trees.probability(np.array([statistics((t or "").encode()) for t in texts]))
+                yield part.filter(pa.array(scores >= 0.5))
+
+    return documents.mapInArrow(run, documents.schema)

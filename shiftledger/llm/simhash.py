@@ -118,9 +118,12 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
         F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")
     )
     decided = saved(decided, "decided")
-    gone = decided.where("not __stays").select("__id")
-    repeated = decided.where("__stays and __rows > 1").select("__id")
+    # decisions grow with the documents, so they are never broadcast
+    gone = decided.where("not __stays").select("__id").hint("merge")
     kept = documents.join(gone, documents["doc_id"].cast("long") == gone["__id"], "left_anti")
+    repeated = decided.where("__stays and __rows > 1").select("__id")
+    if repeated.isEmpty():
+        return kept
     same = kept["doc_id"].cast("long") == repeated["__id"]
     once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, same, "left_anti").unionByName(once)

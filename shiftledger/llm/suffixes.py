@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftledger.llm.common import batch_of, records, saved, text_bytes
+from shiftledger.llm.common import batch_of, drop_saved, records, release, saved, text_bytes
 
 WINDOW = 35
 BLOCK = 8
@@ -222,8 +222,14 @@ class Repeats:
         met = rows.select("rid", "text").join(hits, "rid").where(F.unhex(F.sha2("text", 256)) == F.col("key"))
         held = met.select("key", "text", "hits", F.monotonically_increasing_id().alias("hid"))
         self._held = saved(held, "held")
+        del listed, twice, hits, met, held
+        release(documents.sparkSession)
         suffixes = saved(_suffixes(self._held, window), "suffixes")
-        self._starts = _repeated(suffixes, group).groupBy("hid").agg(F.collect_list("start").alias("starts"))
+        starts = _repeated(suffixes, group).groupBy("hid").agg(F.collect_list("start").alias("starts"))
+        self._starts = saved(starts, "starts")
+        drop_saved(suffixes)
+        del suffixes, starts
+        release(documents.sparkSession)
 
     def changed(self) -> DataFrame:
         window = self.window
