@@ -259,6 +259,18 @@ by_month("c8_billable_hours_for_employees", entries.billable_hours_for_employees
 by_month("c9_nonbillable_hours_for_employees", entries.nonbillable_hours_for_employees)
 by_month("c10_unregistered_days", entries.unregistered_days)
 by_month("c11_time_tracking_status", entries.time_tracking_status)
+
+
+def _months_of_data(t: Tables) -> Periods:
+    """The same months, found in a table, so that neither their number nor their bounds are known."""
+    return Periods.from_table(months(t).df)
+
+
+@query("c11_time_tracking_status_period_table")
+def _(t):
+    return entries.time_tracking_status(t, _months_of_data(t))
+
+
 by_month("c12_time_tracking_status_with_staffing", entries.time_tracking_status_with_staffing)
 in_range("c13_time_tracking_status_by_week", entries.time_tracking_status_by_week)
 by_month("c14_fg_for_employee", entries.fg_for_employees)
@@ -395,6 +407,13 @@ in_range("e4_kpi_sick", kpi.kpi_sick)
 in_range("e5_kpi_ul", kpi.kpi_ul)
 by_month("e6_sum_business_hours", capacity.sum_business_hours)
 by_month("e7_accumulated_billed_hours", capacity.accumulated_billed_hours)
+
+
+@query("e7_accumulated_billed_hours_period_table")
+def _(t):
+    return capacity.accumulated_billed_hours(t, _months_of_data(t))
+
+
 in_range("e8_kpi_prodev", kpi.kpi_prodev)
 in_range("e9_kpi_fgdev", kpi.kpi_fgdev, dt.date(1995, 3, 31), END)
 in_range("e10_kpi_visibility", kpi.kpi_visibility)

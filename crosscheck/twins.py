@@ -660,6 +660,9 @@ for _key, _fan in [("e19_hours_per_project", True), ("e19_hours_per_project_coun
           CAST(coalesce(om, 0) AS DOUBLE) AS expense_money, CAST(coalesce(sm, 0) AS DOUBLE) AS subcontractor_money,
           from_date AS start_date, to_date AS end_date FROM economics"""
 
+for _key in ("c11_time_tracking_status", "e7_accumulated_billed_hours"):
+    _SQL[f"{_key}_period_table"] = _SQL[_key]
+
 # F
 
 _SQL["f1a_employee_years_v1"] = f"""SELECT id AS employee, CAST(year(d) AS INTEGER) AS year

@@ -90,8 +90,13 @@ def available_dates(t: Tables, requests: DataFrame) -> DataFrame:
     """Working days of the week in each (employee, year, week) request on which the employee has neither
     staffing nor absence. Other columns of a request are kept."""
     free = without_holidays(week_dates(requests).filter(is_weekday(F.col("date"))), t.holidays)
-    taken = t.staffing.select("employee", "date").unionByName(
-        t.absence.select(F.col("employee_id").alias("employee"), "date")
+    asked = free.select("employee", F.trunc("date", "week").alias("_week")).distinct()
+    taken = (
+        t.staffing.select("employee", "date")
+        .unionByName(t.absence.select(F.col("employee_id").alias("employee"), "date"))
+        .withColumn("_week", F.trunc("date", "week"))
+        .join(asked, ["employee", "_week"], "left_semi")
+        .select("employee", "date")
     )
     return free.join(taken, ["employee", "date"], "left_anti").withColumnRenamed("date", "available_date")
 
@@ -174,15 +179,16 @@ def weekly_staffing(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     bounds = _whole_weeks(start, end)
     planned = (
         t.staffing.filter(F.col("date").between(*bounds))
-        .select("employee", "project", "date", "percentage")
+        .select("employee", "project", "date", "percentage", F.lit(0).alias("rank"))
         .unionByName(
             t.absence.filter(F.col("date").between(*bounds)).select(
-                F.col("employee_id").alias("employee"), F.col("reason").alias("project"), "date", F.lit(100).alias("percentage")
+                F.col("employee_id").alias("employee"), F.col("reason").alias("project"), "date",
+                F.lit(100).alias("percentage"), F.lit(1).alias("rank"),
             )
         )
         # A date planned as staffing and as absence of the same code has one entry in the map; absence wins.
         .groupBy("employee", "project", "date")
-        .agg(F.max("percentage").alias("percentage"))
+        .agg(F.max(F.struct("rank", "percentage"))["percentage"].alias("percentage"))
     )
     weeks = (
         planned.groupBy("employee", "project", week_start(F.col("date")).alias("from_date"))
@@ -465,8 +471,12 @@ def is_possible_work_day(t: Tables, pairs: DataFrame) -> DataFrame:
         .filter(within_employment(F.col("date"), from_known=True))
         .select("employee", "date")
     )
-    everything = Periods(asked)  # no bound is known, so the facts are not cut by date
-    possible = employed.join(blocked_days(t, everything), ["employee", "date"], "left_anti")
+    # facts are cut to the pairs asked for before they are folded
+    staffing = t.staffing.join(employed, ["employee", "date"], "left_semi")
+    pairs_of = employed.select(F.col("employee").alias("employee_id"), "date")
+    absence = t.absence.join(pairs_of, ["employee_id", "date"], "left_semi")
+    blocked = blocked_days(t.replace(staffing=staffing, absence=absence), Periods(employed))
+    possible = employed.join(blocked, ["employee", "date"], "left_anti")
     return asked.join(possible.withColumn("_ok", F.lit(True)), ["employee", "date"], "left").select(
         "employee", "date", F.coalesce("_ok", F.lit(False)).alias("is_possible")
     )

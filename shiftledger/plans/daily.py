@@ -143,7 +143,8 @@ def headcount_days(t: Tables, periods: Periods) -> DataFrame:
     ``headcount`` counts an unknown start as always employed, ``known_headcount`` leaves it out. The
     two ``_workdays`` columns hold the head count on working days and 0 on the others.
     """
-    first, last = _calendar_span(periods)
+    periods = periods.bounded()
+    first, last = F.lit(periods.first), F.lit(max(periods.first, periods.last))
     staff = t.employees.select("date_of_employment", "termination_date").filter(
         F.coalesce(F.col("termination_date") >= F.col("date_of_employment"), F.lit(True))
     )
@@ -179,12 +180,6 @@ def headcount_days(t: Tables, periods: Periods) -> DataFrame:
     )
 
 
-def _calendar_span(periods: Periods) -> tuple[Column, Column]:
-    if periods.first is None or periods.last is None:
-        raise ValueError("head counts need periods with known bounds: pass first and last to Periods.from_table")
-    return F.lit(periods.first), F.lit(max(periods.first, periods.last))
-
-
 def blocked_days(t: Tables, periods: Periods) -> DataFrame:
     """(employee, date) pairs that planning makes impossible: all staffing of the day is on
     unavailable projects, or there is an absence for an unavailable reason."""

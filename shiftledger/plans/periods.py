@@ -19,6 +19,8 @@ from shiftledger.plans.calendar import (
 )
 
 KEY = ("from_date", "to_date")
+# A table of periods of unknown size is attached to other rows in so many parts.
+LANES = 16
 
 # Window builders. Each gives an array of (from_date, to_date) structs, so it works on literals and,
 # through F.inline, on the columns of a table of requests.
@@ -179,6 +181,14 @@ class Periods:
 
     # Use
 
+    def bounded(self) -> Periods:
+        """The same periods with known bounds; those of a table are its least start and greatest end."""
+        if self.first is not None and self.last is not None:
+            return self
+        first, last = self.df.agg(F.min("from_date"), F.max("to_date")).first()
+        epoch = dt.date(1970, 1, 1)  # of no periods
+        return Periods(self.df, self.first or first or epoch, self.last or last or epoch, self.rows, self.longest, self.windows)
+
     def restrict(self, fact: DataFrame, column: str = "date") -> DataFrame:
         """Keep only the rows of a fact that some period can need."""
         if self.first is None or self.last is None:
@@ -187,10 +197,18 @@ class Periods:
 
     def attach(self, rows: DataFrame, condition=None) -> DataFrame:
         """Each row once per period, or once per period for which ``condition(from, to)`` holds."""
-        if self.windows is None:
-            on = None if condition is None else condition(F.col("from_date"), F.col("to_date"))
-            return rows.join(self.df, on)
         windows = self.windows
+        kept = F.struct(*rows.columns).alias("_row")
+        if windows is None:
+            # a table of periods meets the rows in LANES arrays of periods, by an equality join
+            lane = F.pmod(F.hash(*KEY), F.lit(LANES)).alias("_lane")
+            arrays = self.df.groupBy(lane).agg(F.collect_list(F.struct(*self.df.columns)).alias("_windows"))
+            lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("_lane")
+            rows = rows.select(kept, lanes).join(arrays, "_lane").select("_row.*", "_windows")
+            if condition is None:
+                return rows.select("*", F.inline("_windows")).drop("_windows")
+            met = F.filter("_windows", lambda w: condition(w["from_date"], w["to_date"]))
+            return rows.select("*", F.inline(met)).drop("_windows")
         if condition is not None:
             windows = F.filter(windows, lambda w: condition(w["from_date"], w["to_date"]))
         return rows.select("*", F.inline(windows))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftledger import Periods
-from shiftledger.operators import entries, kpi
+from shiftledger.operators import capacity, entries, kpi
 from shiftledger.sources.tables import read_tables, write_snapshot
 from tests.conftest import day
 
@@ -43,6 +43,13 @@ def test_no_nested_loops_and_no_python(spark, make_tables, operator):
     assert not any(word in text for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"))
 
 
+@pytest.mark.parametrize("operator", [entries.time_tracking_status, capacity.availability_percentage, kpi.hours_per_project, capacity.accumulated_billed_hours])
+def test_period_tables_meet_rows_without_nested_loops(spark, make_tables, operator):
+    ranges = spark.createDataFrame([(day("2024-01-01"), day("2024-01-31"))], "from_date date, to_date date")
+    text = plan(operator(make_tables(), Periods.from_table(ranges)))
+    assert not any(word in text for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"))
+
+
 def test_unknown_or_large_periods_are_not_broadcast(spark):
     ranges = spark.createDataFrame([(day("2024-01-01"), day("2024-01-31"))], "from_date date, to_date date")
     facts = spark.range(10).selectExpr("date_add(date '2024-01-01', cast(id as int)) as date")
