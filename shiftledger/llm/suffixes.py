@@ -204,32 +204,34 @@ class Repeats:
     def __init__(self, documents: DataFrame, window: int = WINDOW, group: int = GROUP):
         if window <= 3 * BLOCK:
             raise ValueError(f"a window has more than {3 * BLOCK} words")
+        spark = documents.sparkSession
+        self.window = window
         rows = _rows(documents)
         profiles = saved(_profiles(rows, window), "profiles")
-        self.window = window
-        self.rows = profiles.select("doc_id", "key", "n_words", "whole_sha")
-        texts = saved(
-            profiles.groupBy("key").agg(
-                F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("n_words").alias("n_words"),
-                F.first("anchors").alias("anchors"),
-            ),
-            "texts",
+        texts = profiles.groupBy("key").agg(
+            F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("n_words").alias("n_words"),
+            F.first("anchors").alias("anchors"),
         )
+        texts = saved(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+        self.rows = saved(profiles.select("doc_id", "key", "n_words", "whole_sha"), "rows")
+        drop_saved(profiles)
         self.copies = texts.where(f"copies > 1 and n_words >= {window}").select("key")
-        listed = texts.where("size(anchors) > 0").select("key", "rid", F.explode("anchors").alias("anchor"))
+        listed = texts.where("size(anchors) > 0").select("tid", F.explode("anchors").alias("anchor"))
         twice = listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        hits = listed.join(twice, "anchor").groupBy("key", "rid").agg(F.collect_set("anchor").alias("hits"))
-        met = rows.select("rid", "text").join(hits, "rid").where(F.unhex(F.sha2("text", 256)) == F.col("key"))
-        held = met.select("key", "text", "hits", F.monotonically_increasing_id().alias("hid"))
-        self._held = saved(held, "held")
-        del listed, twice, hits, met, held
-        release(documents.sparkSession)
-        suffixes = saved(_suffixes(self._held, window), "suffixes")
-        starts = _repeated(suffixes, group).groupBy("hid").agg(F.collect_list("start").alias("starts"))
+        hits = saved(listed.join(twice, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("hits")), "hits")
+        del profiles, listed, twice
+        release(spark)
+        named = hits.join(texts.select("tid", "key", "rid"), "tid").select("key", "rid", "hits")
+        met = rows.select("rid", "text").join(named, "rid").where(F.unhex(F.sha2("text", 256)) == F.col("key"))
+        self._held = saved(met.select("key", "text", "hits", F.monotonically_increasing_id().alias("hid")), "held")
+        drop_saved(hits)
+        del hits, named, met
+        release(spark)
+        # made anew for the prefix counts and for the trees: that is cheaper than keeping them on disk
+        starts = _repeated(_suffixes(self._held, window), group).groupBy("hid").agg(F.collect_list("start").alias("starts"))
         self._starts = saved(starts, "starts")
-        drop_saved(suffixes)
-        del suffixes, starts
-        release(documents.sparkSession)
+        del starts
+        release(spark)
 
     def changed(self) -> DataFrame:
         window = self.window
