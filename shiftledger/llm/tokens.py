@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 #: Words that a memo holds before it starts anew: some 80 MB.
 WORDS = 400_000
 _SPACED = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]")
-_RUN = re.compile(rb"[\x20\x09-\x0D]{2}|[\x09\x0B-\x0D]")
+#: Texts without these have single spaces and line ends between words, and nothing else.
+_RUNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: An optional space and letters of ASCII or Latin-1: one word to either tokenizer, and the same in composed form.
 _WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -114,7 +115,7 @@ class Encoder:
             return None
         if b"\0" in text:
             return None
-        if _RUN.search(text):
+        if any(run in text for run in _RUNS):
             return b"\0".join(_SPACED.findall(text))
         return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0")
 
