@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftledger.functions.codes import BILLABLE, HOURS_PER_DAY, NONBILLABLE, UNAVAILABLE
@@ -58,20 +58,24 @@ def accumulated_overtime(
     bounded = (lambda df, c: df.filter(F.col(c) <= F.lit(last))) if last is not None else (lambda df, c: df)
     staff = t.employees.select(F.col("id").alias("employee"), "date_of_employment", "termination_date")
     asked = requests.select("employee", "end_date").distinct().join(staff, "employee")
-    worked = (
-        bounded(t.time_entry, "date").groupBy("employee", "date").agg(F.sum("minutes").alias("minutes"))
-        .join(asked, "employee")
-        .filter(F.col("date").between(F.col("date_of_employment"), F.col("end_date")))
-        .groupBy("employee", "end_date")
-        .agg(F.sum("minutes").alias("worked_minutes"))
-    )
-    paid = (
-        bounded(t.paid_overtime, "paid_date").groupBy("employee", "paid_date").agg(F.sum("minutes").alias("minutes"))
-        .join(asked, "employee")
-        .filter(F.col("paid_date") <= F.col("end_date"))
-        .groupBy("employee", "end_date")
-        .agg(F.sum("minutes").alias("paid_minutes"))
-    )
+
+    def up_to_end(rows: DataFrame, name: str) -> DataFrame:
+        """Minutes up to each end date: a running sum over the days and end dates of an employee."""
+        marks = asked.select(
+            "employee", F.col("end_date").alias("date"), F.lit(None).cast("int").alias("minutes"), F.lit(True).alias("_asked")
+        )
+        days = rows.select("employee", "date", "minutes", F.lit(None).cast("boolean").alias("_asked")).unionByName(marks)
+        days = days.groupBy("employee", "date").agg(F.sum("minutes").alias("minutes"), F.max("_asked").alias("_asked"))
+        so_far = Window.partitionBy("employee").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        summed = days.withColumn(name, F.sum("minutes").over(so_far)).filter("_asked")
+        return summed.select("employee", F.col("date").alias("end_date"), name)
+
+    hired = asked.select("employee", "date_of_employment").distinct()
+    entered = bounded(t.time_entry, "date").select("employee", "date", "minutes").join(hired, "employee")
+    worked = up_to_end(entered.filter(F.col("date") >= F.col("date_of_employment")), "worked_minutes")
+    paid_out = bounded(t.paid_overtime, "paid_date").filter(F.col("paid_date").isNotNull())
+    paid_out = paid_out.select("employee", F.col("paid_date").alias("date"), "minutes").join(hired, "employee", "left_semi")
+    paid = up_to_end(paid_out, "paid_minutes")
     planned = business_hours(asked, F.col("date_of_employment"), F.col("end_date"), t.holidays)
     late = F.coalesce(F.col("end_date") > F.col("termination_date"), F.lit(False))
     overtime = hours_or_zero("worked_minutes") - F.col("business_hours") - hours_or_zero("paid_minutes")
