@@ -35,7 +35,7 @@ from shiftledger.llm.tokens import Encoder, encoder, vocabulary_path
 BLOCK = 500_000
 ROUNDS = 3
 LEAST = 8
-BLOCKS_PER_FILE = 8
+BLOCKS_PER_FILE = 64
 _HEAD = "<4s6I"
 
 
