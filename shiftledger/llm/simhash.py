@@ -113,7 +113,12 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     Rows that share doc_id and text are one document and come once; a doc_id with several texts stays with all of them
     if one of them stays. Rows without doc_id cannot be named by a decision and stay. An empty table stays empty.
     """
-    named = near_duplicates(documents).where("doc_id is not null")
+    return keep_least(documents, near_duplicates(documents))
+
+
+def keep_least(documents: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of documents that the groups (doc_id, component_id) of its rows leave, see one_of_each_group()."""
+    named = named.where("doc_id is not null")
     decided = named.groupBy(F.col("doc_id").alias("__id")).agg(
         F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")
     )
