@@ -2,11 +2,12 @@
 
 1. Texts become word codes over the benchmark's vocabulary (0: any other word), stored once for the later passes.
 2. Document frequencies over the whole corpus give IDF weights. Terms in at most 1 % of the documents or in 20, and
-   the rarest words of every item, carry the passages; the rest only counts in the final comparison.
+   the rarest words of every item, carry the passages; the rest only counts in the comparisons.
 3. One pass over all passages sums G = A'A W, A being the TF-IDF rows of corpus and benchmark passages (both sides
    scaled to the same energy) and W a random matrix. Nyström's formula turns G into the leading singular directions.
    What travels is one (terms x rank) matrix from each of at most 2,000 tasks, summed by groups of 16 rows.
-4. Each passage window is projected; items of which it holds enough, by cosine, are candidates.
+4. A window that has the words of half of an item's places makes the item a candidate. No match has fewer, so the
+   search loses nothing, however hot an item is; the cosine of a match's projection is reported and decides nothing.
 5. The longest common subsequence of item and window decides: nearly all words in order is a copy; fewer are a
    paraphrase if the item's answer (its column `answer`, else its last quarter) is there, too.
 
@@ -33,8 +34,7 @@ SUM_TASKS = 2_000
 SUM_ROWS = 16
 COMMON, FEW = 0.01, 20
 RAREST = 8
-COSINE = 0.15
-COVERAGE = 0.3
+WINDOWS = 256
 COPY = 0.8
 PARAPHRASE = 0.5
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -233,54 +233,80 @@ def _search(codes: DataFrame, items: Items, idf: np.ndarray, slot: np.ndarray, b
     latent = np.array([project[c].sum(axis=0) for c in items.codes])
     held = np.array([float((np.unique(c, return_counts=True)[1] ** 2 * carried[np.unique(c)]).sum()) for c in items.codes])
     energy = np.maximum((latent**2).sum(axis=1), 1e-9)
-    widths = np.array([max(32, 1 << int(np.ceil(np.log2(len(c) * 4 / 3)))) for c in items.codes])
-
-    def verified(doc: np.ndarray, n: int, start: int, width: int, item: int, cosine: float) -> tuple | None:
-        codes, part = items.codes[item], doc[start : start + width].astype(np.int64)
+    lengths = np.array([len(c) for c in items.codes])
+    widths = np.array([max(32, 1 << int(np.ceil(np.log2(n * 4 / 3)))) for n in lengths])
+    # places of each word in each item, by word
+    size = len(items.codes)
+    cells, times = np.unique(np.concatenate(items.codes) * size + np.repeat(np.arange(size), lengths), return_counts=True)
+    owner, times = cells % size, times.astype(np.float32)
+    begin = np.searchsorted(cells // size, np.arange(len(idf) + 1))
+
+    def postings(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the given distinct words, (row in codes, cell) of all items that have them."""
+        many = begin[codes + 1] - begin[codes]
+        row = np.repeat(np.arange(len(codes)), many)
+        return row, np.arange(len(row)) + np.repeat(begin[codes] - (np.cumsum(many) - many), many)
+
+    def cosine(doc: np.ndarray, start: int, item: int) -> float:
+        part = doc[start : start + int(widths[item])]
+        share = float(project[part].sum(axis=0) @ latent[item]) / float(energy[item])
+        return share * float(np.sqrt(held[item])) / max(float(np.sqrt(counted[part].sum())), 1e-9)
+
+    def verified(doc: np.ndarray, start: int, item: int) -> tuple | None:
+        codes, part = items.codes[item], doc[start : start + int(widths[item])]
         common = common_length(codes, part)
         if common >= COPY * len(codes):
-            return start, common, cosine, "copy"
+            return start, common, "copy"
         answer = items.answers[item]
         if common >= PARAPHRASE * len(codes) and common_length(answer, part) >= PARAPHRASE * len(answer):
-            return start, common, cosine, "paraphrase"
+            return start, common, "paraphrase"
         return None
 
+    def candidates(doc: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, item) of all windows that hold the words of half of the item's places, as any match does."""
+        words = np.unique(doc)
+        words = words[words > 0]
+        row, cell = postings(words)
+        able = np.bincount(owner[cell], times[cell], size) >= PARAPHRASE * lengths
+        for width in np.unique(widths[able]):
+            mine = np.flatnonzero(able & (widths == width))
+            column = np.full(size, -1)
+            column[mine] = np.arange(len(mine))
+            kept = column[owner[cell]] >= 0
+            used = np.unique(row[kept])
+            places = np.zeros((len(used), len(mine)), np.float32)
+            places[np.searchsorted(used, row[kept]), column[owner[cell[kept]]]] = times[cell[kept]]
+            at = np.flatnonzero(np.isin(doc, words[used]))
+            word = np.searchsorted(words[used], doc[at])
+            starts = _windows(len(doc), int(width))
+            for chunk in range(0, len(starts), WINDOWS):
+                some = starts[chunk : chunk + WINDOWS]
+                first, last = np.searchsorted(at, some), np.searchsorted(at, some + width)
+                many = last - first
+                window = np.repeat(np.arange(len(some)), many)
+                there = np.arange(len(window)) + np.repeat(first - (np.cumsum(many) - many), many)
+                # only the chunk's own words, so that the table is bounded by the chunk
+                own, mapped = np.unique(word[there], return_inverse=True)
+                holds = np.zeros((len(some), len(own)), np.float32)
+                holds[window, mapped] = 1
+                for w, i in zip(*np.nonzero(holds @ places[own] >= PARAPHRASE * lengths[mine]), strict=True):
+                    yield int(some[w]), int(mine[i])
+
     def matches(doc: np.ndarray) -> dict[int, tuple]:
         """Best match of each item: the most common words, then the first window."""
         best: dict[int, tuple] = {}
-        at = np.flatnonzero(slot[doc] >= 0)
-        if not len(at):
-            return best
-        occurring = doc[at]
-        mass = np.concatenate(([0.0], np.cumsum(carried[occurring])))
-        weight = np.concatenate(([0.0], np.cumsum(counted[doc])))
-        for width in np.unique(widths):
-            mine = np.flatnonzero(widths == width)
-            starts = _windows(len(doc), int(width))
-            first, last = np.searchsorted(at, starts), np.searchsorted(at, starts + width)
-            enough = np.flatnonzero(mass[last] - mass[first] >= COVERAGE * held[mine].min() * 0.999)
-            if not len(enough):
-                continue
-            sums = np.concatenate((np.zeros((1, basis.shape[1]), np.float32), np.cumsum(project[occurring], axis=0)))
-            for chunk in range(0, len(enough), 1024):
-                some = enough[chunk : chunk + 1024]
-                dots = (sums[last[some]] - sums[first[some]]) @ latent[mine].T
-                share = dots / energy[mine][None, :]
-                norm = np.sqrt(weight[np.minimum(starts[some] + width, len(doc))] - weight[starts[some]])
-                cosine = share * np.sqrt(held[mine])[None, :] / np.maximum(norm, 1e-9)[:, None]
-                for w, i in zip(*np.nonzero((share >= COVERAGE) & (cosine >= COSINE)), strict=True):
-                    item = int(mine[i])
-                    found = verified(doc, len(doc), int(starts[some[w]]), int(width), item, float(cosine[w, i]))
-                    if found and (item not in best or found[1] > best[item][1]):
-                        best[item] = found
-        return best
+        for start, item in candidates(doc):
+            found = verified(doc, start, item)
+            if found and (item not in best or found[1] > best[item][1]):
+                best[item] = found
+        return {item: (start, common, cosine(doc, start, item), how) for item, (start, common, how) in best.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lists in records(batches):
             rows = []
             for doc_id, raw in zip(ids, lists, strict=True):
-                for item, (start, common, cosine, how) in matches(np.frombuffer(raw, kind)).items():
-                    rows.append((doc_id, items.ids[item], start, len(items.codes[item]), common, cosine, how))
+                for item, (start, common, value, how) in matches(np.frombuffer(raw, kind).astype(np.int64)).items():
+                    rows.append((doc_id, items.ids[item], start, len(items.codes[item]), common, value, how))
             if rows:
                 yield batch_of(schema, *zip(*rows, strict=True))
 

@@ -82,3 +82,49 @@ def test_directions_are_those_of_the_full_decomposition(spark):
     slot = np.where(carries, np.cumsum(carries) - 1, -1)
     basis = latent.directions(codes, block, idf, slot, 10_000)
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+
+
+def plain_matches(items, data):
+    """(doc_id, item_id, start, common, kind) by the longest common subsequence of every item with every window."""
+    out = set()
+    for doc_id, text in data:
+        words = latent.words_of((text or "").encode())
+        for item_id, held in items:
+            own = latent.words_of(held.encode())
+            width = max(32, 1 << int(np.ceil(np.log2(len(own) * 4 / 3))))
+            codes = {w: i + 1 for i, w in enumerate(dict.fromkeys(own))}
+            doc, item, best = np.array([codes.get(w, 0) for w in words]), np.array([codes[w] for w in own]), None
+            answer = item[len(item) - max(1, len(item) // 4) :]
+            for start in latent._windows(len(doc), width).tolist():
+                part = doc[start : start + width]
+                common = latent.common_length(item, part)
+                kind = "copy" if common >= 0.8 * len(item) else None
+                if not kind and common >= 0.5 * len(item) and latent.common_length(answer, part) >= 0.5 * len(answer):
+                    kind = "paraphrase"
+                if kind and (best is None or common > best[1]):
+                    best = start, common, kind
+            if best:
+                out.add((doc_id, item_id, *best))
+    return out
+
+
+def test_an_item_in_a_third_of_the_rows_is_found_like_by_a_plain_search(spark):
+    """Hot items, items of few distinct words and half-kept items are all found, with the best window."""
+    rng = random.Random(6)
+    word = lambda: text_of(rng, 1, "abcdefghijklmnop")
+    items = [(i, text_of(rng, rng.randint(49, 59), "abcdefghijklmnop")) for i in range(4)]
+    items.append((4, " ".join(w for _ in range(7) for w in ("one", "two", "three", "one", "four"))))
+    data = []
+    for i in range(240):
+        texts = [text_of(rng, rng.randint(20, 400), "abcdefghijklmnop"), text_of(rng, rng.randint(0, 200), "abcdefghijklmnop")]
+        if i % 3 == 0:
+            own = items[i // 3 % 2][1].split()
+            share = rng.choice([0, 0, 0.1, 0.2, 0.3, 0.45])
+            texts.insert(1, " ".join(word() if rng.random() < share else w for w in own))
+        elif i % 10 == 1:
+            texts.insert(1, items[2 + i // 10 % 3][1])
+        data.append((i, " ".join(texts)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.start, r.common, r.kind) for r in latent.contaminated(documents(spark, data), benchmark).collect()}
+    want = plain_matches(items, data)
+    assert found == want and len(want) > 90
