@@ -1,8 +1,8 @@
 """Licence scans with a positional rare-token index over words.
 
-A template is a sequence of words with a label. The index files it under its rarest word, by document frequency over
-all texts, with that word's place in it; long templates are also filed under their second rarest word, so that a text
-with a slip in one of them is found. Every text is cut into words once; where a filed word stands, the template's
+A template is a sequence of words with a label. The index files it under the rarest word of its key phrase, by document
+frequency over all texts, with that word's place in it. The key phrase must stand in full, so every place that counts
+has that word, and no other word needs an entry. Every text is cut into words once; where a filed word stands, the template's
 other words are compared at their relative places. A licence phrase counts if all words are there. Other templates
 count if enough of their words are at their place and the mandatory key phrase stands there in full.
 
@@ -21,7 +21,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is between words when letters are not lowered yet: ASCII but digits and letters.
 GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 ENOUGH = 0.75
-LONG = 6
 
 
 @dataclass(frozen=True)
@@ -73,11 +72,9 @@ def rarity(documents: DataFrame, words: list[str]) -> dict[str, int]:
     return {row["word"]: row["n"] for row in low.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def _entries(template: Template, count: dict[str, int]) -> list[int]:
-    """Places of the words under which the template is filed: the rarest first, and the first place of equal words."""
-    words = template.words
-    places = sorted(range(len(words)), key=lambda i: (count.get(words[i], 0), i))
-    return places[: 2 if len(words) >= LONG else 1]
+def _entry(template: Template, count: dict[str, int]) -> int:
+    """Place of the word under which the template is filed: the key phrase's rarest, the first of equally rare ones."""
+    return min(range(*template.key_at), key=lambda i: (count.get(template.words[i], 0), i))
 
 
 def _at(words: Column, place: Column, template: Template, entry: int) -> Column:
@@ -98,9 +95,9 @@ def scanned(
     there; 0 if none. Null and empty texts have no words; rows without doc_id and repeated rows are scanned like
     others; an empty table gives an empty result; other columns are ignored.
     """
-    vocabulary = sorted({w for t in (*base, *more) for w in t.words})
+    vocabulary = sorted({w for t in (*base, *more) for w in t.words[slice(*t.key_at)]})
     count = rarity(documents, vocabulary)
-    filed = [(i, t, e) for i, t in enumerate((*base, *more)) for e in _entries(t, count)]
+    filed = [(i, t, _entry(t, count)) for i, t in enumerate((*base, *more))]
     entries = sorted({t.words[e] for _, t, e in filed})
     rows = documents.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words"))
     marked = F.transform("words", lambda w, i: F.when(F.lower(w).isin(entries), i))

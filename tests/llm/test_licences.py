@@ -44,3 +44,21 @@ def test_empty_table_and_plan(spark):
     assert licences.scanned(none).count() == 0
     plan = licences.scanned(documents(spark, rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_whole_key_phrase_is_found_whatever_other_words_slip_or_are_rare(spark):
+    """The words that slip are the rarest of their template, and the key's words are frequent."""
+    texts = [
+        "redistribution and use in source and binary forms with or without changes are allowed",
+        "so redistribution and use in source and binary forms with or without changes are allowed here",
+        "permission is hereby granted free of charge to any individual receiving one copy of the software",
+        "permission is hereby granted free of charge to any individual receiving one copy of that thing",
+        "licenced under the gnu general public license",
+        "redistribution and use in source and binary form with or without modification are permitted",
+    ]
+    common = [" ".join(t.key for t in licences.MORE if t.key)] * 5
+    data = [(i, t) for i, t in enumerate(texts + common)]
+    found = result(licences.scanned(documents(spark, data)))
+    assert found == sorted(((d, *plain(t)) for d, t in data), key=repr)
+    labels = {d: row for d, *_, row, _ in found}
+    assert labels[0] == labels[1] == "bsd" and labels[2] == "mit" and labels[5] == ""
