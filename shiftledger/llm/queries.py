@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import grammar, impact, latent, licences, packing, quality, simhash, suffixes, urlrules, warc
+from shiftledger.llm import (
+    align,
+    centroids,
+    grammar,
+    impact,
+    latent,
+    licences,
+    packing,
+    quality,
+    rangejoin,
+    simhash,
+    suffixes,
+    urlrules,
+    warc,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +69,18 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scanned(table(spark, folder, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.alignments(table(spark, folder, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clustered(table(spark, folder, "embeddings"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return rangejoin.range_classes(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filters": op2_url_filters,
@@ -66,7 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_segments": op9_warc_segments,
     "op10_license_scans": op10_license_scans,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
+
+
 def _templates() -> str:
     """The licence templates as rows (id, label, base, size, place, word, in_key)."""
     rows = []
@@ -78,6 +109,29 @@ def _templates() -> str:
     return ", ".join(rows)
 
 
+def _rounds() -> str:
+    """One pair of tables a round: a<i> assigns vectors to the centroids c<i>, c<i+1> are those after the round."""
+    steps = []
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT r, min_by(number, (gap, number)) AS number, min(gap) AS gap FROM (
+                SELECT r, number, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS gap
+                FROM kept CROSS JOIN c{i}
+            ) GROUP BY r
+        )""")
+        if i < centroids.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+            SELECT number, coalesce(moved, c) AS c FROM c{i} LEFT JOIN (
+                SELECT number, list((((s - ((s % n) + n) % n) // n)::DOUBLE) ORDER BY place) AS moved FROM (
+                    SELECT number, place, sum(v[place]::BIGINT) AS s, count(*) AS n
+                    FROM a{i} JOIN kept USING (r) CROSS JOIN (SELECT unnest(range(1, {centroids.WIDTH + 1})) AS place)
+                    GROUP BY number, place
+                ) GROUP BY number
+            ) USING (number)
+        )""")
+    return ", ".join(steps)
+
+
 SQL: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (
@@ -137,5 +191,38 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word,
             hi::BIGINT AS last_word, coalesce(b, '') AS base_labels, coalesce(l, '') AS labels, coalesce(s, 0)::DOUBLE AS score
         FROM d LEFT JOIN a USING (r)
+    """,    "op12_centroid_clusters": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS r,
+                list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)) AS v
+            FROM embeddings WHERE len(embedding) = {centroids.WIDTH}
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS number, v AS c FROM (
+                SELECT v, sha256('{centroids.SEED}:' || vec_id::VARCHAR) AS h FROM kept WHERE vec_id IS NOT NULL
+                ORDER BY h, v LIMIT {centroids.CENTROIDS}
+            )
+        ), {_rounds()}
+        SELECT vec_id, number::INT AS cluster, gap::BIGINT AS distance,
+            sum(gap) OVER (PARTITION BY number)::BIGINT AS cluster_inertia, sum(gap) OVER ()::BIGINT AS inertia,
+            sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+        FROM kept JOIN a{centroids.ROUNDS} USING (r) JOIN c{centroids.ROUNDS} USING (number)
+    """,
+    "op13_embedding_near_dedup": f"""
+        WITH RECURSIVE rows_ AS MATERIALIZED (
+            SELECT vec_id, label, row_number() OVER () AS r, embedding::DOUBLE[] AS e FROM embeddings
+        ), v AS MATERIALIZED (
+            SELECT r, label, e, sqrt(list_inner_product(e, e)) AS norm FROM rows_
+            WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), link AS MATERIALIZED (
+            SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+            WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {rangejoin.COSINE}
+        ), reach(a, b) AS (
+            SELECT r, r FROM rows_ UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), class AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN rows_ ON reach.b = rows_.r GROUP BY a),
+        n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM rows_ JOIN class USING (r) LEFT JOIN n USING (r)
     """,
 }
