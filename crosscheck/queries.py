@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ START, END = dt.date(1995, 2, 1), dt.date(2001, 12, 1)
 YEAR = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
 WHOLE = (dt.date(1995, 1, 1), dt.date(2001, 11, 30))
 MIXED = (dt.date(1995, 1, 1), dt.date(2001, 11, 20))
+# All weeks have employees.
+HIRED = (dt.date(1997, 1, 6), dt.date(2001, 11, 20))
 AS_OF = dt.date(1998, 6, 15)
 LAST_DAY = dt.date(2001, 11, 4)
 
@@ -235,9 +238,16 @@ by_month("c1_accumulated_hours_for_employee", entries.accumulated_hours)
 @query("c2_accumulated_overtime_for_employee")
 def _(t):
     asked = t.employees.select(
-        F.col("id").alias("employee"), F.explode(F.array(F.lit(AS_OF), F.lit(dt.date(1999, 9, 30)))).alias("end_date")
+        F.col("id").alias("employee"), F.explode(F.array(F.lit(AS_OF), F.lit(WHOLE[1]))).alias("end_date")
     )
-    return entries.accumulated_overtime(t, asked, reject=True, last=dt.date(1999, 9, 30))
+    return entries.accumulated_overtime(t, asked, reject=True, last=WHOLE[1])
+
+
+@query("c2_accumulated_overtime_failing_form")
+def _(t):
+    """As the reference answers: an end date after the termination would be an error, so none is asked for."""
+    end = F.least(F.coalesce("termination_date", F.lit(WHOLE[1])), F.lit(WHOLE[1])).alias("end_date")
+    return entries.accumulated_overtime(t, t.employees.select(F.col("id").alias("employee"), end), last=WHOLE[1])
 
 
 in_range("c3_entries_sums_with_project", entries.entries_with_project, *WHOLE)
@@ -250,7 +260,14 @@ def _(t):
 
 @query("c5_hours_per_employee")
 def _(t):
-    return entries.hours_per_employee(t, *YEAR).select("id", "name", F.inline("hours"))
+    """One call answers 366 days at most, so there is one for each year."""
+    years = [entries.hours_per_employee(t, dt.date(y, 1, 1), dt.date(y, 12, 31)) for y in range(1995, 2002)]
+    return reduce(DataFrame.unionByName, years).select("id", "name", F.inline("hours"))
+
+
+@query("c5_hours_per_employee_json")
+def _(t):
+    return entries.hours_per_employee_json(t, *YEAR)
 
 
 by_month("c6_accumulated_entries_on_project", entries.accumulated_entries_on_project)
@@ -271,6 +288,15 @@ def _(t):
     return entries.time_tracking_status(t, _months_of_data(t))
 
 
+def of_period_table(name: str, operator: Callable[[Tables, Periods], DataFrame]) -> None:
+    _QUERIES[f"{name}_period_table"] = lambda t: operator(t, _months_of_data(t))
+
+
+of_period_table("b6_employees_in_dates", dimensions.employees_in_periods)
+of_period_table("c1_accumulated_hours_for_employee", entries.accumulated_hours)
+of_period_table("c10_unregistered_days", entries.unregistered_days)
+
+
 by_month("c12_time_tracking_status_with_staffing", entries.time_tracking_status_with_staffing)
 in_range("c13_time_tracking_status_by_week", entries.time_tracking_status_by_week)
 by_month("c14_fg_for_employee", entries.fg_for_employees)
@@ -350,6 +376,28 @@ def _(t):
     )
 
 
+@query("d9_get_weekly_staffing_json")
+def _(t):
+    """The documents, read back from their text."""
+    kind = "id int, name string, role string, imageUrl string, subRows array<map<string, string>>"
+    read = capacity.weekly_staffing_document(t, *MIXED).select(F.from_json("document", kind).alias("d")).select("d.*")
+    rows = read.select("id", "name", "role", F.col("imageUrl").alias("image_url"), F.explode_outer("subRows").alias("row"))
+    fixed = F.array(*map(F.lit, ("name", "billable", "project_name")))
+    weeks = F.filter(F.map_entries("row"), lambda e: ~F.array_contains(fixed, e["key"]))
+    cells = rows.select("*", F.explode_outer(weeks).alias("w")).select(
+        "*", F.from_json("w.value", "dates map<string, int>, availability double").alias("week_data")
+    )
+    return cells.select(
+        "id", "name", "role", "image_url",
+        F.col("row")["name"].alias("project"),
+        F.col("row")["billable"].alias("billable"),
+        F.col("row")["project_name"].alias("project_name"),
+        F.col("w.key").alias("week"),
+        F.col("week_data.availability").alias("availability"),
+        F.explode_outer("week_data.dates").alias("date", "percentage"),
+    )
+
+
 @query("d10_availability_percentage")
 def _(t):
     return capacity.availability_percentage(t, months(t)).withColumn("availability", F.col("availability").cast("double"))
@@ -361,12 +409,22 @@ def _(t):
     return rows.withColumn("availability", F.col("availability").cast("double"))
 
 
+@query("d10_availability_percentage_period_table")
+def _(t):
+    rows = capacity.availability_percentage(t, _months_of_data(t))
+    return rows.withColumn("availability", F.col("availability").cast("double"))
+
+
 @query("d11_weekly_availability")
 def _(t):
     rows = capacity.weekly_availability(t, *MIXED)
     return rows.withColumn("availability", F.col("availability").cast("double"))
 
 
+in_range("d11_weekly_availability_json", capacity.weekly_availability_json, *MIXED)
+in_range("d12_weekly_forecasted_fg_json", capacity.weekly_forecasted_fg_json, *HIRED)
+in_range("d12_weekly_forecasted_fg_failing_form", capacity.weekly_forecasted_fg, *HIRED)
+in_range("d13_weekly_fg_json", capacity.weekly_fg_json, *MIXED)
 # Safe: no hours are available in the weeks before the first employment.
 _QUERIES["d12_weekly_forecasted_fg"] = lambda t: capacity.weekly_forecasted_fg(t, *MIXED, safe=True)
 in_range("d13_weekly_fg", capacity.weekly_fg, *MIXED)
@@ -443,6 +501,11 @@ def _(t):
     return kpi.hours_per_project(t, Periods.month_windows(t.spark, dt.date(1996, 1, 1), END, 12))
 
 
+@query("e19_hours_per_project_period_table")
+def _(t):
+    return kpi.hours_per_project(t, Periods.from_table(Periods.month_windows(t.spark, dt.date(1996, 1, 1), END, 12).df))
+
+
 @query("e19_hours_per_project_counted_once")
 def _(t):
     periods = Periods.month_windows(t.spark, dt.date(1996, 1, 1), END, 12)

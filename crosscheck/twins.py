@@ -8,6 +8,7 @@ import re
 START, END = "DATE '1995-02-01'", "DATE '2001-12-01'"
 YEAR_FIRST, YEAR_LAST = "DATE '1998-01-01'", "DATE '1998-12-31'"
 WHOLE_FIRST, WHOLE_LAST = "DATE '1995-01-01'", "DATE '2001-11-30'"
+HIRED_FIRST, HIRED_LAST = "DATE '1997-01-06'", "DATE '2001-11-20'"
 MIXED_FIRST, MIXED_LAST = "DATE '1995-01-01'", "DATE '2001-11-20'"
 AS_OF, LAST_DAY = "DATE '1998-06-15'", "DATE '2001-11-04'"
 
@@ -269,15 +270,23 @@ _SQL["c2_accumulated_overtime_for_employee"] = f"""SELECT e.id AS employee, x.d
       - {workdays_of('e.doe', 'x.d')} * 7.5
       - (SELECT coalesce(sum(minutes), 0) FROM paid_overtime o WHERE o.employee = e.id AND o.paid_date <= x.d) / 60.0 END AS overtime,
     coalesce(x.d > e.term, false) AS after_termination
-    FROM employees e, (VALUES ({AS_OF}), (DATE '1999-09-30')) x(d)"""
+    FROM employees e, (VALUES ({AS_OF}), ({WHOLE_LAST})) x(d)"""
+_SQL["c2_accumulated_overtime_failing_form"] = f"""SELECT e.id AS employee, x.d AS end_date,
+    (SELECT coalesce(sum(minutes), 0) FROM time_entry t WHERE t.employee = e.id AND t.date BETWEEN e.doe AND x.d) / 60.0
+    - {workdays_of('e.doe', 'x.d')} * 7.5
+    - (SELECT coalesce(sum(minutes), 0) FROM paid_overtime o WHERE o.employee = e.id AND o.paid_date <= x.d) / 60.0 AS overtime
+    FROM employees e, LATERAL (SELECT least(coalesce(e.term, {WHOLE_LAST}), {WHOLE_LAST}) AS d) x"""
 _SQL["c3_entries_sums_with_project"] = f"""SELECT e.id AS for_employee, d.date AS work_date, t.employee, t.project, sum(t.minutes) / 60.0 AS hours
     FROM employees e JOIN days d ON d.date BETWEEN {WHOLE_FIRST} AND {WHOLE_LAST}
     LEFT JOIN time_entry t ON t.employee = e.id AND t.date = d.date GROUP BY ALL"""
 _SQL["c4_entries_sums_for_employee"] = """SELECT employee, date, CAST(sum(minutes) AS BIGINT) AS sum FROM time_entry
     WHERE date >= DATE '1995-01-02' AND date < DATE '1995-01-02' + 2530 GROUP BY 1, 2"""
-_SQL["c5_hours_per_employee"] = f"""SELECT e.id, {NAME} AS name, d.date, round(sum(t.minutes) / 60.0, 1) AS hours
-    FROM employees e JOIN days d ON d.date BETWEEN {YEAR_FIRST} AND {YEAR_LAST}
+_HOURS_BY_DAY = f"""SELECT e.id, {NAME} AS name, d.date, round(sum(t.minutes) / 60.0, 1) AS hours
+    FROM employees e JOIN days d ON d.date BETWEEN {{first}} AND {{last}}
     LEFT JOIN time_entry t ON t.employee = e.id AND t.date = d.date GROUP BY ALL"""
+_SQL["c5_hours_per_employee"] = _HOURS_BY_DAY.format(first="DATE '1995-01-01'", last="DATE '2001-12-31'")
+_SQL["c5_hours_per_employee_json"] = f"""SELECT name, '[' || string_agg('{{"' || date || '":' || coalesce(CAST(hours AS VARCHAR), 'null') || '}}', ',' ORDER BY date)
+    || ']' AS hours FROM ({_HOURS_BY_DAY.format(first=YEAR_FIRST, last=YEAR_LAST)}) GROUP BY id, name"""
 _SQL["c6_accumulated_entries_on_project"] = f"""SELECT w.from_date, w.to_date, CAST(sum(t.minutes) AS BIGINT) // 60 AS hours, p.id AS project, p.billable, p.name
     FROM time_entry t JOIN projects p ON p.id = t.project JOIN months w ON t.date {INSIDE} GROUP BY ALL"""
 for _key, _class in [
@@ -459,6 +468,16 @@ _SQL["d9_get_weekly_staffing"] = f"""WITH bounds AS (SELECT CAST(date_trunc('wee
     LEFT JOIN cells c ON c.employee = e.id LEFT JOIN shares h ON h.employee = c.employee AND h.m = c.m LEFT JOIN projects p ON p.id = c.project"""
 
 
+_SQL["d9_get_weekly_staffing_json"] = f"""SELECT employee_id AS id, concat_ws(' ', first_name, last_name) AS name, role,
+    CAST(NULL AS VARCHAR) AS image_url, project, billable, project_name, week, availability, CAST(date AS VARCHAR) AS date, percentage
+    FROM ({_SQL["d9_get_weekly_staffing"]})"""
+
+
+def _week_object(rows: str, value: str) -> str:
+    """One JSON text from the labels of weeks to a value."""
+    return f"""SELECT '{{' || string_agg('"' || week || '":' || coalesce({value}, 'null'), ',' ORDER BY week) || '}}' AS result FROM ({rows})"""
+
+
 def _company_availability(periods: str) -> str:
     return f"""SELECT w.from_date, w.to_date, CASE WHEN possible = 0 THEN 0 ELSE greatest(round((possible - gone) * 100.0 / possible, 2), 0) END AS availability
       FROM (SELECT w.from_date, w.to_date,
@@ -497,6 +516,11 @@ _SQL["d13_weekly_fg"] = f"""WITH sums AS (SELECT w.from_date,
        - (SELECT count(*) FROM away a WHERE a.date {INSIDE})) * 7.5 AS available FROM mixed_weeks w)
     SELECT strftime(from_date, '%G-%V') AS week,
       CASE WHEN available > 0 THEN round(CAST(billable AS DOUBLE) / CAST(available AS DOUBLE) * 100, 1) ELSE 0 END AS fg FROM sums"""
+PARTS["hired_weeks"] = weeks(HIRED_FIRST, HIRED_LAST, whole=True)
+_SQL["d12_weekly_forecasted_fg_failing_form"] = _SQL["d12_weekly_forecasted_fg"].replace("mixed_weeks", "hired_weeks")
+_SQL["d11_weekly_availability_json"] = _week_object(_SQL["d11_weekly_availability"], "CAST(CAST(availability AS DECIMAL(6,1)) AS VARCHAR)")
+_SQL["d12_weekly_forecasted_fg_json"] = _week_object(_SQL["d12_weekly_forecasted_fg_failing_form"], "CAST(percent AS VARCHAR)")
+_SQL["d13_weekly_fg_json"] = _week_object(_SQL["d13_weekly_fg"], "CAST(fg AS VARCHAR)")
 _SQL["d14_unavailable_staffing_hours"] = f"""SELECT w.from_date, w.to_date, CAST(count(s.date) * 7.5 AS DOUBLE) AS unavailable_hours
     FROM months w LEFT JOIN st s ON s.date {INSIDE} AND s.billable = 'unavailable' GROUP BY 1, 2"""
 _SQL["d15_planned_billable_hours"] = f"""SELECT w.from_date, w.to_date, CAST(count(s.date) * 7.5 AS DOUBLE) AS billable_hours
@@ -660,7 +684,15 @@ for _key, _fan in [("e19_hours_per_project", True), ("e19_hours_per_project_coun
           CAST(coalesce(om, 0) AS DOUBLE) AS expense_money, CAST(coalesce(sm, 0) AS DOUBLE) AS subcontractor_money,
           from_date AS start_date, to_date AS end_date FROM economics"""
 
-for _key in ("c11_time_tracking_status", "e7_accumulated_billed_hours"):
+for _key in (
+    "b6_employees_in_dates",
+    "c1_accumulated_hours_for_employee",
+    "c10_unregistered_days",
+    "c11_time_tracking_status",
+    "d10_availability_percentage",
+    "e7_accumulated_billed_hours",
+    "e19_hours_per_project",
+):
     _SQL[f"{_key}_period_table"] = _SQL[_key]
 
 # F

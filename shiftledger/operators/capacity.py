@@ -255,6 +255,27 @@ def weekly_staffing_json(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
+def weekly_staffing_document(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+    """One JSON document per employee: id, name, role, imageUrl and subRows, an array with an object per planned
+    project (in order of its code), which holds an object per ISO week; an empty array if nothing is planned.
+
+    Weeks are nested in projects and projects in employees by one aggregation each, and the last ends per employee, so
+    that no task ever holds the whole company.
+    """
+    employee = ("id", "name", "role", "imageUrl")
+    rows = weekly_staffing_json(t, start, end)
+    sub_rows = F.array_sort(
+        F.collect_list(F.when(F.col("project").isNotNull(), F.struct("project", "sub_row"))),
+        lambda a, b: F.when(a["project"] < b["project"], -1).when(a["project"] > b["project"], 1).otherwise(0),
+    )
+    head = F.to_json(F.struct(*employee), {"ignoreNullFields": "false"})
+    nested = rows.groupBy(*employee).agg(F.transform(sub_rows, lambda r: r["sub_row"]).alias("_sub_rows"))
+    document = F.concat(
+        F.expr("left(_head, length(_head) - 1)"), F.lit(',"subRows":['), F.concat_ws(",", "_sub_rows"), F.lit("]}")
+    )
+    return nested.withColumn("_head", head).select("id", document.alias("document"))
+
+
 # Availability
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftledger.functions.codes import (
@@ -14,7 +14,6 @@ from shiftledger.functions.codes import (
     VACATION,
     is_absence_reason,
 )
-from shiftledger.functions.dates import overlaps
 from shiftledger.plans.daily import employee_periods
 from shiftledger.plans.periods import Periods
 from shiftledger.sources.tables import Tables
@@ -95,20 +94,55 @@ def number_of_employees_in_periods(t: Tables, periods: Periods, permanent_only:
     """
     staff = t.employees.filter("has_permanent_position") if permanent_only else t.employees
     intervals = staff.groupBy("date_of_employment", "termination_date").agg(F.count("*").alias("n"))
-    touching = periods.attach(
-        intervals, lambda start, end: overlaps(F.col("date_of_employment"), F.col("termination_date"), start, end)
-    )
+    touching = periods.attach_overlapping(intervals, F.col("date_of_employment"), F.col("termination_date"))
     counts = touching.groupBy("from_date", "to_date").agg(F.sum("n").alias("employee_count"))
     return periods.df.join(counts, ["from_date", "to_date"], "left").select(
         "from_date", "to_date", F.coalesce("employee_count", F.lit(0)).alias("employee_count")
     )
 
 
-def projects_info_for_employee_in_range(t: Tables, requests: DataFrame) -> DataFrame:
+def projects_by_day(time_entry: DataFrame) -> DataFrame:
+    """(employee, worked): on which days an employee entered time, as a bit per day.
+
+    ``worked`` has one (project, year, days) per project and year, where ``days`` holds a number per month whose bit n
+    stands for day n + 1. Rows combine inside each task by ``bit_or``, so of any number of entries one row per employee,
+    project and year is shuffled, and a year takes twelve numbers. (``bitmap_construct_agg`` would keep four kilobytes.)
+    """
+    bit = F.expr("shiftleft(1, day(date) - 1)")
+    by_month = [F.bit_or(F.when(F.month("date") == m, bit)) for m in range(1, 13)]
+    months = [F.coalesce(column, F.lit(0)) for column in by_month]
+    years = time_entry.groupBy("employee", "project", F.year("date").alias("year")).agg(F.array(*months).alias("days"))
+    return years.groupBy("employee").agg(F.collect_list(F.struct("project", "year", "days")).alias("worked"))
+
+
+def _worked_in(worked: Column, start: Column, end: Column) -> Column:
+    """Is one of the days of a (project, year, days) inside a closed range, whose bounds may be NULL for none."""
+    month = F.sequence(F.lit(1), F.lit(12))
+    number = worked["year"] * 12
+
+    def asked(days: Column, at: Column) -> Column:
+        here = number + at + 1
+        first = F.coalesce(F.year(start) * 12 + F.month(start), F.lit(-(1 << 30)))
+        last = F.coalesce(F.year(end) * 12 + F.month(end), F.lit(1 << 30))
+        # of the first month the days from its first on, of the last one those up to its last
+        low = F.when(here == first, F.call_function("shiftleft", F.lit(-1), F.day(start) - 1)).otherwise(F.lit(-1))
+        high = F.when(here == last, F.call_function("shiftright", F.lit((1 << 31) - 1), 31 - F.day(end))).otherwise(F.lit(-1))
+        return F.when((here >= first) & (here <= last), days.bitwiseAND(low).bitwiseAND(high)).otherwise(0)
+
+    masked = F.transform(month, lambda m: asked(F.element_at(worked["days"], m), m - 1))
+    return F.exists(masked, lambda days: days != 0)
+
+
+def projects_info_for_employee_in_range(
+    t: Tables, requests: DataFrame, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
     """For (employee, date_range) requests, the projects the employee entered time on in that range.
 
     ``date_range`` is text such as ``[1998-01-01,1998-02-01)``: a square bracket includes its bound,
-    an empty bound is infinite, ``empty`` holds no date, and a NULL argument gives no rows.
+    an empty bound is infinite, ``empty`` holds no date, and a NULL argument gives no rows. ``first`` and ``last`` are
+    known bounds of all ranges and prune the scan.
+
+    A request looks up one row, the employee's days by project as bits, and only the projects it meets leave that row.
     """
     form = r"^\s*([\[(])\s*([^,]*?)\s*,\s*([^,]*?)\s*([\])])\s*$"
     text = F.col("date_range")
@@ -119,6 +153,7 @@ def projects_info_for_employee_in_range(t: Tables, requests: DataFrame) -> DataF
 
     parsed = (
         requests.dropna(subset=["employee", "date_range"])
+        .select("employee", "date_range")
         .distinct()
         .filter(F.lower(F.trim(text)) != "empty")
         .filter(text.rlike(form) | F.raise_error(F.concat(F.lit("malformed range: "), text)).cast("boolean"))
@@ -127,11 +162,17 @@ def projects_info_for_employee_in_range(t: Tables, requests: DataFrame) -> DataF
         )
         .withColumn("_to", F.when(F.regexp_extract(text, form, 4) == "]", bound(3)).otherwise(F.date_sub(bound(3), 1)))
     )
-    worked = t.time_entry.select("employee", "project", "date").distinct()
-    in_range = F.coalesce(F.col("date") >= F.col("_from"), F.lit(True)) & F.coalesce(
-        F.col("date") <= F.col("_to"), F.lit(True)
+    entered = t.time_entry.select("employee", "project", "date").dropna()
+    if first is not None:
+        entered = entered.filter(F.col("date") >= F.lit(first))
+    if last is not None:
+        entered = entered.filter(F.col("date") <= F.lit(last))
+    met = F.filter("worked", lambda w: _worked_in(w, F.col("_from"), F.col("_to")))
+    found = F.array_distinct(F.transform(met, lambda w: w["project"]))
+    hits = (
+        parsed.join(projects_by_day(entered), "employee")
+        .select("employee", "date_range", F.explode(found).alias("project"))
     )
-    hits = worked.join(parsed, "employee").filter(in_range).select("employee", "date_range", "project").distinct()
     projects = t.projects.select(F.col("id").alias("project"), "name", "active", "customer")
     customers = t.customers.select(F.col("id").alias("customer"), F.col("name").alias("customer_name"))
     return (

@@ -367,14 +367,34 @@ def employee_yearly_bonus(t: Tables, first_year: int, last_year: int | None = No
         .when(ratio > 0.90, F.when(tenured, 750).otherwise(500))
         .otherwise(0)
     )
-    return (
-        _employee_hours(t, weeks)
+    facts = employee_period_facts(t, weeks, planned=False).withColumnRenamed("employee", "id")
+    earned = (
+        with_available_days(employed_weeks(t.employees, weeks), t, weeks)
+        .join(facts, ["id", *PERIOD], "left")
         .join(held, ["id", "from_date"], "left")
-        .groupBy(F.col("id").alias("employee"), F.col("iso_year").alias("year"))
-        .agg(F.sum(amount).cast("int").alias("bonus"))
+        .groupBy("id", F.extract(F.lit("YEAROFWEEK"), F.col("from_date")).alias("year"))
+        .agg(F.sum(amount).alias("bonus"))
+    )
+    years = F.explode(F.sequence(F.lit(first_year), F.lit(first_year if last_year is None else last_year)))
+    return (
+        t.employees.select("id", years.alias("year"))
+        .join(earned, ["id", "year"], "left")
+        .select(F.col("id").alias("employee"), "year", F.coalesce("bonus", F.lit(0)).cast("int").alias("bonus"))
     )
 
 
+def employed_weeks(employees: DataFrame, weeks: Periods) -> DataFrame:
+    """One row per employee and ISO week of the span that the employment touches. Weeks follow from the interval of the
+    employee, cut to the span; no employee meets a week outside of it."""
+    first, last = F.lit(weeks.first), F.lit(weeks.last)
+    start = F.trunc(F.greatest(F.col("date_of_employment"), first), "week")
+    end = F.trunc(F.least(F.coalesce("termination_date", last), last), "week")
+    known = F.col("date_of_employment").isNotNull() & (start <= end)
+    mondays = F.when(known, F.sequence(start, end, F.expr("interval 7 days")))
+    rows = employees.select("id", "date_of_employment", "termination_date", F.explode(mondays).alias("from_date"))
+    return rows.withColumn("to_date", F.date_add("from_date", 6))
+
+
 def employee_weekly_fg(t: Tables, first_year: int, last_year: int | None = None) -> DataFrame:
     """Available and billable hours of each employee for every ISO week of the years."""
     weeks = Periods.iso_weeks(t.spark, first_year, last_year)

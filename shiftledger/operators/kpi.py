@@ -106,14 +106,20 @@ def kpi_visibility(t: Tables, start: dt.date, end: dt.date, safe: bool = False)
 # Invoicing
 
 
-def _expenses_per_invoice(t: Tables) -> DataFrame:
+def _of_invoices(children: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Children of the given invoices. They are hashed by invoice here, as the sums per invoice need them to be."""
+    asked = invoices.select(F.col("id").alias("_id"))
+    return children.join(asked, F.col("invoice_balance") == F.col("_id"), "left_semi")
+
+
+def _expenses_per_invoice(expense: DataFrame) -> DataFrame:
     amount = F.col("amount")
 
     def of(kind: str) -> Column:
         return F.when(F.col("type") == kind, amount)
 
     return (
-        t.expense.filter(F.col("type").isNotNull())
+        expense.filter(F.col("type").isNotNull())
         .groupBy(F.col("invoice_balance").alias("id"))
         .agg(
             F.sum(amount).alias("expense"),
@@ -125,19 +131,21 @@ def _expenses_per_invoice(t: Tables) -> DataFrame:
     )
 
 
-def _write_offs_per_invoice(t: Tables) -> DataFrame:
-    return t.write_off.groupBy(F.col("invoice_balance").alias("id")).agg(
+def _write_offs_per_invoice(write_off: DataFrame) -> DataFrame:
+    return write_off.groupBy(F.col("invoice_balance").alias("id")).agg(
         F.sum("minutes").alias("write_off"), F.count("*").alias("write_offs")
     )
 
 
 def _invoices(t: Tables, periods: Periods) -> DataFrame:
-    """Invoices of the span with their expenses and write-offs folded to one row each."""
-    return (
-        periods.restrict(t.invoice_balance)
-        .select("id", "project", "date", "amount", "minutes", "status")
-        .join(_expenses_per_invoice(t), "id", "left")
-        .join(_write_offs_per_invoice(t), "id", "left")
+    """Invoices of the span with their expenses and write-offs folded to one row each. Children of other invoices are
+    left out before they are folded, if the span is known."""
+    invoices = periods.restrict(t.invoice_balance).select("id", "project", "date", "amount", "minutes", "status")
+    expense, write_off = t.expense, t.write_off
+    if periods.span_days is not None:
+        expense, write_off = _of_invoices(expense, invoices), _of_invoices(write_off, invoices)
+    return invoices.join(_expenses_per_invoice(expense), "id", "left").join(
+        _write_offs_per_invoice(write_off), "id", "left"
     )
 
 
@@ -207,8 +215,8 @@ def kpi_accumulated_ot(t: Tables, start: dt.date, end: dt.date, safe: bool = Fal
     )
 
 
-def _project_economics(t: Tables, periods: Periods, fan_out: bool) -> DataFrame:
-    """Invoice, expense and entry sums per period, project, status, minutes and amount; money still exact."""
+def _invoice_groups(t: Tables, periods: Periods, fan_out: bool) -> DataFrame:
+    """Expense and write-off sums per period, project, status, minutes and amount of invoices; money still exact."""
     invoices = _invoices(t, periods)
     if fan_out:
         # What joining all children of an invoice before summing gives, without building the pairs:
@@ -224,12 +232,17 @@ def _project_economics(t: Tables, periods: Periods, fan_out: bool) -> DataFrame:
             .withColumn("other", (F.col("other") * copies("write_offs", "subcontractors")).cast("decimal(38,2)"))
             .withColumn("subcontractor", (F.col("subcontractor") * copies("write_offs", "others")).cast("decimal(38,2)"))
         )
-    grouped = (
+    return (
         invoices.join(periods.days(), "date")
-        .groupBy(*PERIOD, "project", "status", "minutes", "amount")
+        .groupBy(*PERIOD, F.col("project").alias("id"), "status", "minutes", "amount")
         .agg(F.sum("write_off").alias("write_off"), F.sum("other").alias("other"), F.sum("subcontractor").alias("subcontractor"))
-        .withColumnRenamed("project", "id")
     )
+
+
+def _project_economics(t: Tables, periods: Periods, fan_out: bool) -> DataFrame:
+    """Invoice, expense and entry sums per period and billable project, and of its invoices per status, minutes and
+    amount."""
+    grouped = _invoice_groups(t, periods, fan_out)
     entered = periods.sum_by(
         periods.restrict(t.time_entry), "project", time_entry_minutes=F.col("minutes")
     ).withColumnRenamed("project", "id")
@@ -261,11 +274,40 @@ def hours_per_project(t: Tables, periods: Periods, fan_out: bool = True) -> Data
 
 
 def _economics_totals(t: Tables, windows: Periods, fan_out: bool) -> DataFrame:
-    names = ("amount", "minutes", "time_entry_minutes", "write_off", "other", "subcontractor")
-    return (
-        _project_economics(t, windows, fan_out)
+    """Sums over the rows of ``hours_per_project`` per window, without those rows.
+
+    Only invoices make rows of project and window. Entered minutes are summed per window; a project with several groups
+    of invoices has a row for each, so its minutes are added once more for each group beyond the first. A window has a
+    row if there is a billable project at all.
+    """
+    money = ("amount", "minutes", "write_off", "other", "subcontractor")
+    billable = t.projects.filter(F.col("billable") == BILLABLE).select("id")
+    per_project = (
+        _invoice_groups(t, windows, fan_out)
+        .join(billable, "id", "left_semi")
+        .groupBy(*PERIOD, "id")
+        .agg(*[F.sum(name).alias(name) for name in money], (F.count("*") - 1).alias("again"))
+    )
+    sums = per_project.groupBy(*PERIOD).agg(*[F.sum(name).alias(name) for name in money])
+    entries = windows.restrict(t.time_entry).select(F.col("project").alias("id"), "date", "minutes")
+    once = windows.sum_by(entries.join(billable, "id", "left_semi"), entered=F.col("minutes"))
+    several = per_project.filter("again > 0").select(*PERIOD, "id", "again")
+    of_several = entries.join(several.select("id").distinct(), "id", "left_semi")
+    more = (
+        windows.sum_by(of_several, "id", extra=F.col("minutes"))
+        .join(several, [*PERIOD, "id"])
         .groupBy(*PERIOD)
-        .agg(*[F.coalesce(F.sum(name), F.lit(0)).cast("decimal(38,2)").alias(name) for name in names])
+        .agg(F.sum(F.col("extra") * F.col("again")).alias("extra"))
+    )
+    some = billable.select(F.lit(1).alias("_some")).limit(1)
+    asked = windows.df.select(*PERIOD, F.lit(1).alias("_some")).join(some, "_some", "left_semi").drop("_some")
+    totals = asked
+    for part in (sums, once, more):
+        totals = totals.join(part, list(PERIOD), "left")
+    zero = F.lit(0)
+    minutes = F.coalesce("entered", zero) + F.coalesce("extra", zero)
+    return totals.withColumn("time_entry_minutes", minutes).select(
+        *PERIOD, *[F.coalesce(name, zero).cast("decimal(38,2)").alias(name) for name in (*money, "time_entry_minutes")]
     )
 
 

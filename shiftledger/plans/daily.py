@@ -19,7 +19,6 @@ from shiftledger.functions.codes import (
     UNAVAILABLE,
     is_absence_reason,
 )
-from shiftledger.functions.dates import overlaps
 from shiftledger.plans.periods import Periods
 from shiftledger.sources.tables import Tables
 
@@ -301,9 +300,7 @@ def employee_period_facts(t: Tables, periods: Periods, planned: bool = True) ->
 
 def employee_periods(t: Tables, periods: Periods) -> DataFrame:
     """One row per employee and period that the employment touches: exactly the report rows."""
-    return periods.attach(
-        t.employees, lambda start, end: overlaps(F.col("date_of_employment"), F.col("termination_date"), start, end)
-    )
+    return periods.attach_overlapping(t.employees, F.col("date_of_employment"), F.col("termination_date"))
 
 
 def with_available_days(rows: DataFrame, t: Tables, periods: Periods) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.functions.dates import days_between, iso_week_monday, iso_weeks_in_year, month_steps
+from shiftledger.functions.dates import days_between, iso_week_monday, iso_weeks_in_year, month_steps, overlaps
 from shiftledger.plans.calendar import (
     BROADCAST_ROWS,
     calendar_spanning,
@@ -17,10 +17,11 @@ from shiftledger.plans.calendar import (
     with_workdays,
     workday_calendar,
 )
+from shiftledger.plans.intervals import overlap_join
 
 KEY = ("from_date", "to_date")
-# A table of periods of unknown size is attached to other rows in so many parts.
-LANES = 16
+# Parts of the rows that a table of periods is put to as a whole.
+PARTS = 64
 
 # Window builders. Each gives an array of (from_date, to_date) structs, so it works on literals and,
 # through F.inline, on the columns of a table of requests.
@@ -195,23 +196,28 @@ class Periods:
             return fact
         return fact.filter(F.col(column).between(F.lit(self.first), F.lit(self.last)))
 
-    def attach(self, rows: DataFrame, condition=None) -> DataFrame:
-        """Each row once per period, or once per period for which ``condition(from, to)`` holds."""
-        windows = self.windows
-        kept = F.struct(*rows.columns).alias("_row")
-        if windows is None:
-            # a table of periods meets the rows in LANES arrays of periods, by an equality join
-            lane = F.pmod(F.hash(*KEY), F.lit(LANES)).alias("_lane")
-            arrays = self.df.groupBy(lane).agg(F.collect_list(F.struct(*self.df.columns)).alias("_windows"))
-            lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("_lane")
-            rows = rows.select(kept, lanes).join(arrays, "_lane").select("_row.*", "_windows")
-            if condition is None:
-                return rows.select("*", F.inline("_windows")).drop("_windows")
-            met = F.filter("_windows", lambda w: condition(w["from_date"], w["to_date"]))
-            return rows.select("*", F.inline(met)).drop("_windows")
-        if condition is not None:
-            windows = F.filter(windows, lambda w: condition(w["from_date"], w["to_date"]))
-        return rows.select("*", F.inline(windows))
+    def attach(self, rows: DataFrame) -> DataFrame:
+        """Each row once per period. The periods are what is asked, so every pair is a row of the answer.
+
+        Of a table of periods each part of the rows gets a copy; a row itself is dealt to one part.
+        """
+        if self.windows is None:
+            part = F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).alias("_part")
+            parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part")
+            return rows.select("*", part).join(self.df.select("*", parts), "_part").drop("_part")
+        return rows.select("*", F.inline(self.windows))
+
+    def attach_overlapping(self, rows: DataFrame, start: Column, end: Column) -> DataFrame:
+        """Each row once per period that its range from ``start`` to ``end`` touches (see ``overlaps``).
+
+        Windows known as an expression are tested row by row. A table of periods is joined by equality on months, for
+        which its bounds are needed: where they are not given, a job finds them while the plan is built.
+        """
+        if self.windows is None:
+            known = self.bounded()
+            return overlap_join(rows, start, end, self.df, known.first, known.last)
+        met = F.filter(self.windows, lambda w: overlaps(start, end, w["from_date"], w["to_date"]))
+        return rows.select("*", F.inline(met))
 
     def days(self, holidays: DataFrame | None = None) -> DataFrame:
         """Every day of every period, ready to be joined to day-level rows on ``date``; with ``holidays``,
