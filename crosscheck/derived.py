@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,21 @@ def booked_code(key: Column) -> Column:
     return project_code(F.when(key % 200 < len(NAMED_CODES), key % 200).otherwise(key))
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, else, on one machine, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("stored tables need a folder that all machines share: set spark.checkpoint.dir")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.TemporaryDirectory(prefix="crosscheck-"))
+        root = _LOCAL[0].name
+    return f"{root.rstrip('/')}/crosscheck/{uuid.uuid4().hex}"
+
+
 def derived_tables(spark: SparkSession, folder: str) -> Tables:
     @cache
     def source(name: str) -> DataFrame:

@@ -9,11 +9,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosscheck.derived import HOLIDAYS, booked_code, derived_tables
+from crosscheck.derived import HOLIDAYS, booked_code, derived_tables, scratch
 from shiftledger import Periods, Tables
 from shiftledger.functions import codes, dates
 from shiftledger.operators import calendar, capacity, changes, contracts, dimensions, entries, kpi, vacation
 from shiftledger.plans.periods import iso_week_windows, month_windows, year_to_date_windows
+from shiftledger.plans.rollup import read_rollup
+from shiftledger.sources.months import apply_change, refresh_rollup, stage_change, store_rollup, write_months
 
 START, END = dt.date(1995, 2, 1), dt.date(2001, 12, 1)
 YEAR = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
@@ -298,6 +300,23 @@ of_period_table("c10_unregistered_days", entries.unregistered_days)
 
 
 by_month("c12_time_tracking_status_with_staffing", entries.time_tracking_status_with_staffing)
+
+
+def _refreshed_rollup(t: Tables) -> Tables:
+    """The tables with a stored roll-up: made when the entries of two months were not there yet, then refreshed for
+    those months."""
+    path = f"{scratch(t.spark)}/entry_rollup"
+    late = F.date_format("date", "yyyy-MM").isin("1997-03", "1999-10")
+    store_rollup(t.replace(time_entry=t.time_entry.filter(~late)), path)
+    refresh_rollup(t, path, [199703, 199910])
+    return read_rollup(t, path)
+
+
+@query("c12_time_tracking_status_with_staffing_from_rollup")
+def _(t):
+    return entries.time_tracking_status_with_staffing(_refreshed_rollup(t), months(t))
+
+
 in_range("c13_time_tracking_status_by_week", entries.time_tracking_status_by_week)
 by_month("c14_fg_for_employee", entries.fg_for_employees)
 by_month("c15_bonus_hours_for_employee", entries.bonus_hours_for_employees)
@@ -460,6 +479,13 @@ in_range("d24_staffing_and_billing_overview", capacity.staffing_and_billing_over
 
 by_month("e1_fg", kpi.fg)
 in_range("e2_kpi_fg", kpi.kpi_fg)
+
+
+@query("e2_kpi_fg_from_rollup")
+def _(t):
+    return kpi.kpi_fg(_refreshed_rollup(t), START, END)
+
+
 in_range("e3_kpi_product_development", kpi.kpi_product_development)
 in_range("e4_kpi_sick", kpi.kpi_sick)
 in_range("e5_kpi_ul", kpi.kpi_ul)
@@ -549,9 +575,12 @@ def _(t):
 
 
 def _orders(t: Tables) -> DataFrame:
-    return t.orders.select(
+    """Half of the requests are about ten employees, the others about all of them."""
+    staff = t.employees.agg(F.count("*").alias("_staff"))
+    of_all = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") % 10).otherwise(F.col("o_custkey") % F.col("_staff"))
+    return t.orders.crossJoin(F.broadcast(staff)).select(
         F.col("o_orderkey").cast("int").alias("seq"),
-        (F.col("o_custkey") % 10).cast("int").alias("employee"),
+        of_all.cast("int").alias("employee"),
         booked_code(F.col("o_orderkey") % 200).alias("project"),
         F.to_date("o_orderdate").alias("start_date"),
         F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 20 - 1).cast("int")).alias("end_date"),
@@ -624,6 +653,20 @@ staffing_change("g3_insert_staffing", changes.insert_staffing, _ranges)
 staffing_change("g4_upsert_staffing", changes.upsert_staffing, _ranges)
 
 
+@query("g4_upsert_staffing_stored_by_month")
+def _(t):
+    """The batch applied to stored tables, twice: the months it touches are replaced, the second time none."""
+    folder = scratch(t.spark)
+    write_months(t.staffing, f"{folder}/staffing")
+    stored = t.replace(staffing=t.spark.read.parquet(f"{folder}/staffing"))
+    first = apply_change(changes.upsert_staffing(stored, _ranges(t)), folder)
+    after = t.replace(staffing=t.spark.read.parquet(f"{folder}/staffing"))
+    second = stage_change(changes.upsert_staffing(after, _ranges(t)), folder)
+    if second.months["staffing"]:
+        raise AssertionError(f"a batch that was applied changes {second.months}")
+    return _staffing_outcome(changes.Change({"staffing": after.staffing}, first.returned, first.rejected))
+
+
 @query("g5_remove_staffing_range")
 def _(t):
     asked = _ranges(t).withColumn("end_date", F.when(F.col("percentage") == 80, F.col("end_date")))
@@ -636,9 +679,15 @@ staffing_change("g6_add_staffing_week", changes.add_staffing_in_week, _week_requ
 @query("g7_remove_staffing_week")
 def _(t):
     asked = t.staffing.groupBy("employee", "project", F.year("date").alias("year"), F.weekofyear("date").alias("week")).agg(
-        F.max(F.dayofmonth("date")).alias("seq"), F.max((F.col("percentage") / 50).cast("int")).alias("days")
+        F.max(F.dayofmonth("date")).alias("last"), F.max((F.col("percentage") / 50).cast("int")).alias("days")
     )
-    return _staffing_outcome(changes.remove_staffing_in_week(t, asked))
+    # two requests for each week, of which the second takes a day that the first leaves
+    turns = asked.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "employee", "project", "year", "week",
+        (F.col("last") * 2 + F.col("turn")).alias("seq"),
+        F.when(F.col("turn") == 0, F.col("days")).otherwise(1).alias("days"),
+    )
+    return _staffing_outcome(changes.remove_staffing_in_week(t, turns))
 
 
 @query("g8_fix_staffing_on_weekends_and_holidays")
@@ -676,6 +725,15 @@ def _(t):
     return changes.latest_timelocks(t)
 
 
+@query("g10_timelock_view_merged")
+def _(t):
+    """The view kept over three batches of events, of which the second brings some of the first again."""
+    parts = [t.timelock_events.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == i) for i in range(3)]
+    view = changes.latest_timelocks(t.replace(timelock_events=parts[0]))
+    view = changes.merged_timelocks(view, parts[1].unionByName(parts[0].filter("creator = 0")))
+    return changes.merged_timelocks(view, parts[2])
+
+
 TODAY = dt.date(2001, 11, 5)
 
 

@@ -297,17 +297,31 @@ def fix_staffing_on_weekends_and_holidays(t: Tables) -> Change:
 # Time locks
 
 
-def latest_timelocks(t: Tables) -> DataFrame:
-    """The newest lock event of each employee. A missing creation time counts as newest; equal times go to
-    the largest id."""
+def _newest_lock(events: DataFrame) -> DataFrame:
     newest = F.max(F.struct(F.col("created").isNull().alias("_open"), "created", "id", "creator", "commit_date"))
     return (
-        t.timelock_events.groupBy("employee")
+        events.groupBy("employee")
         .agg(newest.alias("_newest"))
         .select("_newest.id", "_newest.created", "_newest.creator", "employee", "_newest.commit_date")
     )
 
 
+def latest_timelocks(t: Tables) -> DataFrame:
+    """The newest lock event of each employee. A missing creation time counts as newest; equal times go to
+    the largest id."""
+    return _newest_lock(t.timelock_events)
+
+
+def merged_timelocks(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """The newest lock event of each employee, from those stored after earlier events and from new events alone.
+
+    Old events are not read again: the newest of all is the newest of the stored one and the new ones, whatever order
+    they arrive in and even if some arrive twice.
+    """
+    columns = ("id", "created", "creator", "employee", "commit_date")
+    return _newest_lock(stored.select(*columns).unionByName(events.select(*columns)))
+
+
 LOCK_BLOCK = 4096
 
 

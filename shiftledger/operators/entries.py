@@ -239,6 +239,11 @@ def product_development_hours(t: Tables, periods: Periods) -> DataFrame:
 def _last_entries(t: Tables) -> DataFrame:
     """Last entry date and last creation date per employee, over all time. A missing creation time
     sorts last of all, so it wins."""
+    if "entry_rollup" in t:
+        return t.entry_rollup.groupBy("employee").agg(
+            F.max("date").alias("last_date"),
+            F.when(F.sum("entries") == F.sum("timed"), F.max("last_created")).cast("date").alias("last_created"),
+        )
     return t.time_entry.groupBy("employee").agg(
         F.max("date").alias("last_date"),
         F.when(F.count("*") == F.count("created"), F.max("created")).cast("date").alias("last_created"),

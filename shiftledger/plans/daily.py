@@ -63,6 +63,26 @@ def one_if(condition: Column) -> Column:
 def entry_days(t: Tables, periods: Periods) -> DataFrame:
     """Time entries per day: minutes and row counts per project class and for single codes."""
     is_class = {name: F.col("billable") == name for name in (BILLABLE, NONBILLABLE, UNAVAILABLE)}
+    if "entry_rollup" in t:
+
+        def entries_if(condition: Column) -> Column:
+            return F.sum(F.when(condition, F.col("entries")).otherwise(0))
+
+        return (
+            periods.restrict(t.entry_rollup)
+            .groupBy("date")
+            .agg(
+                F.sum(minutes_of(is_class[BILLABLE])).alias("billable_minutes"),
+                F.sum(minutes_of(is_class[UNAVAILABLE])).alias("unavailable_minutes"),
+                F.sum("deductable_minutes").alias("deductable_minutes"),
+                F.sum("sick_minutes").alias("sick_minutes"),
+                F.sum("development_minutes").alias("development_minutes"),
+                entries_if(F.col("billable").isNotNull()).alias("entries"),
+                entries_if(is_class[BILLABLE]).alias("billable_entries"),
+                entries_if(is_class[NONBILLABLE]).alias("nonbillable_entries"),
+                entries_if(is_class[UNAVAILABLE]).alias("unavailable_entries"),
+            )
+        )
     rows = periods.restrict(t.time_entry).select("project", "date", "minutes")
     return (
         rows.join(project_classes(t), "project", "left")
@@ -224,6 +244,9 @@ def possible_days(t: Tables, periods: Periods) -> DataFrame:
 
 def class_minutes(t: Tables, periods: Periods) -> DataFrame:
     """Minutes per period, employee and project class: one scan for all three classes."""
+    if "entry_rollup" in t:
+        rolled = periods.restrict(t.entry_rollup).filter(F.col("billable").isNotNull())
+        return periods.sum_by(rolled, "employee", "billable", minutes=F.col("minutes"))
     rows = periods.restrict(t.time_entry).join(project_classes(t).select("project", "billable"), "project")
     return periods.sum_by(rows, "employee", "billable", minutes=F.col("minutes"))
 
@@ -256,13 +279,18 @@ def employee_period_facts(t: Tables, periods: Periods, planned: bool = True) ->
         columns = [measures.get(m, empty).cast("long").alias(m) for m in (*MEASURES, "entered")]
         return rows.select(F.col(employee).alias("employee"), "date", *columns)
 
+    if "entry_rollup" in t:
+        entries, bonus = periods.restrict(t.entry_rollup), F.col("bonus_minutes")
+    else:
+        entries = periods.restrict(t.time_entry).join(classes, "project", "left")
+        bonus = minutes_of(F.col("project").isin(*BONUS_PROJECTS) & F.col("billable").isNotNull())
     facts = stacked(
-        periods.restrict(t.time_entry).join(classes, "project", "left"),
+        entries,
         "employee",
         billable_minutes=minutes_of(is_class[BILLABLE]),
         nonbillable_minutes=minutes_of(is_class[NONBILLABLE]),
         unavailable_minutes=minutes_of(is_class[UNAVAILABLE]),
-        bonus_minutes=minutes_of(F.col("project").isin(*BONUS_PROJECTS) & F.col("billable").isNotNull()),
+        bonus_minutes=bonus,
         entered=F.lit(1),
     )
     if planned:

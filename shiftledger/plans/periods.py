@@ -20,6 +20,8 @@ from shiftledger.plans.calendar import (
 from shiftledger.plans.intervals import overlap_join
 
 KEY = ("from_date", "to_date")
+# Column that tables stored by month have, as YYYYMM.
+MONTH = "month"
 # Parts of the rows that a table of periods is put to as a whole.
 PARTS = 64
 
@@ -194,7 +196,11 @@ class Periods:
         """Keep only the rows of a fact that some period can need."""
         if self.first is None or self.last is None:
             return fact
-        return fact.filter(F.col(column).between(F.lit(self.first), F.lit(self.last)))
+        kept = fact.filter(F.col(column).between(F.lit(self.first), F.lit(self.last)))
+        if MONTH in fact.columns and column == "date":  # of a table stored by month, other months are not even listed
+            first, last = (day.year * 100 + day.month for day in (self.first, self.last))
+            kept = kept.filter(F.col(MONTH).between(first, last))
+        return kept
 
     def attach(self, rows: DataFrame) -> DataFrame:
         """Each row once per period. The periods are what is asked, so every pair is a row of the answer.
