@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage works on all rows its predecessor kept; all but the last return the columns of documents.
+Each stage works on all rows its predecessor kept; all but the last return the columns of documents, others included.
+An empty table passes every stage and gives no sequences.
 """
 
 from __future__ import annotations
@@ -9,29 +10,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftledger.llm import latent, minhash, packing, quality, suffixes
+from shiftledger.llm import latent, packing, quality, simhash, suffixes
 from shiftledger.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null texts are judged as empty ones."""
     return quality.of_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents (Jaccard 0.8 on 5-word shingles) the one with the smallest doc_id stays."""
-    return minhash.one_of_each_similar_group(docs)
+    """Of each SimHash group (3-word shingles, links of at most three bits) the one with the smallest doc_id stays.
+
+    Rows without doc_id stay; rows that share doc_id and text come once.
+    """
+    return simhash.one_of_each_group(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 35 words that start elsewhere, too, are cut out of texts."""
+    """Windows of 35 words that start elsewhere, too, are cut out of texts; null texts have no words."""
     return suffixes.without_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    """Documents that hold a benchmark item, or a paraphrase of one, go; rows without doc_id stay."""
     return latent.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
