@@ -4,7 +4,8 @@ import random
 import zlib
 
 import corpus_pipeline
-from tests.llm.odd import documents, text_of
+from shiftledger.llm import simhash
+from tests.llm.odd import documents, rows, text_of
 from tests.llm.test_quality import junk
 from tests.llm.test_suffixes import plain
 
@@ -45,3 +46,43 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert {r.doc_id for r in packed} == ids(fourth)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in packed)
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def stored(spark, folder, data, labels):
+    documents(spark, data).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    item = [(1, "no document holds any of these words at all")]
+    spark.createDataFrame(item, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns pass every stage."""
+    data = rows()
+    ids = sorted({i for i, _ in data if i is not None})
+    folder = f"file://{tmp_path}"
+    stored(spark, folder, data, [(i, 1, None) for i in ids] + [(None, 0, 1), (ids[0], None, None), (10**6, 0, 0)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, folder)
+        assert after.columns == docs.columns
+        assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+        before = after
+    kept = {r.doc_id for r in before.collect()}
+    assert None in kept and len(kept) > 25
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == kept and all(zlib.crc32(r.ids) == r.ids_crc32 for r in packed)
+
+
+def test_near_duplicates_are_those_of_the_simhash_operator(spark, tmp_path):
+    data = rows()
+    docs = documents(spark, data)
+    left = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    groups = simhash.near_duplicates(docs).where("doc_id = component_id")
+    assert {r.doc_id for r in left.collect()} - {None} == {r.doc_id for r in groups.collect()}
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    stored(spark, folder, [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
