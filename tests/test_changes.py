@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import random
 from decimal import Decimal
 
@@ -346,3 +347,41 @@ def test_a_snapshot_can_be_written_and_read(spark, t, tmp_path):
     assert rows_of(stored.staffing) == rows_of(t.staffing)
     with pytest.raises(Exception, match="already exists"):
         write_snapshot(t.staffing, f"{tmp_path}/staffing")
+
+
+def test_a_report_scans_each_table_once_and_groups_once(spark, make_tables, tmp_path):
+    t = make_tables(employees=[{"id": 1}], projects=[{"id": "P", "customer": "c"}], customers=[{"id": "c"}])
+    for name in contracts.PRIMARY_KEYS:
+        write_snapshot(getattr(t, name), f"{tmp_path}/{name}")
+    stored = read_tables(spark, str(tmp_path))
+    report = contracts.contract_report(stored)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        text = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    files = "\n".join(line for line in text.splitlines() if "FileScan" in line)
+    scans = {name: len(re.findall(rf"{tmp_path}/{name}\]", files)) for name in contracts.PRIMARY_KEYS}
+    assert len(scans) == 31 and {n for n, k in scans.items() if k != 1} == {"holidays"} and scans["holidays"] == 2
+    assert len(re.findall(r"HashAggregate\(keys=\[space", text)) == 2 and report.count() == 0  # partial and final
+
+
+def test_repeated_rows_odd_keys_and_parents_outside_the_report(spark, make_tables):
+    t = make_tables(
+        customers=[{"id": "c"}],
+        projects=[{"id": "P", "customer": "gone"}, {"id": "P", "customer": "gone"}, {"id": "Q", "customer": "c"}],
+        time_entry_comments=[
+            {"id": "a", "employee": 1, "project": p, "date": HOLIDAY} for p in ("x|2024-01-10", "x", "x")
+        ],
+        employees=[{"id": 1, "gender": "y"}, {"id": 1, "gender": "z"}],
+    )
+    found = rows_of(contracts.contract_report(t, ("projects", "time_entry_comments", "employees")))
+    assert found == in_order([
+        ("employees", "allowed values: gender", "1"), ("employees", "allowed values: gender", "1"),
+        ("employees", "primary key: id", "1"), ("employees", "unique: email", ""),
+        ("projects", "foreign key: customer", "gone"), ("projects", "primary key: id", "P"),
+        ("time_entry_comments", "foreign key: creator", "0"),
+        ("time_entry_comments", "foreign key: project", "x"), ("time_entry_comments", "foreign key: project", "x|2024-01-10"),
+        ("time_entry_comments", "primary key: id", "a"),
+        ("time_entry_comments", "unique: employee, project, date", "1|x|2024-01-10"),
+    ])
