@@ -260,3 +260,74 @@ def derived_tables(spark: SparkSession, folder: str) -> Tables:
     )
     plain = {name: (lambda name=name: source(name)) for name in ("orders", "documents")}
     return Tables(spark, {make.__name__: make for make in makers} | plain)
+
+
+def contract_tables(t: Tables) -> Tables:
+    """The same with tables that only the contract report looks at, from orders, customers and employees. Many of their
+    rows break a rule."""
+    key, customer, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    at = F.col("o_orderdate")
+    some = t.orders.filter("o_orderkey % 5 = 0")
+    project = booked_code(key % 200)
+    ten = (customer % 10).cast("int")
+
+    def text(prefix: str, number: Column) -> Column:
+        return F.concat(F.lit(prefix), number.cast("string"))
+
+    number = F.col("id").cast("int")
+    return t.replace(
+        talks=some.select(
+            (key % 3000).cast("int").alias("id"), (customer % 120).cast("int").alias("employee"), day.alias("talk_date"),
+            F.lit("t").alias("title"), F.lit("l").alias("location"), at.alias("created"),
+        ),
+        project_sdg_events=some.select(
+            key.cast("int").alias("event_id"), F.lit("e").alias("event_type"), at.alias("created_at"),
+            ten.alias("caused_by"), project.alias("project"), F.when(key % 20 != 0, ten).alias("goal"),
+        ),
+        time_entry_comments=some.select(
+            key.cast("string").alias("id"), (key % 3).cast("int").alias("employee"), (customer % 130).cast("int").alias("creator"),
+            F.lit("c").alias("comment"), booked_code(key % 100).alias("project"), F.trunc(day, "year").alias("date"), at.alias("created"),
+        ),
+        invoice_lock_events=some.select(
+            key.cast("string").alias("id"), project.alias("project_id"), ten.alias("creator_id"), at.alias("created_at"),
+            key.cast("int").alias("order_id"), F.when(key % 89 != 0, day).alias("commit_date"),
+        ),
+        ranked_games=t.customers.select(text("g", F.col("id")).alias("id"), F.col("name").alias("title")),
+        ranked_matchups=some.select(
+            key.cast("string").alias("id"), text("g", customer % 27).alias("game_id"), ten.alias("user1_id"),
+            (key / 5 % 10).cast("int").alias("user2_id"),
+            F.when(F.col("o_orderstatus") == "F", "WIN").when(F.col("o_orderstatus") == "O", "LOSS").otherwise("DRAW").alias("matchup_result"),
+            at.alias("created_at"),
+        ),
+        employee_settings=t.employees.withColumn("again", F.explode(F.sequence(F.lit(0), F.when(F.col("id") % 4 == 0, 1).otherwise(0)))).select(
+            F.col("id").alias("employee_id"),
+            *[F.lit(True).alias(c) for c in ("slack", "delegate", "deadline", "week_before_deadline", "termination")],
+            F.when(F.col("id") % 7 != 0, True).alias("hired"),
+        ),
+        employee_task=some.select(
+            key.cast("string").alias("id"), text("t", customer % 30).alias("task_id"), F.lit(False).alias("completed"),
+            ten.alias("employee_id"), ten.alias("responsible_id"), at.alias("due_date"), at.alias("completed_date"),
+            F.when(key % 2 == 0, customer % 140).cast("int").alias("completed_by_id"),
+        ),
+        employee_task_comments=some.select(
+            key.cast("string").alias("id"), F.lit("x").alias("text"), at.alias("created_at"), ten.alias("created_by_id"),
+            (key + 25).cast("string").alias("employee_task_id"),
+        ),
+        notification=some.select(
+            key.cast("string").alias("id"), (customer % 110).cast("int").alias("employee_id"),
+            F.when(key % 3 == 0, ten).alias("created_by"), at.alias("created_at"), F.lit(False).alias("read"), F.lit("d").alias("description"),
+        ),
+        phase=t.customers.select(
+            text("p", F.col("id")).alias("id"), F.col("name").alias("title"), text("s", number % 6).alias("process_template_id"),
+            F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz").alias("created_at"), F.lit(True).alias("active"),
+        ),
+        process_template=t.customers.filter("cast(id as int) < 5").select(F.col("name").alias("title"), text("s", F.col("id")).alias("slug")),
+        profession=t.customers.select(text("q", number % 20).alias("slug"), text("n", number % 12).alias("title")),
+        profession_task=t.customers.select(text("q", number % 22).alias("profession_id"), text("t", number % 23).alias("task_id")),
+        task=t.customers.select(
+            text("t", F.col("id")).alias("id"), F.col("name").alias("title"), F.lit(True).alias("global"),
+            text("p", number + 1).alias("phase_id"), (number * 9).alias("responsible_id"),
+            F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz").alias("created_at"), F.lit(True).alias("active"),
+            F.when(number % 3 == 0, "OTHER").when(number % 3 == 1, "HR_MANAGER").otherwise("NOBODY").alias("responsible_type"),
+        ),
+    )

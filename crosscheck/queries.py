@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosscheck.derived import HOLIDAYS, booked_code, derived_tables, scratch
+from crosscheck.derived import HOLIDAYS, booked_code, contract_tables, derived_tables, scratch
 from shiftledger import Periods, Tables
 from shiftledger.functions import codes, dates
 from shiftledger.operators import calendar, capacity, changes, contracts, dimensions, entries, kpi, vacation
@@ -518,7 +518,6 @@ def _(t):
     return kpi.unaccompanied_customer_involvement_kpi(t, START, END, safe=True)
 
 
-
 in_range("e18_monthly_balance_summary", kpi.monthly_balance_summary)
 
 
@@ -870,8 +869,7 @@ def _(t):
             F.col("employee").alias("employee_id"), "date", F.col("project").alias("reason"), F.lit(100).alias("percentage")
         ),
     )
-    names = ("employees", "projects", "time_entry", "staffing", "absence", "invoice_balance", "expense", "write_off")
-    return contracts.contract_report(broken, names)
+    return contracts.contract_report(contract_tables(broken))
 
 
 @query("g21_emoji_domain_check")

@@ -871,15 +871,86 @@ _SQL["g19_write_authorisation_split"] = """WITH marked AS (SELECT t.employee, co
       FROM time_entry t LEFT JOIN employees a ON a.id = t.minutes % 7)
     SELECT employee, count(*) AS n, CASE WHEN admin OR own THEN 'allowed' ELSE 'rejected' END AS outcome FROM marked GROUP BY ALL
     UNION ALL SELECT employee, count(*), 'allowed to administrators' FROM marked WHERE admin GROUP BY 1"""
-_SQL["g20_table_contract_report"] = f"""WITH open_projects AS (SELECT * FROM projects WHERE active),
+_OF = "FROM orders WHERE o_orderkey % 5 = 0"
+_DAY, _TEN = "CAST(o_orderdate AS DATE)", "CAST(o_custkey % 10 AS INTEGER)"
+PARTS |= {
+    "talks": f"SELECT CAST(o_orderkey % 3000 AS INTEGER) AS id, o_custkey % 120 AS employee {_OF}",
+    "project_sdg_events": f"""SELECT o_orderkey AS event_id, {booked('(o_orderkey % 200)')} AS project,
+        CASE WHEN o_orderkey % 20 <> 0 THEN 1 END AS goal {_OF}""",
+    "time_entry_comments": f"""SELECT o_orderkey AS id, o_orderkey % 3 AS employee, o_custkey % 130 AS creator,
+        {booked('(o_orderkey % 100)')} AS project, make_date(year(o_orderdate), 1, 1) AS date {_OF}""",
+    "invoice_lock_events": f"""SELECT o_orderkey AS id, {booked('(o_orderkey % 200)')} AS project_id,
+        CASE WHEN o_orderkey % 89 <> 0 THEN {_DAY} END AS commit_date {_OF}""",
+    "ranked_matchups": f"""SELECT o_orderkey AS id, 'g' || (o_custkey % 27) AS game_id, {_TEN} AS user1_id,
+        CAST(o_orderkey // 5 % 10 AS INTEGER) AS user2_id, o_orderstatus {_OF}""",
+    "employee_settings": """SELECT id AS employee_id, id % 7 = 0 AS unknown FROM employees
+        UNION ALL SELECT id, id % 7 = 0 FROM employees WHERE id % 4 = 0""",
+    "employee_task": f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, 't' || (o_custkey % 30) AS task_id,
+        CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 140 END AS completed_by_id {_OF}""",
+    "employee_task_comments": f"SELECT CAST(o_orderkey + 25 AS VARCHAR) AS employee_task_id {_OF}",
+    "notification": f"SELECT o_custkey % 110 AS employee_id {_OF}",
+    "phase": "SELECT 'p' || id AS id, 's' || (CAST(id AS INTEGER) % 6) AS process_template_id FROM customers",
+    "process_template": "SELECT 's' || id AS slug FROM customers WHERE CAST(id AS INTEGER) < 5",
+    "profession": "SELECT 'q' || (CAST(id AS INTEGER) % 20) AS slug, 'n' || (CAST(id AS INTEGER) % 12) AS title FROM customers",
+    "profession_task": "SELECT 'q' || (CAST(id AS INTEGER) % 22) AS profession_id, 't' || (CAST(id AS INTEGER) % 23) AS task_id FROM customers",
+    "task": """SELECT 't' || id AS id, 'p' || (CAST(id AS INTEGER) + 1) AS phase_id, CAST(id AS INTEGER) * 9 AS responsible_id,
+        CAST(id AS INTEGER) AS number FROM customers""",
+}
+
+
+def _twice(table: str, rule: str, key: str) -> str:
+    return f"SELECT '{table}' AS \"table\", '{rule}' AS rule, concat_ws('|', {key}) AS key FROM {table} GROUP BY {key} HAVING count(*) > 1"
+
+
+def _orphan(table: str, column: str, parent: str, key: str = "id") -> str:
+    return f"""SELECT DISTINCT '{table}' AS "table", 'foreign key: {column}' AS rule, CAST({column} AS VARCHAR) AS key FROM {table}
+        WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent})"""
+
+
+def _wrong(table: str, rule: str, key: str, condition: str) -> str:
+    return f"SELECT '{table}' AS \"table\", '{rule}' AS rule, CAST({key} AS VARCHAR) AS key FROM {table} WHERE {condition}"
+
+
+_SQL["g20_table_contract_report"] = """WITH open_projects AS (SELECT * FROM projects WHERE active),
     wrong AS (SELECT employee AS employee_id, date, project AS reason, employee || '|' || project || '|' || date AS key FROM time_entry)
-    SELECT 'absence' AS "table", 'check: absence reason' AS rule, key FROM wrong WHERE reason NOT IN {REASONS}
+    SELECT 'absence' AS "table", 'check: absence reason' AS rule, key FROM wrong WHERE reason NOT IN {reasons}
     UNION ALL SELECT 'absence', 'check: not on a holiday', key FROM wrong WHERE date IN (SELECT date FROM holidays)
     UNION ALL SELECT 'absence', 'primary key: employee_id, reason, date', key FROM wrong GROUP BY key HAVING count(*) > 1
-    UNION ALL SELECT 'time_entry', 'primary key: id', id FROM time_entry GROUP BY id HAVING count(*) > 1
-    UNION ALL SELECT DISTINCT 'time_entry', 'foreign key: project', project FROM time_entry WHERE project NOT IN (SELECT id FROM open_projects)
-    UNION ALL SELECT DISTINCT 'staffing', 'foreign key: project', project FROM staffing WHERE project NOT IN (SELECT id FROM open_projects)
-    UNION ALL SELECT DISTINCT 'invoice_balance', 'foreign key: project', project FROM invoice_balance WHERE project NOT IN (SELECT id FROM open_projects)"""
+    UNION ALL {others}""".format(
+    reasons=REASONS,
+    others=" UNION ALL ".join([
+        _twice("time_entry", "primary key: id", "id"),
+        _orphan("time_entry", "project", "open_projects"),
+        _orphan("staffing", "project", "open_projects"),
+        _orphan("invoice_balance", "project", "open_projects"),
+        _twice("talks", "primary key: id", "id"),
+        _orphan("talks", "employee", "employees"),
+        _wrong("project_sdg_events", "not null: goal", "event_id", "goal IS NULL"),
+        _orphan("project_sdg_events", "project", "open_projects"),
+        _twice("time_entry_comments", "unique: employee, project, date", "employee, project, date"),
+        _orphan("time_entry_comments", "creator", "employees"),
+        _orphan("time_entry_comments", "project", "open_projects"),
+        _wrong("invoice_lock_events", "not null: commit_date", "id", "commit_date IS NULL"),
+        _orphan("invoice_lock_events", "project_id", "open_projects"),
+        _wrong("ranked_matchups", "allowed values: matchup_result", "id", "o_orderstatus NOT IN ('F', 'O')"),
+        _wrong("ranked_matchups", "check: two players", "id", "user1_id = user2_id"),
+        _orphan("ranked_matchups", "game_id", "(SELECT 'g' || id AS id FROM customers)"),
+        _twice("employee_settings", "primary key: employee_id", "employee_id"),
+        _wrong("employee_settings", "not null: hired", "employee_id", "unknown"),
+        _orphan("employee_task", "task_id", "task"),
+        _orphan("employee_task", "completed_by_id", "employees"),
+        _orphan("employee_task_comments", "employee_task_id", "employee_task"),
+        _orphan("notification", "employee_id", "employees"),
+        _orphan("phase", "process_template_id", "process_template", "slug"),
+        _twice("profession", "primary key: slug", "slug"),
+        _twice("profession", "unique: title", "title"),
+        _twice("profession_task", "primary key: profession_id, task_id", "profession_id, task_id"),
+        _orphan("profession_task", "profession_id", "profession", "slug"),
+        _orphan("task", "phase_id", "phase"),
+        _orphan("task", "responsible_id", "employees"),
+        _wrong("task", "allowed values: responsible_type", "id", "number % 3 = 2"),
+    ]),
+)
 _SQL["g21_emoji_domain_check"] = """WITH characters AS (SELECT unnest(string_split(text, '')) AS value FROM documents),
     counted AS (SELECT unicode(value) AS c, count(*) AS n FROM characters GROUP BY 1),
     ranges AS (SELECT * FROM (VALUES (128, 687), (768, 1023), (1536, 1791), (3072, 3199), (7616, 7679), (7680, 7935), (8192, 8351),

@@ -272,6 +272,26 @@ def test_zero_divisor_fails_unless_safe(spark, make_tables):
     assert kpi.fg(t, period, safe=True).first().fg is None
 
 
+def test_default_forms_fail_where_a_single_report_would(spark, make_tables):
+    """Somebody employed on a weekend alone has no available hours; nor has a week before the first employment."""
+    t = make_tables(
+        employees=[{"id": 1, "date_of_employment": day("2024-01-06"), "termination_date": day("2024-01-07"), "has_permanent_position": True}],
+        projects=[{"id": "B", "customer": "c"}],
+        time_entry=[{"employee": 1, "project": "B", "date": day("2024-01-06"), "minutes": 60}],
+    )
+    bounds = (day("2024-02-01"), day("2024-02-01"))
+    windows = Periods.month_windows(spark, *bounds, 2)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        kpi.unaccompanied_customer_involvement(t, windows).collect()
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        kpi.unaccompanied_customer_involvement_kpi(t, *bounds).collect()
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        capacity.weekly_forecasted_fg(t, day("2023-01-02"), day("2023-01-08")).collect()
+    assert rows_of(kpi.unaccompanied_customer_involvement(t, windows, safe=True)) == []
+    assert rows_of(kpi.unaccompanied_customer_involvement_kpi(t, *bounds, safe=True)) == []
+    assert rows_of(capacity.weekly_forecasted_fg(t, day("2023-01-02"), day("2023-01-08"), safe=True)) == [("2023-01", None)]
+
+
 # Vacation
 
 
