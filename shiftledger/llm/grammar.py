@@ -1,17 +1,18 @@
 """Token-id files with Re-Pair grammar compression per block.
 
 Documents are dealt by ranges of doc_id, put in order, encoded, and written in blocks of about `block` ids. In a block
-the frequent pairs of neighbouring symbols are replaced by nonterminals, round after round: each round counts all
-pairs, takes the most frequent ones (its share of the free symbols), and replaces them from left to right where they
-overlap. No pair spans two documents, so a document's symbols decode without the others; rules carry their expansion
-lengths, so one id is found without expanding what precedes it.
+the frequent pairs of neighbouring symbols are replaced by nonterminals, round after round: a round counts pairs, takes
+the most frequent ones, and replaces them from left to right where they overlap. The first rounds share the free symbols
+among them; from then on a round takes all frequent pairs, so that the next one need only look next to new symbols, and
+rounds go on until no pair is frequent or no symbol is free. No pair spans two documents, so a document's symbols decode
+without the others; rules carry their expansion lengths, so one id is found without expanding what precedes it.
 
 A block, all integers little-endian:
 
-    magic "IDG1", then unsigned 32-bit: task, number in the task, documents, rules, symbols, first nonterminal
+    magic "IDG2", then unsigned 32-bit: task, number in the task, documents, rules, symbols, first nonterminal
     documents: doc_id (signed 64), 1 if doc_id is null (8), end of its symbols (unsigned 32), ids before and with it
     (unsigned 64)
-    rules: left, right, expansion length (unsigned 32 each); rule r is symbol first nonterminal + r
+    rules: left, right (as symbols), expansion length (unsigned 32); rule r is symbol first nonterminal + r
     symbols (unsigned 16 if they fit, else 32)
 
 A newline follows each block. Blocks in order of task and number hold documents in ascending doc_id.
@@ -33,7 +34,8 @@ from shiftledger.llm.common import batch_of, read_bytes, records, saved, scratch
 from shiftledger.llm.tokens import Encoder, encoder, vocabulary_path
 
 BLOCK = 500_000
-ROUNDS = 3
+#: Rounds that share the free symbols. Those after them go on to the end.
+SHARED = 2
 LEAST = 8
 BLOCKS_PER_FILE = 64
 _HEAD = "<4s6I"
@@ -46,7 +48,24 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, limit: int = 1 << 16):
+def _numbered(pairs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys are among the pairs, which are sorted and distinct, and at what place."""
+    table = np.zeros(1 << 20, np.int32)
+    slots = _slot(pairs)
+    table[slots] = np.arange(len(pairs))
+    rule = table[_slot(keys)]
+    fits = pairs[rule] == keys
+    lost = np.flatnonzero(table[slots] != np.arange(len(pairs)))  # another pair has their slot
+    if len(lost):
+        missed = np.flatnonzero(~fits)
+        at = np.minimum(np.searchsorted(pairs[lost], keys[missed]), len(lost) - 1)
+        found = pairs[lost][at] == keys[missed]
+        rule[missed[found]] = lost[at[found]]
+        fits[missed[found]] = True
+    return fits, rule
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, shared: int = SHARED, least: int = LEAST, limit: int = 1 << 16):
     """Symbols, ends of the documents among them, and rules (left, right) of Re-Pair rounds.
 
     ids are all documents one after the other and ends where each stops; first is the first symbol that is no id.
@@ -62,37 +81,33 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
     # an empty document closes nothing of its own
     empty = np.diff(np.concatenate(([0], ends))) == 0
     left_rules, right_rules, known = [], [], first
-    for done in range(rounds):
+    done, fresh = 0, 0  # only symbols from `fresh` on can be in a frequent pair
+    while known < limit and len(symbols) > 1:
         room = limit - known
-        if room <= 0 or len(symbols) < 2:
-            break
-        often = np.bincount(symbols, minlength=known) >= least
-        usable = often[symbols[:-1]] & often[symbols[1:]] & ~closes[:-1]
-        keys = (symbols[:-1][usable] << step) | symbols[1:][usable]
-        keys.sort()
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else keys
+        usable = ~closes[:-1]
+        if fresh:
+            new = symbols >= fresh
+            usable &= new[:-1] | new[1:]
+        else:
+            often = np.bincount(symbols, minlength=known) >= least
+            usable &= often[symbols[:-1]] & often[symbols[1:]]
+        place = np.flatnonzero(usable)
+        keys = (symbols[place] << step) | symbols[place + 1]
+        ordered = np.sort(keys)
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else keys
         counts = np.diff(np.append(starts, len(keys)))
-        if not len(counts) or counts.max() < least:
-            break
         chosen = np.flatnonzero(counts >= least)
-        share = -(-room // (rounds - done))
+        if not len(chosen):
+            break
+        share = -(-room // max(shared - done, 1))
         if len(chosen) > share:
             chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:share]])
-        pairs = keys[starts[chosen]]
-        lefts, rights = np.zeros(known, bool), np.zeros(known, bool)
-        lefts[pairs >> step] = True
-        rights[pairs & mask] = True
-        maybe = np.flatnonzero(usable & lefts[symbols[:-1]] & rights[symbols[1:]])
-        key = (symbols[maybe] << step) | symbols[maybe + 1]
-        table = np.zeros(1 << 20, np.int32)  # a pair whose place another one takes is not replaced in this round
-        table[_slot(pairs)] = np.arange(len(pairs))
-        rule = table[_slot(key)]
-        fits = pairs[rule] == key
-        at, rule = maybe[fits], rule[fits]
-        fresh = np.concatenate(([True], np.diff(at) != 1))
-        run = np.flatnonzero(fresh)
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at, rule = at[place % 2 == 0], rule[place % 2 == 0]
+        pairs = ordered[starts[chosen]]
+        fits, rule = _numbered(pairs, keys)
+        at, rule = place[fits], rule[fits]
+        run = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+        order = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+        at, rule = at[order % 2 == 0], rule[order % 2 == 0]
         symbols[at] = known + rule
         closes[at] = closes[at + 1]
         stays = np.ones(len(symbols), bool)
@@ -100,6 +115,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         symbols, closes = symbols[stays], closes[stays]
         left_rules.append((pairs >> step).astype(np.int64))
         right_rules.append((pairs & mask).astype(np.int64))
+        done += 1
+        fresh = known if done > shared else 0
         known += len(pairs)
     stops = np.zeros(len(ends), np.int64)
     stops[~empty] = np.flatnonzero(closes) + 1
@@ -128,12 +145,12 @@ def write_block(task: int, number: int, doc_ids: list, ids: np.ndarray, ends: np
         length[first + r] = length[a] + length[b]
     wide = "<u2" if first + len(left) <= 1 << 16 else "<u4"
     return b"".join((
-        struct.pack(_HEAD, b"IDG1", task, number, len(doc_ids), len(left), len(symbols), first),
+        struct.pack(_HEAD, b"IDG2", task, number, len(doc_ids), len(left), len(symbols), first),
         np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         stops.astype("<u4").tobytes(),
         ends.astype("<u8").tobytes(),
-        left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), length[first:].astype("<u4").tobytes(),
+        left.astype(wide).tobytes(), right.astype(wide).tobytes(), length[first:].astype("<u4").tobytes(),
         symbols.astype(wide).tobytes(),
     ))
 
@@ -143,7 +160,7 @@ class Block:
 
     def __init__(self, data: bytes, at: int = 0):
         magic, self.task, self.number, n, rules, symbols, self.first = struct.unpack_from(_HEAD, data, at)
-        if magic != b"IDG1":
+        if magic != b"IDG2":
             raise ValueError("not a block of token ids")
         at += struct.calcsize(_HEAD)
 
@@ -156,8 +173,9 @@ class Block:
         ids, null = read("<i8", n), read("u1", n)
         self.doc_ids = [None if gone else i for i, gone in zip(ids.tolist(), null.tolist(), strict=True)]
         self.stops, self.ends = read("<u4", n).astype(np.int64), read("<u8", n).astype(np.int64)
-        self.left, self.right, self.length = read("<u4", rules), read("<u4", rules), read("<u4", rules)
-        self.symbols = read("<u2" if self.first + rules <= 1 << 16 else "<u4", symbols)
+        kind = "<u2" if self.first + rules <= 1 << 16 else "<u4"
+        self.left, self.right, self.length = read(kind, rules), read(kind, rules), read("<u4", rules)
+        self.symbols = read(kind, symbols)
         self.next = at + 1
 
     def documents(self, ids: list[bytes]) -> Iterator[tuple[int | None, int, bytes]]:

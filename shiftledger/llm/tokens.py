@@ -32,6 +32,10 @@ _WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: The last byte of a word as a byte that no lowered word has elsewhere: capitals for letters, below 64 for others.
+_LAST = [bytes([b - 32 if 97 <= b < 123 else b & 63 if b >= 128 else b]) for b in range(256)]
+#: Longer words are left to the library, whose time grows less with their length.
+_LONG = 1000
 _CLOSING = ".,!?;:|#$%&*"
 #: Bytes of text that are cut and assembled at once.
 BATCH = 3 << 20
@@ -55,6 +59,46 @@ def _bytes(strings: pa.Array) -> list[bytes]:
     return strings.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
 
 
+def _merger(path: str, ends_words: bool):
+    """A function from the bytes of a word to its ids, or none if the vocabulary does not allow it.
+
+    tiktoken merges by the ranks of byte strings. That gives what merging by the file's pairs gives when every merge
+    makes the next id, which is checked. A vocabulary with entries that end a word has each of them under the bytes of
+    its word with the last one replaced, see _LAST.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model = content["model"]
+    vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+    made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    single = 512 if suffix else 256
+    if made != list(range(single, single + len(made))) or bool(suffix) != ends_words:
+        return None
+    back = {chr(b): b for b in _SHOWN} | {chr(c): b for b, c in _BYTE_LEVEL.items()}
+    ranks = {}
+    for text, i in vocabulary.items():
+        ends = bool(suffix) and text.endswith(suffix)
+        text = text[: -len(suffix)] if ends else text
+        if i >= single + len(made) or not all(c in back for c in text):
+            continue
+        raw = bytes(map(back.__getitem__, text))
+        if ends_words:
+            # other words are encoded as a whole: keep those of small letters and of bytes from 128 on
+            if not all(97 <= b < 123 or b >= 128 for b in raw):
+                continue
+            if ends and raw[-1] >= 192:  # no character ends with such a byte
+                continue
+            raw = raw[:-1] + _LAST[raw[-1]] if ends else raw
+        if raw in ranks:
+            return None
+        ranks[raw] = i
+    if not all(bytes([b]) in ranks for b in ([*range(97, 123), *range(65, 91)] if ends_words else range(256))):
+        return None
+    return tiktoken.Encoding("ranks", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Encoder:
     """ids(texts) gives the ids of each text as bytes of `kind`, little-endian."""
 
@@ -70,6 +114,7 @@ class Encoder:
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1
         self.kind = np.dtype("<u2" if self.size <= 65_536 else "<u4")
         self.code = "H" if self.size <= 65_536 else "I"
+        self.merged = _merger(path, self.drops_space)
         self.tokenize = self.tokenizer.model.tokenize
         self.words = _Memo(self._word, words)
 
@@ -78,15 +123,16 @@ class Encoder:
 
     def _word(self, piece: bytes) -> bytes:
         """A single word, lowered where letters are, needs no normalizing and no cutting: the merges alone are asked for."""
-        if piece.isalpha():  # ASCII letters
-            shown = piece.decode()
-        elif piece[:1] == b" " and piece[1:].isalpha():
-            shown = "\u0120" + piece[1:].decode()
+        if piece.isalpha() or (piece[:1] == b" " and piece[1:].isalpha()):  # ASCII letters, lowered before
+            low = piece
         elif _WORD.fullmatch(piece):
-            shown = (piece.decode().lower().encode() if self.drops_space else piece).decode("latin-1").translate(_BYTE_LEVEL)
+            low = piece.decode().lower().encode() if self.drops_space else piece
         else:
             return self._whole(piece)
-        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+        if self.merged is not None and len(low) < _LONG:
+            word = low[:-1] + _LAST[low[-1]] if self.drops_space else low
+            return array(self.code, self.merged(word)).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(low.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
 
     def _parts(self, pieces: pa.Array) -> list[bytes]:
         """Ids of distinct pieces."""

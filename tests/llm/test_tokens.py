@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from shiftledger.llm import grammar, packing
+from shiftledger.llm import grammar, packing, tokens
 from shiftledger.llm.tokens import Encoder, vocabulary_path
 from tests.llm.odd import documents, rows, text_of
 
@@ -69,6 +69,48 @@ def test_grammar_expands_to_its_input(limit):
             block.id_at(i, len(doc))
 
 
+def test_copies_shrink_to_a_few_symbols_each():
+    """Rounds go on to the end, so a passage becomes a symbol however long it is."""
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 300, 500).astype("<u2")
+    flat, ends = np.tile(passage, 400), np.arange(1, 401) * 500
+    symbols, stops, left, right = grammar.compress(flat, ends, 300)
+    assert len(symbols) == 400 and stops.tolist() == list(range(1, 401))
+    assert grammar.expansions(left, right, grammar.terminals(300))[int(symbols[0])] == passage.astype("<u4").tobytes()
+
+
+def test_no_frequent_pair_remains_while_symbols_are_free():
+    rng = np.random.default_rng(3)
+    flat = rng.zipf(1.5, 20_000).clip(0, 250).astype("<u2")
+    symbols, _, left, _ = grammar.compress(flat, np.array([20_000]), 300)
+    pairs, counts = np.unique(np.stack((symbols[:-1], symbols[1:])), axis=1, return_counts=True)
+    equal = pairs[0] == pairs[1]  # a run of one symbol has overlapping pairs, of which every other one can be replaced
+    assert len(left) > 300 and counts[~equal].max() < grammar.LEAST and counts[equal].max(initial=0) < 2 * grammar.LEAST
+
+
+def test_pairs_are_found_whatever_place_their_hash_has():
+    rng = np.random.default_rng(4)
+    pairs = np.unique(rng.integers(0, 1 << 32, 60_000, dtype=np.uint64).astype(np.uint32))
+    keys = np.concatenate((pairs, rng.integers(0, 1 << 32, 60_000, dtype=np.uint64).astype(np.uint32)))
+    fits, rule = grammar._numbered(pairs, keys)
+    assert (fits == np.isin(keys, pairs)).all() and (pairs[rule[fits]] == keys[fits]).all()
+    assert fits[: len(pairs)].all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_have_the_ids_of_the_library(name):
+    encode = tokens.Encoder(tokens.vocabulary_path(name))
+    assert encode.merged is not None
+    rng = random.Random(6)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(rng.choice((small, "aeo", "lsß", small + "éèöüåæøßñçàÿþ")), k=rng.randint(1, 25))) for _ in range(20_000)]
+    words += [c * n for c in "aesßé" for n in range(1, 40)] + ["a" * 5000]
+    if not encode.drops_space:
+        words = [w if rng.random() < 0.5 else " " + rng.choice((w, w.upper().replace("SS", "s"))) for w in words]
+    fast = [encode._word(w.encode()) for w in words]
+    assert fast == [encode._whole(w.encode()) for w in words]
+
+
 def test_pieces_cover_every_id_once(spark):
     data = rows() + [(1000 + i, text_of(random.Random(i), 300)) for i in range(40)]
     found = packing.packed(documents(spark, data), window=256, shard=5000).collect()
