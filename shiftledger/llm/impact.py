@@ -27,22 +27,27 @@ SCALE = 64
 K = 20
 BLOCK = 8192
 QUERIES = 256
-#: Larger components (after scaling) could make a sum of products too large for a long.
-LARGEST = 1 << 27
+#: Components are longs; scores that could pass this are added up as integers of any size instead of by the index.
+LARGEST = 1 << 62
+EXACT = 1 << 52
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(batch_values: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Integer vectors, shorter ones filled with zeros, and which rows are valid."""
+    """Integer vectors, shorter ones filled with zeros, and which rows are valid. Fails where one does not fit."""
     lengths = np.diff(batch_values.offsets.to_numpy())
     flat = batch_values.values.slice(batch_values.offsets[0].as_py(), int(lengths.sum()))
-    numbers = np.asarray(flat.cast(pa.float64()).fill_null(np.nan), np.float64)
+    given = np.asarray(flat.cast(pa.float64()).fill_null(np.nan), np.float64)
+    fine = np.isfinite(given)
     with np.errstate(invalid="ignore", over="ignore"):
-        numbers = np.floor(numbers * scale)
-    fine = np.isfinite(numbers) & (np.abs(numbers) < LARGEST)
+        numbers = np.floor(given * scale)
     row = np.repeat(np.arange(len(lengths)), lengths)
     column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     valid = np.bincount(row, ~fine, len(lengths)) == 0
     valid &= ~np.asarray(batch_values.is_null())
+    if (np.abs(numbers[fine & valid[row]]) >= LARGEST).any():
+        raise OverflowError("a component does not fit a long after scaling")
+    fine &= valid[row]
     out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
     out[row[fine], column[fine]] = numbers[fine].astype(np.int64)
     return out, valid
@@ -60,7 +65,8 @@ def blocks(embeddings: DataFrame, scale: float, size: int) -> DataFrame:
             width = max(v.shape[1] for _, v in parts)
             wide = [np.pad(v, ((0, 0), (0, width - v.shape[1]))) for _, v in parts]
             ids, vectors = np.concatenate([i for i, _ in parts]), np.concatenate(wide)
-            return batch_of(schema, [number], [width], [ids.astype("<i8").tobytes()], [vectors.astype("<i4").tobytes()])
+            kind = "<i4" if np.abs(vectors).max(initial=0) < 1 << 31 else "<i8"
+            return batch_of(schema, [number], [width], [ids.astype("<i8").tobytes()], [vectors.astype(kind).tobytes()])
 
         for batch in batches:
             for at in range(0, batch.num_rows, size):
@@ -80,6 +86,12 @@ def blocks(embeddings: DataFrame, scale: float, size: int) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
+def unpacked(raw: bytes, rows: int, width: int) -> np.ndarray:
+    """Vectors as blocks() packs them, in as many bytes as the largest needs."""
+    kind = "<i8" if len(raw) == 8 * rows * width else "<i4"
+    return np.frombuffer(raw, kind).reshape(rows, width).astype(np.int64)
+
+
 class Index:
     """Per dimension the rows in order of value; rows of one value are a posting segment."""
 
@@ -94,6 +106,9 @@ class Index:
     def best(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the rows that can be among its best k + 1, ties included, and their exact scores."""
         queries = queries[:, : self.width]
+        if (np.abs(queries).max(axis=0).astype(float) * self.largest[: queries.shape[1]]).sum() >= EXACT:
+            yield from self._exactly(queries, k)
+            return
         size = np.abs(queries)
         most = size.max(axis=0)  # the impact of a segment is its value's size times the largest component asked for
         reach = int((most * self.largest).sum())
@@ -132,14 +147,24 @@ class Index:
             yield found, self.vectors[found, : len(query)] @ query
 
 
+    def _exactly(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same by integers of any size; scores that do not fit a long become the least or the greatest one."""
+        rows = self.vectors[:, : queries.shape[1]].astype(object)
+        for query in queries.astype(object):
+            score = rows @ query
+            least = sorted(score.tolist(), reverse=True)[: k + 1][-1]
+            found = np.flatnonzero((score >= least).astype(bool))
+            yield found, np.array([min(max(x, LEAST), GREATEST) for x in score[found].tolist()], np.int64)
+
+
 def top_k(
     embeddings: DataFrame, k: int = K, every: int = 20, scale: float = SCALE, block: int = BLOCK, queries: int = QUERIES
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every` the k highest inner products
     with other rows, ties to the smaller vec_id; fewer if there are fewer.
 
-    Rows with a null vec_id, a null vector, or a null, non-finite or huge (2^27 after scaling) component take no part.
-    Missing components of shorter vectors count as zero. Repeated rows are rows of their own: a query meets its
+    Rows with a null vec_id, a null vector, or a null or non-finite component take no part. A component of 2^62 or more
+    after scaling, and a score among the best that does not fit a long, fail. Missing components of shorter vectors count as zero. Repeated rows are rows of their own: a query meets its
     repetition, and a repeated query is answered each time. Empty tables give an empty result; other columns are
     ignored.
     """
@@ -153,7 +178,7 @@ def top_k(
         for batch in batches:
             for number, width, raw_ids, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(raw_ids, "<i8")
-                vectors = np.frombuffer(raw, "<i4").reshape(len(ids), width)
+                vectors = unpacked(raw, len(ids), width)
                 rows = np.flatnonzero(ids % every == 0)
                 for at in range(0, len(rows), queries):
                     some = rows[at : at + queries]
@@ -178,10 +203,9 @@ def top_k(
                 one = {n: batch.column(n)[line].as_py() for n in ("part", "width", "rows", "ids", "vectors", "block", "w")}
                 if one["block"] != last:
                     last, ids = one["block"], np.frombuffer(batch.column("i")[line].as_py(), "<i8")
-                    raw = np.frombuffer(batch.column("v")[line].as_py(), "<i4")
-                    index = Index(raw.reshape(len(ids), one["w"]).astype(np.int64))
+                    index = Index(unpacked(batch.column("v")[line].as_py(), len(ids), one["w"]))
                 rows, query_ids = np.frombuffer(one["rows"], "<i8"), np.frombuffer(one["ids"], "<i8")
-                vectors = np.frombuffer(one["vectors"], "<i4").reshape(len(rows), one["width"]).astype(np.int64)
+                vectors = unpacked(one["vectors"], len(rows), one["width"])
                 parts = []
                 for row, query_id, (found, score) in zip(rows, query_ids, index.best(vectors, k), strict=True):
                     if one["part"] == last:
@@ -194,4 +218,6 @@ def top_k(
     found = met.select("part", "width", "rows", "ids", "vectors", "block", "w", "i", "v").mapInArrow(search, kinds)
     best = Window.partitionBy("part", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    unfit = F.raise_error(F.lit("a score does not fit a long")).cast("long")
+    score = F.when(F.col("score").isin(LEAST, GREATEST), unfit).otherwise(F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
