@@ -43,7 +43,9 @@ BLOCK = 4 << 20
 PART = 1 << 20
 _CUT = re.compile(rb"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 _STARTS = re.compile(rb"(?=\n)|(?<=[^ ])(?= )")
+#: Parts that the memo of a model holds before it starts anew.
 _PIECE_WORDS = 200_000
+#: Words and runs of spaces from this length on are left to the tokenizers library.
 _LONG = 10_000
 _GAP = b" " * _LONG
 #: Groups with more links than this are folded by ids before they are multiplied out.
