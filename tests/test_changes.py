@@ -201,6 +201,25 @@ def test_locks_skip_a_repeated_commit_date(spark, t, make_tables):
     assert rows_of(changes.latest_timelocks(unset), "commit_date") == [(day("2024-01-01"),)]
 
 
+def test_locks_meet_entries_by_equality_on_project_and_days(spark, make_tables):
+    rng = random.Random(8)
+    some = lambda: day("2024-01-01") + dt.timedelta(days=rng.randrange(200))
+    worked = [(rng.randrange(9), rng.choice(("P", "Q", "R")), some()) for _ in range(150)]
+    t = make_tables(time_entry=[{"employee": e, "project": p, "date": d, "minutes": 60} for e, p, d in worked])
+    asked = []
+    for i in range(60):
+        start = some()
+        asked.append((i, rng.choice(("P", "Q", None)), start, start + dt.timedelta(days=rng.randrange(-2, 60)), start, 3))
+    asked.append((60, "P", None, day("2024-05-05"), None, 3))
+    kinds = "seq int, project string, start_date date, end_date date, commit_date date, creator int"
+    batch = spark.createDataFrame(asked + asked[:3], kinds)
+    want = [(q[0], e) for q in asked + asked[:3] if q[2] for e in range(9) if any(x == e and p == q[1] and q[2] <= d <= q[3] for x, p, d in worked)]
+    met = changes._touched(t, batch)
+    assert rows_of(met, "seq", "employee") == in_order(want)
+    join = next(line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    assert "(project#" in join and "_stretch#" in join
+
+
 @pytest.fixture(scope="module")
 def invoiced(make_tables):
     end = day("2024-01-31")

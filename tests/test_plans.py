@@ -67,6 +67,12 @@ def test_facts_are_folded_before_a_shuffle_by_date(spark):
     assert "hashpartitioning(employee" in text[join:] and "HashAggregate(keys=[employee" in text[join:]
 
 
+def test_days_of_entries_are_not_copied_for_each_period(spark, make_tables):
+    """Minutes of a project reach its periods inside its own row: no aggregation by project and period over them."""
+    text = plan(kpi.hours_per_project(make_tables(), Periods.month_windows(spark, day("2024-01-01"), day("2024-12-01"), 12)))
+    assert not any("HashAggregate(keys=[from_date" in line and "sum(minutes" in line for line in text.splitlines())
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are not here")
 @pytest.mark.parametrize("name", ["c12_time_tracking_status_with_staffing", "e19_hours_per_project", "g4_upsert_staffing"])
 def test_queries_equal_their_twins(spark, name):
