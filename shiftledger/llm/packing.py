@@ -2,9 +2,10 @@
 
 Texts become token ids once, stored in the scratch folder. Document frequencies of all ids over the corpus (a table no
 longer than the vocabulary) give BM25 its IDF. Each task reads its part of the token table in shards of about `shard`
-tokens and builds an inverted index of the shard's rarer ids. Whole windows of a long document stand alone; then a
-seed document asks the index for its unused neighbours, best first, and they fill its window. The one that does not
-fit is cut, and its rest is the next seed, so every sequence but a shard's last is full and no id is lost.
+tokens and indexes the ids that documents of the shard share. Whole windows of a long document stand alone; then a
+seed document asks the index, with all of its ids, for its unused neighbours, best first, and they fill its window. The
+one that does not fit is cut, and its rest is the next seed, so every sequence but a shard's last is full and no id is
+lost.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from shiftledger.llm.tokens import encoder, vocabulary_path
 
 WINDOW = 2048
 SHARD = 2_000_000
-TERMS = 12
-COMMON = 0.05
 K1, B = 1.2, 0.75
+# An id in one of so many documents of a shard has a column in the matrix of weights.
+MANY = 16
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
@@ -77,37 +78,64 @@ def frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray, int, int
 
 
 class Index:
-    """BM25 inverted index over the rarer ids of a shard's documents."""
+    """BM25 over the ids that documents of a shard share, one row of weights per document."""
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, average: float):
         lengths = np.array([len(d) for d in documents], np.int64)
         flat = np.concatenate(documents).astype(np.int64)
         owner = np.repeat(np.arange(len(documents), dtype=np.int64), lengths)
-        rare = idf[flat] > 0
-        cells, tf = np.unique(flat[rare] * len(documents) + owner[rare], return_counts=True)
-        self.term, self.document = cells // len(documents), cells % len(documents)
-        norm = K1 * (1 - B + B * lengths[self.document] / average)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm)
-        self.terms, self.first = np.unique(self.term, return_index=True)
-        self.last = np.append(self.first[1:], len(self.term))
-        self.size = len(documents)
-        # the query of a document: its rarest terms that another document of the shard has, too
-        shared = np.repeat(self.last - self.first > 1, self.last - self.first)
-        row = np.repeat(np.arange(len(self.terms)), self.last - self.first)[shared]
-        document, value = self.document[shared], idf[self.term[shared]]
-        order = np.lexsort((-value, document))
-        self._rows, document = row[order], document[order]
-        self._from = np.searchsorted(document, np.arange(len(documents) + 1))
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best score first, ties in shard order."""
-        rows = self._rows[self._from[seed] : min(self._from[seed] + TERMS, self._from[seed + 1])]
-        if not len(rows):
-            return rows
-        at = np.concatenate([np.arange(self.first[r], self.last[r]) for r in rows])
-        score = np.bincount(self.document[at], self.weight[at], self.size)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        cells, tf = np.unique(owner * len(idf) + flat, return_counts=True)
+        document, term = cells // len(idf), cells % len(idf)
+        # an id of one document alone links it to no other
+        shared = (np.bincount(term, minlength=len(idf)) > 1)[term] & (idf[term] > 0)
+        document, term, tf = document[shared], term[shared], tf[shared]
+        norm = K1 * (1 - B + B * lengths[document] / average)
+        self._weight = idf[term] * tf * (K1 + 1) / (tf + norm)
+        terms, self._term = np.unique(term, return_inverse=True)
+        self._from, self._terms = np.searchsorted(document, np.arange(len(documents) + 1)), len(terms)
+        self._hold(np.flatnonzero(np.diff(self._from)))
+
+    def _hold(self, documents: np.ndarray) -> None:
+        """Score these documents, which have a row, from now on: ids in many of them by a matrix of weights, the others
+        by lists of documents."""
+        sizes = self._from[documents + 1] - self._from[documents]
+        at = np.arange(int(sizes.sum())) + np.repeat(self._from[documents] - np.cumsum(sizes) + sizes, sizes)
+        row, term, weight = np.repeat(np.arange(len(documents)), sizes), self._term[at], self._weight[at]
+        many = np.bincount(term, minlength=self._terms) * MANY >= len(documents)
+        self._column = np.where(many, np.cumsum(many) - 1, -1)
+        dense = many[term]
+        self._matrix = np.zeros((len(documents), int(many.sum())))
+        self._matrix[row[dense], self._column[term[dense]]] = weight[dense]
+        row, term, weight = row[~dense], term[~dense], weight[~dense]
+        order = np.argsort(term, kind="stable")
+        self._row, self._listed = row[order], weight[order]
+        self._list = np.searchsorted(term[order], np.arange(self._terms + 1))
+        self._held = documents
+
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Unused documents that share an id with the seed, best score first, ties in shard order. With ``most`` at least
+        so many, if there are. A document that was used once is not asked for again."""
+        left = unused[self._held]
+        if 2 * np.count_nonzero(left) < len(left):
+            self._hold(self._held[left])
+            left = left[left]
+        if not len(left):
+            return self._held
+        own = self._term[self._from[seed] : self._from[seed + 1]]
+        columns = self._column[own]
+        asked = np.zeros(self._matrix.shape[1])
+        asked[columns[columns >= 0]] = 1
+        score = self._matrix @ asked
+        own = own[columns < 0]
+        if len(own):
+            sizes = self._list[own + 1] - self._list[own]
+            at = np.arange(int(sizes.sum())) + np.repeat(self._list[own] - np.cumsum(sizes) + sizes, sizes)
+            score += np.bincount(self._row[at], self._listed[at], len(score))
+        score = np.round(score, 9)  # of equal documents sums may differ in the last places
+        at = np.flatnonzero((score > 0) & left)
+        if most is not None and most < len(at):
+            at = at[score[at] >= np.partition(score[at], -most)[-most]]
+        return self._held[at[np.argsort(-score[at], kind="stable")]]
 
 
 def pack(documents: list[np.ndarray], idf: np.ndarray, average: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -127,7 +155,7 @@ def pack(documents: list[np.ndarray], idf: np.ndarray, average: float, window: i
     while True:
         unused[seed] = False
         pieces, space = [(seed, int(start[seed]), int(left[seed]))], window - int(left[seed])
-        ranked, rest = index.neighbours(seed, unused) if space else (), None
+        ranked, rest = index.neighbours(seed, unused, space) if space else (), None
         take = iter(ranked)
         while space:
             nxt = next(take, None)
@@ -171,7 +199,6 @@ def packed(documents: DataFrame, path: str | None = None, end: int = 1, window:
         kind = encode.kind
     df, total, size = frequencies(tokens, kind)
     idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
-    idf[df > max(COMMON * total, 2)] = 0
     average = size / max(total, 1)
     schema = pa.schema([(n, pa.int64()) for n in PIECES.replace(" long", "").split(", ")[:-1]] + [("ids", pa.binary())])
 

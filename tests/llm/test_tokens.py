@@ -161,3 +161,52 @@ def test_scores_are_bm25():
 
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == sorted([1, 2], key=lambda d: -score(0, d))
     assert not len(index.neighbours(3, np.ones(4, bool)))
+
+
+def test_copies_of_common_ids_are_neighbours():
+    """A group of copies whose ids all are in many documents, and one that shares its last ids only."""
+    rng = np.random.default_rng(7)
+    copy = rng.integers(0, 40, 30)
+    docs = [copy if i % 10 == 0 else rng.integers(40, 400, 30) for i in range(100)]
+    flat = [set(d.tolist()) for d in docs]
+    df = np.array([sum(t in d for d in flat) for t in range(400)])
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    sequences = list(packing.pack(docs, idf, 30, 300))
+    assert [sorted(d for d, _, _ in s) for s in sequences if any(d % 10 == 0 for d, _, _ in s)] == [list(range(0, 100, 10))]
+    many = np.arange(20)
+    index = packing.Index([many, many[-1:], np.array([25])], np.linspace(2, 1, 30), 10)
+    assert index.neighbours(0, np.array([False, True, True])).tolist() == [1]
+
+
+def test_common_ids_find_copies_in_the_corpus(spark):
+    """Forty copies of one text among 400 documents: their ids are in a tenth of the corpus."""
+    same = text_of(random.Random(1), 60)
+    data = [(i, same if i % 10 == 0 else " ".join(f"q{i}x{j}" for j in range(40))) for i in range(400)]
+    table = documents(spark, data).coalesce(1)
+    found = packing.packed(table, window=1024).collect()
+    of = {}
+    for r in found:
+        of.setdefault(r.sequence_id, set()).add(r.doc_id % 10 == 0)
+    copies = sum(r.length for r in found if r.doc_id % 10 == 0)
+    assert sum(True in kinds for kinds in of.values()) <= copies // 1024 + 2
+
+
+def test_neighbours_are_best_first_while_documents_are_used():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 60, rng.integers(0, 25)) for _ in range(80)]
+    idf, unused = rng.random(60) + 0.1, np.array([len(d) > 0 for d in docs])
+    index = packing.Index(docs, idf, 12.0)
+
+    def score(seed, other):
+        total = 0.0
+        for term in np.unique(docs[seed]):
+            tf = (docs[other] == term).sum()
+            norm = packing.K1 * (1 - packing.B + packing.B * len(docs[other]) / 12.0)
+            total += idf[term] * tf * (packing.K1 + 1) / (tf + norm)
+        return total
+
+    for seed in rng.permutation(np.flatnonzero(unused)):
+        unused[seed] = False
+        want = sorted((d for d in np.flatnonzero(unused) if score(seed, d) > 0), key=lambda d: -round(score(seed, d), 9))
+        assert index.neighbours(int(seed), unused).tolist() == want
+        assert index.neighbours(int(seed), unused, 3).tolist()[:3] == want[:3]
