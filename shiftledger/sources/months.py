@@ -29,11 +29,11 @@ def _of_months(frame: DataFrame, months: list[int]) -> DataFrame:
     return frame.filter(F.col(MONTH).isin(months)) if months else frame.limit(0)
 
 
-def _write(frame: DataFrame, path: str, mode: str) -> None:
+def _write(frame: DataFrame, path: str, mode: str, gathered: bool = False) -> None:
     """Files of a month in as few tasks as their size asks for; a large month is split. Rows are sorted inside files,
-    so that scans skip row groups."""
+    so that scans skip row groups. Rows ``gathered`` already, as those read from such files, are not moved."""
     order = [c for c in (MONTH, "date", "employee") if c in frame.columns]
-    rows = frame.hint("rebalance", MONTH).sortWithinPartitions(*order)
+    rows = (frame if gathered else frame.hint("rebalance", MONTH)).sortWithinPartitions(*order)
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
 
 
@@ -47,7 +47,7 @@ def write_months(frame: DataFrame, path: str) -> None:
     _write(_with_month(frame), path, "errorifexists")
 
 
-def replace_months(frame: DataFrame, path: str, months: dict[int, int]) -> None:
+def replace_months(frame: DataFrame, path: str, months: dict[int, int], gathered: bool = False) -> None:
     """Put the rows of ``frame``, which has the month, in place of the stored ones of the given months.
 
     ``months`` has the number of new rows of each; a month without any is deleted. Files of other months stay. The
@@ -55,7 +55,7 @@ def replace_months(frame: DataFrame, path: str, months: dict[int, int]) -> None:
     """
     filled = sorted(m for m, rows in months.items() if rows)
     if filled:
-        _write(_of_months(frame, filled), path, "overwrite")
+        _write(_of_months(frame, filled), path, "overwrite", gathered)
     for month in sorted(m for m, rows in months.items() if not rows):
         _delete(frame.sparkSession, f"{path}/{MONTH}={month}")
 
@@ -63,15 +63,17 @@ def replace_months(frame: DataFrame, path: str, months: dict[int, int]) -> None:
 def changed_months(old: DataFrame, new: DataFrame) -> dict[int, int]:
     """Months whose rows differ between two versions that have the same columns, with the new number of rows.
 
-    Each version is folded to a count and two sums of row hashes per month inside each task, so next to nothing is
-    shuffled, and what reaches the driver grows with the calendar only.
+    Each version is folded to a count and sums of two row hashes per month inside each task, so next to nothing is
+    shuffled, and what reaches the driver grows with the calendar only. Of the long hash each half is summed, so that
+    the sums of 2 billion rows of a month fit plain numbers.
     """
     columns = sorted(c for c in new.columns if c != MONTH)
 
     def marks(frame: DataFrame, side: str) -> DataFrame:
         rows = frame.select(MONTH, F.xxhash64(*columns).alias("_a"), F.hash(*columns).cast("long").alias("_b"))
-        wide = lambda name: F.sum(F.col(name).cast("decimal(20,0)"))
-        mark = F.struct(F.count("*").alias("rows"), wide("_a").alias("a"), wide("_b").alias("b"))
+        high, low = F.shiftright("_a", 32), F.col("_a").bitwiseAND(F.lit(0xFFFFFFFF))
+        sums = F.sum(high).alias("high"), F.sum(low).alias("low"), F.sum("_b").alias("b")
+        mark = F.struct(F.count("*").alias("rows"), *sums)
         return rows.groupBy(MONTH).agg(mark.alias(side))
 
     both = marks(old, "old").join(marks(new, "new"), MONTH, "full")
@@ -128,7 +130,7 @@ def apply_staged(spark: SparkSession, folder: str, stage: str) -> None:
         months.setdefault(name, {})[month] = rows
     for name, of in months.items():
         staged = spark.read.parquet(f"{stage}/{name}") if any(of.values()) else spark.range(0)
-        replace_months(staged, f"{folder}/{name}", of)
+        replace_months(staged, f"{folder}/{name}", of, gathered=True)
 
 
 def apply_change(change: Change, folder: str) -> Applied:

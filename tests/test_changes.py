@@ -10,6 +10,7 @@ import pytest
 from shiftledger.operators import changes, contracts
 from shiftledger.sources.tables import read_tables, write_snapshot
 from tests.conftest import day, in_order, rows_of
+from tests.test_plans import plan
 
 RANGE = "seq int, employee int, project string, start_date date, end_date date, percentage int"
 HOLIDAY = day("2024-01-10")
@@ -144,6 +145,35 @@ def test_upsert_is_remove_then_insert(spark, t):
     assert rows_of(changes.upsert_staffing(t, batch).tables["staffing"]) == rows_of(inserted.tables["staffing"])
 
 
+def test_ranges_of_an_upsert_meet_by_month_and_become_days_last(spark, t):
+    text = plan(changes.upsert_staffing(t, requests(spark, (1, "P", "2024-01-08", "2024-01-14", 50))).tables["staffing"])
+    moved = [line for line in text.splitlines() if "hashpartitioning(employee" in line]
+    assert moved and all("_month" in line and "date#" not in line for line in moved)
+
+
+def test_an_upsert_over_months_keeps_repeats_and_rows_without_key(spark, make_tables):
+    keys = [(1, "P", "2023-11-30"), (1, "P", "2023-12-29"), (1, "P", "2024-02-29"), (1, "P", "2024-03-04"), (2, "P", "2023-12-29")]
+    plain = make_tables(projects=[{"id": "P"}], holidays=[{"date": day("2024-01-01"), "name": "h"}])
+    kind = "employee int, project string, date date, percentage int"
+    odd = [(None, "P", day("2023-12-29"), 70), (1, None, day("2023-12-29"), 70), (1, "P", None, 70)]
+    stored = spark.createDataFrame([(e, p, day(d), n) for e, p, d in keys for n in (60, 60)] + odd, kind)
+    asked = spark.createDataFrame(
+        [
+            (None, 1, "P", day("2023-12-28"), day("2023-12-28"), 10),
+            (0, 1, "P", day("2023-12-28"), day("2024-03-01"), 20),
+            (1, 1, "P", day("2023-12-30"), day("2024-02-27"), 30),
+            (2, 1, "P", day("2024-02-28"), day("2024-02-27"), 40),
+            (3, None, "P", day("2023-12-29"), day("2023-12-29"), 50),
+        ],
+        "seq int, employee int, project string, start_date date, end_date date, percentage int",
+    )
+    found = rows_of(changes.upsert_staffing(plain.replace(staffing=stored), asked).tables["staffing"])
+    weekdays = [d for d in (dt.date(2023, 12, 28) + dt.timedelta(days=i) for i in range(65)) if d.weekday() < 5 and d != day("2024-01-01")]
+    new = [(1, "P", d, 30 if day("2023-12-30") <= d <= day("2024-02-27") else 20) for d in weekdays if d <= day("2024-03-01")]
+    kept = [(e, p, day(d), n) for e, p, d in (keys[0], keys[3], keys[4]) for n in (60, 60)]
+    assert found == in_order(new + kept + odd + [(None, "P", day("2023-12-29"), 50)])
+
+
 WEEK = "seq int, employee int, project string, year int, week int, days int"
 
 
