@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from shiftledger.llm.common import drop_saved, saved
 
+# Edges up to which the nodes of a step, two an edge at most, may be broadcast: Spark only knows the size of their files.
+FEW_EDGES = 1 << 18
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    tied = both.join(least, both.a == least.n).where("b > a").select(F.col("m").alias("a"), "b")
+    met = both.join(least if few else least.hint("merge"), F.col("a") == F.col("n"))
+    tied = met.where("b > a").select(F.col("m").alias("a"), "b")
     return tied.where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of them. Here a < b holds."""
     least = edges.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("n"), "m")
-    met = edges.join(least, edges.b == least.n).select("m", "a")
+    met = edges.join(least if few else least.hint("merge"), F.col("b") == F.col("n")).select("m", "a")
     tied = met.where("m <> a").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return tied.union(least.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()
 
@@ -40,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
-        after = saved(_small_star(_large_star(now)), "edges")
+        few = mark[0] <= FEW_EDGES
+        after = saved(_small_star(_large_star(now, few), few), "edges")
         drop_saved(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:

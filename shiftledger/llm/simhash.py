@@ -84,7 +84,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
     table = filed.select(F.col("fp").alias("q"), key(F.col("half")))
     near = (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= distance) & (~F.col("same") | (F.col("p") < F.col("q")))
-    met = ball.join(table, "key").where(near)
+    # Spark sizes a row's 34 places in balls as one, and a table it thinks small would be sent to the driver
+    met = ball.hint("merge").join(table, "key").where(near)
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
@@ -94,17 +95,19 @@ def near_duplicates(documents: DataFrame, width: int = 3, distance: int = DISTAN
     component_id is the smallest doc_id reachable over links. Null and empty texts have fingerprint zero and link like
     any other. Rows with a null doc_id take part and get the id of their class (null if no row of it has one);
     repeated rows come back repeated; an empty table gives an empty result; other columns are ignored.
+
+    All tables here grow with the documents, so none is broadcast, whatever size their compressed files suggest.
     """
     rows = saved(fingerprints(documents, width), "fingerprints")
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), distance))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select(
+    classes = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     classes = saved(classes, "classes")
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(least.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ import re
 
 import xxhash
 
-from shiftledger.llm import simhash
+from shiftledger.llm import graph, simhash
 from shiftledger.llm.graph import components
 from tests.llm.odd import documents, result, rows
+from tests.test_plans import plan
 
 
 def plain_fingerprint(text: str | None) -> int:
@@ -75,6 +76,26 @@ def test_components_of_chains_cycles_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_that_grow_with_documents_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Their files are far below Spark's threshold here, as those of a middling corpus are. What they hold is not."""
+    prints = [0, 1, 3, 1 << 40, (1 << 40) + 5, 1 << 20]
+    spark.createDataFrame([(p,) for p in prints], "fp long").write.parquet(f"{tmp_path}/prints")
+    met = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))
+    assert {tuple(r) for r in met.collect()} == {(p, q) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= 3}
+    assert "Broadcast" not in plan(met) and "SortMergeJoin" in plan(met)
+    assert "Broadcast" not in plan(simhash.near_duplicates(documents(spark, rows())))
+
+    spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9)], "a long, b long").write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    plans = []
+    monkeypatch.setattr(graph, "saved", lambda frame, name, keep=graph.saved: plans.append(plan(frame)) or keep(frame, name))
+    few = sorted(components(edges).collect())
+    monkeypatch.setattr(graph, "FEW_EDGES", 1)
+    plans.clear()
+    assert sorted(components(edges).collect()) == few == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+    assert len(plans) > 1 and not any("Broadcast" in text for text in plans)
+
+
 def test_one_of_each_group_keeps_columns_and_nameless_rows(spark):
     data = rows()
     frame = documents(spark, data)
