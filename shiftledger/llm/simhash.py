@@ -129,7 +129,7 @@ def keep_least(documents: DataFrame, named: DataFrame) -> DataFrame:
     # decisions grow with the documents, so they are never broadcast
     gone = decided.where("not __stays").select("__id").hint("merge")
     kept = documents.join(gone, documents["doc_id"].cast("long") == gone["__id"], "left_anti")
-    repeated = decided.where("__stays and __rows > 1").select("__id")
+    repeated = decided.where("__stays and __rows > 1").select("__id").hint("merge")
     if repeated.isEmpty():
         return kept
     same = kept["doc_id"].cast("long") == repeated["__id"]

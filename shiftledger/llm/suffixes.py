@@ -218,10 +218,11 @@ class Repeats:
         self.copies = texts.where(f"copies > 1 and n_words >= {window}").select("key")
         listed = texts.where("size(anchors) > 0").select("tid", F.explode("anchors").alias("anchor"))
         twice = listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        hits = saved(listed.join(twice, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("hits")), "hits")
+        # Spark sizes a text's anchors as one, and their lists by compressed files, so neither may be broadcast
+        hits = saved(listed.join(twice.hint("merge"), "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("hits")), "hits")
         del profiles, listed, twice
         release(spark)
-        named = hits.join(texts.select("tid", "key", "rid"), "tid").select("key", "rid", "hits")
+        named = hits.hint("merge").join(texts.select("tid", "key", "rid"), "tid").select("key", "rid", "hits")
         met = rows.select("rid", "text").join(named, "rid").where(F.unhex(F.sha2("text", 256)) == F.col("key"))
         self._held = saved(met.select("key", "text", "hits", F.monotonically_increasing_id().alias("hid")), "held")
         drop_saved(hits)

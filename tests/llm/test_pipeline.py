@@ -4,10 +4,11 @@ import random
 import zlib
 
 import corpus_pipeline
-from shiftledger.llm import simhash
+from shiftledger.llm import simhash, suffixes
 from tests.llm.odd import documents, rows, text_of
 from tests.llm.test_quality import junk
 from tests.llm.test_suffixes import plain
+from tests.test_plans import plan
 
 
 def test_stages_on_planted_documents(spark, tmp_path):
@@ -82,6 +83,22 @@ def test_near_duplicates_are_those_of_the_simhash_operator(spark, tmp_path):
     assert {r.doc_id for r in left.collect()} - {None} == {r.doc_id for r in groups.collect()}
 
 
+def test_stages_broadcast_no_table_sized_by_its_files(spark, monkeypatch):
+    """Decisions on repeated rows, repeated anchors and lists of anchors hold far more than their files."""
+    rng = random.Random(4)
+    passage = text_of(rng, 50)
+    data = [(i, f"{text_of(rng, 40)} {passage}") for i in range(3)]
+    docs = documents(spark, data + data[:2])
+    left = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == data and "Broadcast" not in plan(left)
+    plans = {}
+    monkeypatch.setattr(suffixes, "saved", lambda frame, name, keep=suffixes.saved: plans.update({name: plan(frame)}) or keep(frame, name))
+    cut = corpus_pipeline.cut_repeated_passages(spark, left, "")
+    assert all(passage not in r.text for r in cut.collect())
+    assert "SortMergeJoin [anchor" in plans["hits"] and "Broadcast" not in plans["hits"]
+    assert "SortMergeJoin [tid" in plans["held"]
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}"
     stored(spark, folder, [], [])
