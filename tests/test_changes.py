@@ -250,6 +250,44 @@ def test_locks_meet_entries_by_equality_on_project_and_days(spark, make_tables):
     assert "(project#" in join and "_stretch#" in join
 
 
+def test_locks_of_several_blocks_follow_one_another(spark, make_tables, monkeypatch):
+    """Requests of a block, of many, with equal and null commit dates; the pairs of a cell are not shuffled."""
+    rng = random.Random(3)
+    some = lambda: day("2024-01-01") + dt.timedelta(days=rng.randrange(60))
+    commits = [day("2024-02-29"), day("2024-03-31"), None]
+    worked = {(rng.randrange(12), rng.choice("PQ"), some()) for _ in range(80)}
+    known = {e: rng.choice(commits[:2]) for e in range(6)}
+    t = make_tables(
+        time_entry=[{"employee": e, "project": p, "date": d, "minutes": 60} for e, p, d in worked],
+        timelock_events=[{"employee": e, "commit_date": c, "created": dt.datetime(2024, 1, 1)} for e, c in known.items()],
+    )
+    asked = []
+    for i in range(70):
+        start = some()
+        asked.append((i * i - 900, rng.choice("PQ"), start, start + dt.timedelta(days=rng.randrange(25)), rng.choice(commits), 3))
+    want, last = [], {}
+    for seq, project, start, end, commit, _ in asked:
+        for e in {x for x, p, d in worked if p == project and start <= d <= end}:
+            if (last.get(e) or known.get(e)) != commit:
+                want.append((seq, e, commit))
+            last[e] = commit
+    kinds = "seq int, project string, start_date date, end_date date, commit_date date, creator int"
+    batch = spark.createDataFrame(rng.sample(asked, 70) + [(None, "P", day("2024-01-01"), day("2024-03-01"), None, 3)], kinds)
+    monkeypatch.setattr(changes, "LOCK_BLOCKS", 8)
+    for size in (1 << 16, 9):
+        monkeypatch.setattr(changes, "LOCK_BLOCK", size)
+        change = changes.lock_employee_hours(t, batch, dt.datetime(2024, 3, 1, 8))
+        assert in_order(rows_of(change.returned, "seq", "employee", "commit_date")) == in_order(want)
+        assert change.tables["timelock_events"].count() == len(want) + len(known)
+    lines = plan(changes._touched(t, batch)).splitlines()
+    made = next(i for i, line in enumerate(lines) if "Generate explode(_requests" in line)
+    laid = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert made < laid and "hashpartitioning(_cell" in lines[laid]
+    lines = plan(change.returned).splitlines()
+    cells = [line for line in lines if "Exchange" in line and "_cell" in line]
+    assert cells and all("REPARTITION_BY_NUM" in line for line in cells)
+
+
 @pytest.fixture(scope="module")
 def invoiced(make_tables):
     end = day("2024-01-31")
